@@ -111,3 +111,114 @@ def q_project_reports(spark, sf_dir):
     proj = v.select("path", F.concat(F.lit("label"), F.col("label").cast("string")).alias("project_id"))
     r = match.project_reports(_emb_pairs(spark, sf_dir), proj)
     return r.withColumn("max_similarity", F.round("max_similarity", 4))
+
+
+# ---------------------------------------------------------------------------------
+# CVE mining over the derived feed F-cve (one entry per document).
+# ---------------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from patchtrace.operators import cve  # noqa: E402
+from patchtrace.plans.fixtures import fixture, with_fixtures  # noqa: E402
+from patchtrace.session import shared_path  # noqa: E402
+from patchtrace.sources import feed as feedsrc  # noqa: E402
+
+FEED_GROUP = 64  # entries per derived feed text (bounded group size)
+
+_CVE_CTES = f"""firsts AS (
+  SELECT * FROM (SELECT entry_no, entry, regexp_extract(entry, '{cve.CVE_ID_PATTERN}', 0) AS cve_id FROM cve_feed)
+  WHERE cve_id <> ''),
+links AS (SELECT entry_no, cve_id, unnest(regexp_extract_all(entry, '{cve.COMMIT_LINK_PATTERN}', 0)) AS link FROM firsts),
+ylinks AS (SELECT * FROM links WHERE substr(cve_id, 5, 4) >= '{cve.FIRST_YEAR}' AND substr(cve_id, 5, 4) <= '{cve.LAST_YEAR}'),
+clinks AS (SELECT DISTINCT link, cve_id FROM ylinks),
+keys AS (SELECT link, cve_id, 'https://github.com/' || regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) AS repo_url,
+                regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 2) AS commit_hash
+         FROM clinks WHERE regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) <> '')"""
+
+
+def _cve_sql(select: str) -> str:
+    return with_fixtures(f"WITH {_CVE_CTES}\n{select}", "cve_feed", "commit_diffs")
+
+
+def _links(spark, sf_dir):
+    return cve.commit_links(cve.first_cve_id(fixture(spark, sf_dir, "cve_feed")))
+
+
+def _commit_keys(spark, sf_dir):
+    return cve.commit_keys(cve.cve_links(cve.year_filter(_links(spark, sf_dir))))
+
+
+@register("cve_feed_entries", with_fixtures(f"""
+WITH feeds AS (SELECT entry_no // {FEED_GROUP} AS feed_id,
+                      string_agg(entry, '{feedsrc.ENTRY_SEPARATOR}' ORDER BY entry_no) AS text
+               FROM cve_feed GROUP BY 1)
+SELECT feed_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS entry_no, unnest(parts) AS entry
+FROM (SELECT feed_id, string_split(text, '{feedsrc.ENTRY_SEPARATOR}') AS parts FROM feeds)""", "cve_feed"))
+def q_cve_feed_entries(spark, sf_dir):
+    """Feed texts (F-cve entries joined by the separator, 64 per feed) split again."""
+    f = fixture(spark, sf_dir, "cve_feed")
+    feeds = (f.groupBy(F.expr(f"entry_no div {FEED_GROUP}").alias("feed_id"))
+              .agg(F.concat_ws(feedsrc.ENTRY_SEPARATOR,
+                               F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "entry"))),
+                                           lambda x: x["entry"])).alias("text")))
+    return feedsrc.split_feed(feeds)
+
+
+@register("cve_first_id", _cve_sql("SELECT entry_no, cve_id FROM firsts"))
+def q_cve_first_id(spark, sf_dir):
+    """First CVE id per entry."""
+    return cve.first_cve_id(fixture(spark, sf_dir, "cve_feed")).select("entry_no", "cve_id")
+
+
+@register("commit_links", _cve_sql("SELECT entry_no, cve_id, link FROM links"))
+def q_commit_links(spark, sf_dir):
+    """All commit links of entries that have a CVE id."""
+    return _links(spark, sf_dir).select("entry_no", "cve_id", "link")
+
+
+@register("links_by_year", _cve_sql("SELECT entry_no, cve_id, link FROM ylinks"))
+def q_links_by_year(spark, sf_dir):
+    """Links of CVE ids in the default year range 2014-2014."""
+    return cve.year_filter(_links(spark, sf_dir)).select("entry_no", "cve_id", "link")
+
+
+@register("cve_links", _cve_sql("SELECT link, cve_id FROM clinks"))
+def q_cve_links(spark, sf_dir):
+    """C4: distinct (link, cve_id) set."""
+    return cve.cve_links(cve.year_filter(_links(spark, sf_dir)))
+
+
+@register("link_counts", _cve_sql("""SELECT substr(cve_id, 5, 4) AS year, count(*) AS n_pairs, count(DISTINCT link) AS n_links
+FROM (SELECT DISTINCT link, cve_id FROM links) GROUP BY 1"""))
+def q_link_counts(spark, sf_dir):
+    """Unique pairs and links per CVE year (all years)."""
+    return cve.link_counts(_links(spark, sf_dir))
+
+
+@register("commit_keys", _cve_sql("SELECT link, cve_id, repo_url, commit_hash FROM keys"))
+def q_commit_keys(spark, sf_dir):
+    """C6 + C7: parsed commit keys; links deeper than owner/repo are dropped."""
+    return _commit_keys(spark, sf_dir).select("link", "cve_id", "repo_url", "commit_hash")
+
+
+@register("repo_tags", _cve_sql("""SELECT cve_id, repo_url, commit_hash,
+  replace(regexp_replace(repo_url, '^https://', ''), '/', '_') || '_' || commit_hash AS repo_tag FROM keys"""))
+def q_repo_tags(spark, sf_dir):
+    """Per-commit tag (prefix strip fixed)."""
+    return _commit_keys(spark, sf_dir).select("cve_id", "repo_url", "commit_hash", cve.repo_tag().alias("repo_tag"))
+
+
+@register("cve_commit_diffs", _cve_sql("""SELECT cve_id, link, repo_url, commit_hash, CAST(length(diff_text) AS INTEGER) AS diff_chars
+FROM keys JOIN commit_diffs USING (repo_url, commit_hash)"""))
+def q_cve_commit_diffs(spark, sf_dir):
+    """Commit keys joined with their diffs; the CVE id travels with the diff."""
+    j = cve.attach_diffs(_commit_keys(spark, sf_dir), fixture(spark, sf_dir, "commit_diffs"))
+    return j.select("cve_id", "link", "repo_url", "commit_hash", F.length("diff_text").alias("diff_chars"))
+
+
+@register("links_roundtrip", _cve_sql("SELECT cve_id, link FROM clinks"))
+def q_links_roundtrip(spark, sf_dir):
+    """The link set written as `cve_id link` lines to the shared folder and read back."""
+    out = shared_path(spark, "links", uuid.uuid4().hex)
+    feedsrc.write_link_file(cve.cve_links(cve.year_filter(_links(spark, sf_dir))), out)
+    return feedsrc.read_link_file(spark, out)
