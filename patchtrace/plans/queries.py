@@ -222,3 +222,99 @@ def q_links_roundtrip(spark, sf_dir):
     out = shared_path(spark, "links", uuid.uuid4().hex)
     feedsrc.write_link_file(cve.cve_links(cve.year_filter(_links(spark, sf_dir))), out)
     return feedsrc.read_link_file(spark, out)
+
+
+# ---------------------------------------------------------------------------------
+# Diff mining over the derived diffs F-diff (one diff per short document).
+# ---------------------------------------------------------------------------------
+from patchtrace.operators import diffs as dops  # noqa: E402
+from patchtrace.operators import verdict  # noqa: E402
+from patchtrace.plans import sqltext  # noqa: E402
+
+_DK = ["repo_url", "commit_hash"]
+
+
+def _diff_sql(select: str) -> str:
+    return with_fixtures(f"WITH {sqltext.diff_ctes('commit_diffs', _DK)}\n{select}", "commit_diffs")
+
+
+def _parts(spark, sf_dir):
+    return dops.diff_parts(fixture(spark, sf_dir, "commit_diffs"))
+
+
+@register("diff_hunks", _diff_sql("SELECT repo_url, commit_hash, part_no, file, header FROM parts"))
+def q_diff_hunks(spark, sf_dir):
+    """D1 + D2: emitted hunks with their path and header line."""
+    p = _parts(spark, sf_dir)
+    return p.select(*_DK, "part_no", "file", F.substring_index("diff_part", "\n", 1).alias("header"))
+
+
+@register("diff_files", _diff_sql("SELECT repo_url, commit_hash, file, count(*) AS n_parts FROM parts GROUP BY ALL"))
+def q_diff_files(spark, sf_dir):
+    """Parts per (commit, file)."""
+    return _parts(spark, sf_dir).groupBy(*_DK, "file").agg(F.count(F.lit(1)).alias("n_parts"))
+
+
+@register("diff_part_text", _diff_sql("SELECT repo_url, commit_hash, part_no, diff_part FROM parts"))
+def q_diff_part_text(spark, sf_dir):
+    """The text of each diff part."""
+    return _parts(spark, sf_dir).select(*_DK, "part_no", "diff_part")
+
+
+@register("old_versions", _diff_sql("SELECT repo_url, commit_hash, part_no, old_version FROM parts"))
+def q_old_versions(spark, sf_dir):
+    """D3 + D5: the pre-change text of each part (empty for pure additions)."""
+    return dops.with_old_version(_parts(spark, sf_dir)).select(*_DK, "part_no", "old_version")
+
+
+@register("hunk_line_counts", _diff_sql("""SELECT repo_url, commit_hash, part_no,
+  CAST(len(list_filter(hl, lambda x: starts_with(x, '+'))) AS INTEGER) AS n_added,
+  CAST(len(list_filter(hl, lambda x: starts_with(x, '-'))) AS INTEGER) AS n_removed,
+  CAST(len(list_filter(hl, lambda x: starts_with(x, ' '))) AS INTEGER) AS n_context,
+  CAST(len(list_filter(hl, lambda x: NOT (starts_with(x, '+') OR starts_with(x, '-') OR starts_with(x, ' ')))) AS INTEGER) AS n_other
+FROM parts"""))
+def q_hunk_line_counts(spark, sf_dir):
+    """Added / removed / context / other line counts per part."""
+    return dops.with_line_counts(_parts(spark, sf_dir)).select(
+        *_DK, "part_no", "n_added", "n_removed", "n_context", "n_other")
+
+
+@register("fragment_keys", _diff_sql("""SELECT repo_url, commit_hash, part_no,
+  'part_' || CAST(part_no AS VARCHAR) || '_' || replace(file, '/', '_') AS fragment_id FROM parts"""))
+def q_fragment_keys(spark, sf_dir):
+    """D6 + S8: part number and fragment name per part."""
+    return _parts(spark, sf_dir).select(*_DK, "part_no", dops.fragment_id().alias("fragment_id"))
+
+
+@register("verdict_prompts", _diff_sql(f"""SELECT repo_url, commit_hash, part_no,
+  {sqltext.q(verdict.PROMPT_HEAD)} || CASE WHEN length(diff_part) > {verdict.MAX_DIFF_CHARS}
+      THEN substr(diff_part, 1, {verdict.MAX_DIFF_CHARS}) || {sqltext.q(verdict.TRUNCATION_MARK)} ELSE diff_part END
+  || {sqltext.q(verdict.PROMPT_TAIL)} AS prompt FROM parts"""))
+def q_verdict_prompts(spark, sf_dir):
+    """The classifier prompt per part."""
+    return _parts(spark, sf_dir).select(*_DK, "part_no", verdict.prompt_text().alias("prompt"))
+
+
+_RULE_F, _RULE_E = sqltext.rule_scorer_cols()
+
+
+@register("functional_rule_scorer", _diff_sql(f"""SELECT repo_url, commit_hash, part_no,
+  {_RULE_F} AS is_functional, {_RULE_E} AS explanation FROM parts"""))
+def q_functional_rule_scorer(spark, sf_dir):
+    """The default (rule) scorer's verdict per part."""
+    return verdict.rule_scorer(_parts(spark, sf_dir)).select(*_DK, "part_no", "is_functional", "explanation")
+
+
+_ANSWER = sqltext.trim("string_split(text, '[/INST]')[-1]")
+
+
+@register("verdict_parse", f"""
+SELECT conv_id, turn,
+  CASE WHEN upper(a) LIKE '%YES%' THEN true WHEN upper(a) LIKE '%NO%' THEN false ELSE true END AS is_functional,
+  CASE WHEN upper(a) LIKE '%YES%' OR upper(a) LIKE '%NO%' THEN a ELSE '{verdict.UNCLEAR_PREFIX}' || a END AS explanation
+FROM (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations WHERE role = 'assistant')""")
+def q_verdict_parse(spark, sf_dir):
+    """Assistant turns of ``conversations`` parsed as classifier replies."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    is_f, expl = verdict.parse_reply("text")
+    return c.select("conv_id", "turn", is_f.alias("is_functional"), expl.alias("explanation"))
