@@ -89,3 +89,16 @@ def with_fixtures(sql: str, *names: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
+
+# F-src2 (ours): source_files_more(project_id, path, content) in C#, JavaScript and Ruby,
+# for the syntax-tree tool's extra languages.
+SOURCE_FILES_MORE_SELECT = [
+    "'proj' || CAST(doc_id % 4 AS string) AS project_id",
+    "'web/g' || CAST(doc_id AS string) || CASE doc_id % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.js' ELSE '.rb' END AS path",
+    """CASE doc_id % 3
+    WHEN 0 THEN 'public class C' || CAST(doc_id AS string) || chr(10) || '{' || chr(10) || '    public static int Top(int a)' || chr(10) || '    {' || chr(10) || '        ' || replace(text, '. ', ';' || chr(10) || '    }' || chr(10) || '    private void G(string p) { if (x) { y(); } ') || chr(10) || '    }' || chr(10) || '}' || chr(10)
+    WHEN 1 THEN 'function top(a, b) {' || chr(10) || '  ' || replace(text, '. ', ';' || chr(10) || '}' || chr(10) || 'export async function g(x) { if (x) { y(); } ') || chr(10) || '}' || chr(10)
+    ELSE 'def top(a, b)' || chr(10) || '  ' || replace(replace(text, chr(10), chr(10) || '  '), '. ', chr(10) || 'end' || chr(10) || 'def g(x)' || chr(10) || '  ') || chr(10) || 'end' || chr(10)
+  END AS content""",
+]
+_FIXTURES["source_files_more"] = (SOURCE_FILES_MORE_SELECT, "length(text) <= 8000")

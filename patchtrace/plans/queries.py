@@ -318,3 +318,87 @@ def q_verdict_parse(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     is_f, expl = verdict.parse_reply("text")
     return c.select("conv_id", "turn", is_f.alias("is_functional"), expl.alias("explanation"))
+
+
+# ---------------------------------------------------------------------------------
+# Function inventory over the derived sources F-src (and F-src2 for C#/JS/Ruby).
+# ---------------------------------------------------------------------------------
+from patchtrace.operators import extract as xops  # noqa: E402
+
+
+def _src_sql(select: str, extra: bool = False) -> str:
+    src = "source_files_more" if extra else "source_files"
+    return with_fixtures(f"WITH {sqltext.function_ctes(src, extra)}\n{select}", src)
+
+
+def _functions(spark, sf_dir, extra=False):
+    src = fixture(spark, sf_dir, "source_files_more" if extra else "source_files")
+    return xops.extract_functions(src, extra=extra)
+
+
+_FN_COLS = ["path", "fn_no", "name", "signature", "start_line", "end_line", "body"]
+_FN_SEL = ", ".join(_FN_COLS)
+
+
+@register("language_labels", _src_sql(f"""SELECT path, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS suffix,
+  {sqltext.lang_case('path', xops.LANGUAGE_SUFFIXES)} AS language FROM source_files"""))
+def q_language_labels(spark, sf_dir):
+    """suffix and language label per source file."""
+    src = fixture(spark, sf_dir, "source_files")
+    return src.select("path", xops.suffix("path").alias("suffix"), xops.language_label("path").alias("language"))
+
+
+@register("comment_strip", _src_sql("SELECT path, code FROM bf"))
+def q_comment_strip(spark, sf_dir):
+    """comment-stripped text of the brace-language files."""
+    f = xops.label_files(fixture(spark, sf_dir, "source_files").select("path", "content"))
+    return (f.where(F.col("language").isin("c", "cpp", "java", "rust"))
+             .select("path", xops.strip_comments(F.col("content")).alias("code")))
+
+
+for _key, _langs, _doc in [("functions_c", ("c", "cpp"), "F3: C/C++ functions (brace plan)."),
+                           ("functions_java", ("java",), "F4: Java methods (brace plan)."),
+                           ("functions_rust", ("rust",), "F5: Rust functions (brace plan)."),
+                           ("functions_python", ("python",), "F6: Python functions (line plan).")]:
+    def _make(langs, doc):
+        def q_fn(spark, sf_dir):
+            return _functions(spark, sf_dir).where(F.col("language").isin(*langs)).select(*_FN_COLS)
+        q_fn.__doc__ = doc
+        return q_fn
+    _in = ", ".join(f"'{x}'" for x in _langs)
+    register(_key, _src_sql(f"SELECT {_FN_SEL} FROM functions WHERE language IN ({_in})"))(_make(_langs, _doc))
+
+for _key, _lang, _doc in [("functions_cs", "csharp", "F10: C# methods (our header rule)."),
+                          ("functions_js", "javascript", "F10: JavaScript function declarations (our rule)."),
+                          ("functions_ruby", "ruby", "F10: Ruby methods (our def/end rule).")]:
+    def _make2(lang, doc):
+        def q_fn(spark, sf_dir):
+            return _functions(spark, sf_dir, extra=True).where(F.col("language") == lang).select(*_FN_COLS)
+        q_fn.__doc__ = doc
+        return q_fn
+    register(_key, _src_sql(f"SELECT {_FN_SEL} FROM functions WHERE language = '{_lang}'", extra=True))(_make2(_lang, _doc))
+
+
+@register("function_spans", _src_sql("SELECT path, fn_no, language, start_line, end_line, start_pos, end_pos FROM functions"))
+def q_function_spans(spark, sf_dir):
+    """F7 + F8: line numbers and offsets of every function (all five languages)."""
+    return _functions(spark, sf_dir).select("path", "fn_no", "language", "start_line", "end_line", "start_pos", "end_pos")
+
+
+@register("functions_nested", _src_sql("""SELECT path, CAST(count(*) AS BIGINT) AS n_functions,
+  list(name ORDER BY fn_no) AS names, list(start_line ORDER BY fn_no) AS start_lines FROM functions GROUP BY path"""))
+def q_functions_nested(spark, sf_dir):
+    """Functions grouped under their file (the JSON sink's shape)."""
+    n = xops.nested_by_file(_functions(spark, sf_dir))
+    return n.select("path", F.size("functions").cast("long").alias("n_functions"),
+                    F.col("functions.name").alias("names"), F.col("functions.start_line").alias("start_lines"))
+
+
+@register("inventory_counts", _src_sql("""SELECT l.language, count(*) AS n_files, count(n) AS n_files_with_functions,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS n_functions
+FROM (SELECT path, language FROM lf WHERE language IS NOT NULL) l
+LEFT JOIN (SELECT path, count(*) AS n FROM functions GROUP BY path) c USING (path) GROUP BY l.language"""))
+def q_inventory_counts(spark, sf_dir):
+    """supported files, files with functions and functions, per language."""
+    src = fixture(spark, sf_dir, "source_files")
+    return xops.inventory_counts(src, _functions(spark, sf_dir))

@@ -65,3 +65,106 @@ def rule_scorer_cols(hl: str = "hl", file: str = "file") -> tuple[str, str]:
     is_f = f"NOT ({doc} OR {same})"
     expl = f"CASE WHEN {doc} THEN {q(v.EXPLAIN_DOC)} WHEN {same} THEN {q(v.EXPLAIN_SAME)} ELSE {q(v.EXPLAIN_CODE)} END"
     return is_f, expl
+
+
+def lang_case(path: str, table: dict[str, list[str]]) -> str:
+    sfx = f"lower(regexp_extract({path}, '[^/](\\.[^./]+)$', 1))"
+    whens = " ".join(f"WHEN {sfx} IN ({', '.join(q(e) for e in exts)}) THEN {q(lang)}" for lang, exts in table.items())
+    return f"CASE {whens} END"
+
+
+def function_ctes(src: str, extra: bool = False, p: str = "") -> str:
+    """CTEs ending in ``{p}functions`` (the extractor's output columns) over ``src``
+    (path, content): brace plan and line plan by window functions."""
+    from patchtrace.operators import extract as x
+
+    table = dict(x.LANGUAGE_SUFFIXES, **(x.EXTRA_LANGUAGE_SUFFIXES if extra else {}))
+    brace = ["c", "cpp", "java", "rust"] + (["csharp", "javascript"] if extra else [])
+
+    def by_lang(idx_of):
+        whens = []
+        for lang in brace:
+            pat, *groups = x.BRACE_RULES[lang]
+            gi = idx_of(groups)
+            expr = f"regexp_extract(t, {q(pat)}, {gi})" if gi is not None else "'fn'"
+            whens.append(f"WHEN {q(lang)} THEN {expr}")
+        return f"CASE language {' '.join(whens)} END"
+
+    m = by_lang(lambda g: 0)
+    name = by_lang(lambda g: g[0])
+    kind = by_lang(lambda g: g[1] or None)
+    params = by_lang(lambda g: g[2])
+    nl = "(length({0}) - length(replace({0}, chr(10), '')))"
+    lstrip = f"regexp_replace(line, '^{S}+', '')"
+    ctes = f"""{p}lf AS (SELECT path, content, {lang_case('path', table)} AS language FROM {src}),
+{p}bf AS (SELECT path, language, regexp_replace(regexp_replace(content, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g') AS code
+          FROM {p}lf WHERE language IN ({', '.join(q(b) for b in brace)})),
+{p}bs AS (SELECT path, language, generate_subscripts(segs, 1) AS i, unnest(segs) AS seg
+          FROM (SELECT path, language, regexp_extract_all(code, '[^{{}}]*[{{}}]', 0) AS segs FROM {p}bf)),
+{p}bw AS (SELECT *, right(seg, 1) = '{{' AS is_open, CAST(sum(length(seg)) OVER w AS BIGINT) AS e,
+                 CAST(sum(CASE WHEN right(seg, 1) = '{{' THEN 1 ELSE -1 END) OVER w AS BIGINT) AS d,
+                 CAST(sum({nl.format('seg')}) OVER w AS BIGINT) AS cnl
+          FROM {p}bs WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}bm AS (SELECT *, lead(e) OVER v AS close_e, lead(cnl) OVER v AS close_cnl, lead(is_open) OVER v AS close_open
+          FROM (SELECT *, CASE WHEN is_open THEN d ELSE d + 1 END AS lvl FROM {p}bw)
+          WINDOW v AS (PARTITION BY path, lvl ORDER BY i)),
+{p}bt AS (SELECT *, CASE WHEN i > 1 THEN chr(1) ELSE '' END || seg AS t
+          FROM {p}bm WHERE is_open AND close_e IS NOT NULL AND NOT close_open),
+{p}bx AS (SELECT path, language, e, cnl, close_e, close_cnl, {m} AS m, {name} AS name, {kind} AS kind, {params} AS params
+          FROM {p}bt),
+{p}bfn AS (SELECT x.path, x.language, name, {trim(f"{trim('kind')} || ' ' || name || params")} AS signature,
+                  e - length(m) AS start_pos, close_e AS end_pos,
+                  cnl - {nl.format('m')} + 1 AS start_line, close_cnl + 1 AS end_line,
+                  {trim('substr(b.code, e - length(m) + 1, close_e - (e - length(m)))')} AS body
+           FROM {p}bx x JOIN {p}bf b USING (path) WHERE m <> ''),
+{p}pl AS (SELECT path, generate_subscripts(ls, 1) - 1 AS ln, unnest(ls) AS line
+          FROM (SELECT path, string_split(content, chr(10)) AS ls FROM {p}lf WHERE language = 'python')),
+{p}pw AS (SELECT *, CAST(sum(length(line) + 1) OVER w AS BIGINT) - length(line) - 1 AS off, count(*) OVER (PARTITION BY path) AS n_lines,
+                 {trim('line')} <> '' AND NOT starts_with({trim('line')}, '#') AS sig,
+                 length(line) - length({lstrip}) AS indent, regexp_extract(line, {q(x.PY_DEF)}, 2) AS sig_txt
+          FROM {p}pl WINDOW w AS (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}pd AS (SELECT * FROM {p}pw WHERE sig_txt <> ''),
+{p}pb AS (SELECT DISTINCT path, indent AS bound FROM {p}pd),
+{p}pn AS (SELECT path, ln, indent, bound, lead(ln) OVER v AS next_ln, lead(off) OVER v AS next_off
+          FROM (SELECT s.path, s.ln, s.off, s.indent, b.bound FROM {p}pw s JOIN {p}pb b ON s.path = b.path AND s.indent <= b.bound WHERE s.sig)
+          WINDOW v AS (PARTITION BY path, bound ORDER BY ln)),
+{p}pe AS (SELECT d.*, coalesce(n.next_ln, d.n_lines) AS end_ln, n.next_off
+          FROM {p}pd d LEFT JOIN (SELECT * FROM {p}pn WHERE indent = bound) n USING (path, ln)),
+{p}pk AS (SELECT *, max(end_ln) OVER (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+          FROM {p}pe),
+{p}pfn AS (SELECT k.path, 'python' AS language, regexp_extract(line, {q(x.PY_DEF)}, 3) AS name, {trim('sig_txt')} AS signature,
+                  off AS start_pos, CASE WHEN next_off IS NULL THEN length(f.content) ELSE next_off - 1 END AS end_pos,
+                  ln + 1 AS start_line, end_ln AS end_line,
+                  CASE WHEN next_off IS NULL THEN substr(f.content, off + 1) ELSE substr(f.content, off + 1, next_off - 1 - off) END AS body
+           FROM {p}pk k JOIN {p}lf f USING (path) WHERE reach IS NULL OR reach <= ln)"""
+    parts = [f"SELECT path, name, signature, body, start_line, end_line, language, start_pos, end_pos FROM {p}{t}"
+             for t in ("bfn", "pfn")]
+    if extra:
+        ruby = ruby_ctes(p)
+        ctes += ",\n" + ruby
+        parts.append(f"SELECT path, name, signature, body, start_line, end_line, language, start_pos, end_pos FROM {p}rfn")
+    union = "\n  UNION ALL ".join(parts)
+    ctes += f""",
+{p}functions AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_pos) - 1 AS INTEGER) AS fn_no,
+                 name, signature, body, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line,
+                 language, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos
+          FROM ({union}))"""
+    return ctes
+
+
+def ruby_ctes(p: str = "") -> str:
+    from patchtrace.operators import extract as x
+    lstrip = f"regexp_replace(line, '^{S}+', '')"
+    return f"""{p}rl AS (SELECT path, generate_subscripts(ls, 1) - 1 AS ln, unnest(ls) AS line
+          FROM (SELECT path, string_split(content, chr(10)) AS ls FROM {p}lf WHERE language = 'ruby')),
+{p}rw AS (SELECT *, CAST(sum(length(line) + 1) OVER w AS BIGINT) - length(line) - 1 AS off, length(line) - length({lstrip}) AS indent,
+                 regexp_matches(line, {q(x.RUBY_DEF)}) AS is_def, regexp_matches(line, {q(x.RUBY_END)}) AS is_end
+          FROM {p}rl WINDOW w AS (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}rm AS (SELECT *, last_value(CASE WHEN NOT is_def THEN ln END IGNORE NULLS) OVER v AS end_ln,
+                 last_value(CASE WHEN NOT is_def THEN off + length(line) END IGNORE NULLS) OVER v AS end_off
+          FROM {p}rw WHERE is_def OR is_end
+          WINDOW v AS (PARTITION BY path, indent ORDER BY ln DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{p}rfn AS (SELECT r.path, 'ruby' AS language, regexp_extract(line, {q(x.RUBY_DEF)}, 2) AS name, {trim('line')} AS signature,
+                  off + indent AS start_pos, end_off AS end_pos, ln + 1 AS start_line, end_ln + 1 AS end_line,
+                  substr(f.content, off + indent + 1, end_off - off - indent) AS body
+           FROM {p}rm r JOIN {p}lf f USING (path) WHERE is_def AND end_ln IS NOT NULL)"""
