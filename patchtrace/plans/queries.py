@@ -402,3 +402,66 @@ def q_inventory_counts(spark, sf_dir):
     """supported files, files with functions and functions, per language."""
     src = fixture(spark, sf_dir, "source_files")
     return xops.inventory_counts(src, _functions(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------
+# Embedding with the built-in hashed encoder.
+# ---------------------------------------------------------------------------------
+from patchtrace.operators import embed as eops  # noqa: E402
+
+
+def _round_vec(c="embedding", digits=6):
+    return F.transform(F.col(c), lambda v: F.round(v, digits)).alias(c)
+
+
+@register("token_windows", f"""
+WITH {sqltext.embed_ctes('documents', ['doc_id'], 'text', 'd_')}
+SELECT doc_id, CAST(w AS INTEGER) AS win_no, CAST(w * 256 AS INTEGER) AS start, CAST(least(w * 256 + 512, L) AS INTEGER) AS "end"
+FROM d_wn""")
+def q_token_windows(spark, sf_dir):
+    """Token windows (512 / stride 256) of every whole document."""
+    d = table(spark, sf_dir, "documents")
+    return eops.token_windows(d, ["doc_id"]).select("doc_id", "win_no", "start", "end")
+
+
+@register("window_vectors", f"""
+WITH {sqltext.embed_ctes('documents', ['doc_id'], 'text', 'd_', per_window=True)}
+SELECT doc_id, CAST(w AS INTEGER) AS win_no, {sqltext.round_list('embedding')} AS embedding FROM d_vec""")
+def q_window_vectors(spark, sf_dir):
+    """The hashed encoder's vector of every window of every document."""
+    d = table(spark, sf_dir, "documents")
+    v = eops.window_vectors(eops.token_windows(d, ["doc_id"]), ["doc_id"])
+    return v.select("doc_id", "win_no", _round_vec())
+
+
+@register("mean_pool", f"""
+WITH {sqltext.embed_ctes('documents', ['doc_id'], 'text', 'd_')}
+SELECT doc_id, {sqltext.round_list('embedding')} AS embedding FROM d_vec""")
+def q_mean_pool(spark, sf_dir):
+    """Mean of the window vectors per document (dense path)."""
+    d = table(spark, sf_dir, "documents")
+    v = eops.mean_pool(eops.window_vectors(eops.token_windows(d, ["doc_id"]), ["doc_id"]), ["doc_id"])
+    return v.select("doc_id", _round_vec())
+
+
+@register("corpus_embeddings", with_fixtures(f"""
+WITH {sqltext.embed_ctes('source_files', ['path'], 'content', 'f_')}
+SELECT path, {sqltext.round_list('embedding')} AS embedding FROM f_vec""", "source_files"))
+def q_corpus_embeddings(spark, sf_dir):
+    """E5: one vector per source file (fused windows + mean)."""
+    src = fixture(spark, sf_dir, "source_files")
+    return eops.embed_texts(src, ["path"], "content").select("path", _round_vec())
+
+
+@register("zero_fallback", _diff_sql(f"""
+, {sqltext.embed_ctes('parts', ['repo_url', 'commit_hash', 'part_no'], 'old_version', 'z_', special=False)}
+SELECT p.repo_url, p.commit_hash, p.part_no,
+       coalesce({sqltext.round_list('v.embedding')}, list_transform(range(256), lambda i: 0.0)) AS embedding
+FROM parts p LEFT JOIN z_vec v USING (repo_url, commit_hash, part_no)""".replace("\n, ", ",\n", 1)))
+def q_zero_fallback(spark, sf_dir):
+    """Old versions embedded without special tokens; parts with fewer than two
+    tokens (pure additions) get the zero vector."""
+    parts = dops.with_old_version(_parts(spark, sf_dir))
+    key = ["repo_url", "commit_hash", "part_no"]
+    v = eops.embed_texts(parts, key, "old_version", special=False)
+    return eops.with_zero_fallback(parts, v, key).select(*key, _round_vec())

@@ -168,3 +168,43 @@ def ruby_ctes(p: str = "") -> str:
                   off + indent AS start_pos, end_off AS end_pos, ln + 1 AS start_line, end_ln + 1 AS end_line,
                   substr(f.content, off + indent + 1, end_off - off - indent) AS body
            FROM {p}rm r JOIN {p}lf f USING (path) WHERE is_def AND end_ln IS NOT NULL)"""
+
+
+def tokens(text: str, special: bool = True) -> str:
+    from patchtrace.operators import embed as e
+    t = f"regexp_extract_all({text}, {q(e.TOKEN_PATTERN)}, 0)"
+    return f"list_concat(['<s>'], {t}, ['</s>'])" if special else t
+
+
+def bucket(tok: str) -> str:
+    h = "'0123456789abcdef'"
+    return f"((strpos({h}, substr(md5({tok}), 7, 1)) - 1) * 16 + strpos({h}, substr(md5({tok}), 8, 1)) - 1)"
+
+
+def n_windows(L: str) -> str:
+    return f"(CASE WHEN {L} < 2 THEN 0 WHEN {L} <= 512 THEN 1 ELSE CAST(ceil(({L} - 512) / 256.0) AS INTEGER) + 1 END)"
+
+
+def embed_ctes(src: str, key: list[str], text: str, p: str, special: bool = True, per_window: bool = False) -> str:
+    """CTEs ending in ``{p}vec(key..., embedding)``: windows exploded, tokens of each
+    window counted per bucket, mean over windows (or per window with ``per_window``)."""
+    k = ", ".join(key)
+    kk = key + (["w"] if per_window else [])
+    kks = ", ".join(kk)
+    on = " AND ".join(f"s.{c} = ks.{c}" for c in kk)
+    den = "1.0" if per_window else "ks.nw"
+    return f"""{p}tw AS (SELECT {k}, toks, len(toks) AS L, {n_windows('len(toks)')} AS nw
+          FROM (SELECT {k}, {tokens(text, special)} AS toks FROM {src})),
+{p}wn AS (SELECT {k}, toks, L, nw, unnest(range(nw)) AS w FROM {p}tw WHERE nw > 0),
+{p}wt AS (SELECT {k}, w, nw, unnest(toks[w * 256 + 1 : least(w * 256 + 512, L)]) AS t FROM {p}wn),
+{p}sp AS (SELECT {kks}, {bucket('t')} AS b, count(*) AS n FROM {p}wt GROUP BY ALL),
+{p}ks AS (SELECT DISTINCT {kks}, nw FROM {p}wn),
+{p}vec AS (SELECT {', '.join('ks.' + c + ' AS ' + c for c in kk)},
+                  list(coalesce(CAST(s.n AS DOUBLE), 0.0) / {den} ORDER BY g.b) AS embedding
+           FROM {p}ks ks CROSS JOIN (SELECT range AS b FROM range(256)) g
+           LEFT JOIN {p}sp s ON {on} AND s.b = g.b
+           GROUP BY ALL)"""
+
+
+def round_list(x: str, digits: int = 6) -> str:
+    return f"list_transform({x}, lambda v: round(v, {digits}))"
