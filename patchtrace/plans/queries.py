@@ -465,3 +465,89 @@ def q_zero_fallback(spark, sf_dir):
     key = ["repo_url", "commit_hash", "part_no"]
     v = eops.embed_texts(parts, key, "old_version", special=False)
     return eops.with_zero_fallback(parts, v, key).select(*key, _round_vec())
+
+
+# ---------------------------------------------------------------------------------
+# Fragments, end-to-end match and report (the reference's threshold 0.947).
+# ---------------------------------------------------------------------------------
+from patchtrace.plans import pipeline  # noqa: E402
+from patchtrace.sources import sinks  # noqa: E402
+
+_VK = ["cve_id", "repo_url", "commit_hash"]
+_VF_RULE_F, _ = sqltext.rule_scorer_cols()
+_FRAG_CTES = f"""{_CVE_CTES},
+vj AS (SELECT k.cve_id, k.repo_url, k.commit_hash, c.diff_text FROM keys k JOIN commit_diffs c USING (repo_url, commit_hash)),
+{sqltext.diff_ctes('vj', _VK, prefix='v_')},
+vfrag AS (SELECT 'part_' || CAST(part_no AS VARCHAR) || '_' || replace(file, '/', '_') AS fragment_id,
+                 cve_id, repo_url, commit_hash, part_no, file, old_version AS code
+          FROM v_parts WHERE {_VF_RULE_F})"""
+
+
+def _m6_sql(select: str) -> str:
+    return with_fixtures(f"WITH {_FRAG_CTES}\n{select}", "cve_feed", "commit_diffs", "source_files")
+
+
+@register("vulnerable_fragments", _m6_sql("SELECT fragment_id, cve_id, repo_url, commit_hash, part_no, file, code FROM vfrag"))
+def q_vulnerable_fragments(spark, sf_dir):
+    """D8 + T7: functional parts of 2014 CVE fix commits with their pre-fix code."""
+    return pipeline.vulnerable_fragments(fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"))
+
+
+def _unit_ctes(vec: str, out: str) -> str:
+    return f"{out} AS (SELECT path, embedding AS v, sqrt(list_dot_product(embedding, embedding)) AS nrm FROM {vec})"
+
+
+_KV_CTES = f""",
+frag AS (SELECT cve_id || '/' || replace(regexp_replace(repo_url, '^https://', ''), '/', '_') || '_' || commit_hash || '/' || fragment_id AS path,
+                cve_id, code AS text FROM vfrag WHERE code <> ''),
+{sqltext.function_ctes('source_files', p='s_')},
+fn AS (SELECT path || '#' || CAST(fn_no AS VARCHAR) AS path, body AS text FROM s_functions),
+{sqltext.embed_ctes('frag', ['path'], 'text', 'c_')},
+{sqltext.embed_ctes('fn', ['path'], 'text', 'p_')},
+{_unit_ctes('c_vec', 'cu')}, {_unit_ctes('p_vec', 'pu')},
+kv AS (SELECT * FROM (SELECT a.path AS cve_function_path, b.path AS project_function_path,
+                             CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END AS similarity
+                      FROM cu a, pu b) WHERE similarity >= {match.REFERENCE_THRESHOLD})"""
+
+
+@register("known_vulnerabilities")
+def q_known_vulnerabilities(spark, sf_dir):
+    """M6: CVE fragments (2014, functional) matched against every function of the corpus."""
+    r = pipeline.known_vulnerabilities(spark, fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"),
+                                       fixture(spark, sf_dir, "source_files"))
+    return match.rounded(r)
+
+
+ORACLE["known_vulnerabilities"] = with_fixtures(f"""WITH {_FRAG_CTES}{_KV_CTES}
+SELECT f.cve_id, kv.cve_function_path, kv.project_function_path, round(kv.similarity, 4) AS similarity
+FROM kv JOIN frag f ON f.path = kv.cve_function_path""", "cve_feed", "commit_diffs", "source_files")
+ORACLE["clone_counts_e2e"] = with_fixtures(f"""WITH {_FRAG_CTES}{_KV_CTES}
+SELECT cve_function_path, count(*) AS n_clones FROM kv GROUP BY cve_function_path""", "cve_feed", "commit_diffs", "source_files")
+
+
+@register("clone_counts_e2e")
+def q_clone_counts_e2e(spark, sf_dir):
+    """M3 on the end-to-end pairs: clones found per CVE fragment."""
+    r = pipeline.known_vulnerabilities(spark, fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"),
+                                       fixture(spark, sf_dir, "source_files"))
+    return match.clone_counts(r)
+
+
+@register("clone_report", f"""
+WITH {sqltext.embed_ctes('(SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents)', ['path'], 'text', 'd_')},
+{_unit_ctes('d_vec', 'du')}
+SELECT * FROM (SELECT a.path AS cve_function_path, b.path AS project_function_path,
+                      round(CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END, 4) AS similarity,
+                      CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END AS s
+               FROM du a JOIN du b ON a.path < b.path) WHERE s >= {match.REFERENCE_THRESHOLD}""".replace(
+    "SELECT * FROM (", "SELECT cve_function_path, project_function_path, similarity FROM ("))
+def q_clone_report(spark, sf_dir):
+    """Near-copy report over all documents at 0.947 (each unordered pair once),
+    written as JSON to the shared folder and read back."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    v = eops.embed_texts(d, ["path"])
+    pairs = match.clone_pairs(spark, v, v, match.REFERENCE_THRESHOLD)
+    pairs = pairs.where(F.col("cve_function_path") < F.col("project_function_path"))
+    out = shared_path(spark, "reports", uuid.uuid4().hex)
+    sinks.write_clone_report(match.rounded(pairs), out)
+    return sinks.read_clone_report(spark, out)
