@@ -551,3 +551,169 @@ def q_clone_report(spark, sf_dir):
     out = shared_path(spark, "reports", uuid.uuid4().hex)
     sinks.write_clone_report(match.rounded(pairs), out)
     return sinks.read_clone_report(spark, out)
+
+
+# ---------------------------------------------------------------------------------
+# Sources, syntax-tree tool outputs, output keys, upsert, incremental and streamed use.
+# ---------------------------------------------------------------------------------
+from patchtrace.operators import spans as spops  # noqa: E402
+from patchtrace.sources import files as filesrc  # noqa: E402
+from patchtrace.streaming import incremental  # noqa: E402
+
+
+@register("source_tree_filter", with_fixtures(f"""
+SELECT path, {sqltext.lang_case('path', xops.LANGUAGE_SUFFIXES)} AS language,
+       regexp_matches(path, '^src/[^/]+$') AS in_flat_listing
+FROM (SELECT path FROM source_files UNION ALL SELECT path FROM source_files_more
+      UNION ALL SELECT 'docs/d' || CAST(doc_id AS VARCHAR) || '.md' FROM documents)
+WHERE lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ({', '.join(sqltext.q(s) for s in filesrc.supported_suffixes())})""",
+    "source_files", "source_files_more"))
+def q_source_tree_filter(spark, sf_dir):
+    """Supported files of a listing (F-src, F-src2 and markdown docs), with the flat
+    (non-recursive) listing of folder ``src`` marked."""
+    listing = (fixture(spark, sf_dir, "source_files").select("path")
+               .unionByName(fixture(spark, sf_dir, "source_files_more").select("path"))
+               .unionByName(table(spark, sf_dir, "documents")
+                            .select(F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))))
+    kept = filesrc.filter_supported(listing)
+    return kept.select("path", xops.language_label("path").alias("language"),
+                       filesrc.flat_listing(kept, "src").alias("in_flat_listing"))
+
+
+@register("decode_policy", with_fixtures("""
+SELECT path, 'ignore' AS policy, content AS text FROM source_files
+UNION ALL SELECT path, 'skip' AS policy, content AS text FROM source_files WHERE NOT ends_with(lower(path), '.c')""",
+    "source_files"))
+def q_decode_policy(spark, sf_dir):
+    """S3: F-src stored as CRLF bytes, with an undecodable byte appended to the .c files;
+    decoded under both policies (ignore: byte dropped; skip: file dropped)."""
+    src = fixture(spark, sf_dir, "source_files")
+    raw = src.select("path", F.concat(
+        F.encode(F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n")), "UTF-8"),
+        F.when(F.lower("path").endswith(".c"), F.expr("X'FF'")).otherwise(F.expr("X''"))).alias("content"))
+    ign = filesrc.decoded_files(raw, "ignore").select("path", F.lit("ignore").alias("policy"), "text")
+    skp = filesrc.decoded_files(raw, "skip").select("path", F.lit("skip").alias("policy"), "text")
+    return ign.unionByName(skp)
+
+
+def _dumps(spark, sf_dir):
+    """Parse dumps derived from the F-src function table: one dump per file, one
+    function node (with a child) and one comment node per function."""
+    f = _functions(spark, sf_dir).withColumn("_kind", spops.node_kind("path"))
+    r1 = (F.col("start_line") - 1).cast("string")
+    r2 = (F.col("end_line") - 1).cast("string")
+    node = F.concat(F.lit("\n  ("), F.col("_kind"), F.lit(" ["), r1, F.lit(", 0] - ["), r2, F.lit(", 1]\n"),
+                    F.lit("    name: (identifier ["), r1, F.lit(", 4] - ["), r1, F.lit(", 7]))\n"),
+                    F.lit("  (comment ["), r2, F.lit(", 0] - ["), r2, F.lit(", 2])"))
+    g = f.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("fn_no", node.alias("node")))).alias("_n"))
+    return g.select(F.col("path").alias("file_path"),
+                    F.concat(F.lit("(translation_unit [0, 0] - [9999, 0]"),
+                             F.array_join(F.transform("_n", lambda x: x["node"]), ""), F.lit(")")).alias("dump"))
+
+
+def _dump_sql() -> str:
+    from patchtrace.operators.spans import SUFFIX_NODE_KIND
+    kinds = sorted(set(SUFFIX_NODE_KIND.values()))
+    ext = "CASE kind " + " ".join(
+        f"WHEN {sqltext.q(k)} THEN regexp_extract_all(dump, {sqltext.q(spops.node_pattern(k))}, 0)" for k in kinds) + " END"
+    num = r"\[([0-9]+),[^0-9]*([0-9]+)\][^\[]*\[([0-9]+),[^0-9]*([0-9]+)\]"
+    return f""",
+dumps AS (SELECT path AS file_path, '(translation_unit [0, 0] - [9999, 0]' ||
+                 string_agg({sqltext.dump_node(sqltext.node_kind_case('path'), 'start_line', 'end_line')}, '' ORDER BY fn_no) || ')' AS dump
+          FROM functions GROUP BY path),
+spx AS (SELECT file_path, generate_subscripts(ns, 1) - 1 AS span_no, unnest(ns) AS node
+        FROM (SELECT file_path, {ext} AS ns FROM (SELECT *, {sqltext.node_kind_case('file_path')} AS kind FROM dumps) WHERE kind IS NOT NULL)),
+spn AS (SELECT file_path, CAST(span_no AS INTEGER) AS span_no,
+               CAST(regexp_extract(node, '{num}', 1) AS INTEGER) AS start_row, CAST(regexp_extract(node, '{num}', 2) AS INTEGER) AS start_col,
+               CAST(regexp_extract(node, '{num}', 3) AS INTEGER) AS end_row, CAST(regexp_extract(node, '{num}', 4) AS INTEGER) AS end_col
+        FROM spx)"""
+
+
+@register("dump_spans")
+def q_dump_spans(spark, sf_dir):
+    """function spans read from parse dumps (kind chosen by file suffix)."""
+    return spops.dump_spans(_dumps(spark, sf_dir))
+
+
+ORACLE["dump_spans"] = with_fixtures(f"WITH {sqltext.function_ctes('source_files')}{_dump_sql()}\n"
+                                     "SELECT file_path, span_no, start_row, start_col, end_row, end_col FROM spn", "source_files")
+
+
+@register("span_slices")
+def q_span_slices(spark, sf_dir):
+    """the text of each dump span, cut from the source file by (row, column)."""
+    src = fixture(spark, sf_dir, "source_files").select(F.col("path").alias("file_path"), "content")
+    return spops.slice_spans(spops.dump_spans(_dumps(spark, sf_dir)), src).select(
+        "file_path", "span_no", "contents")
+
+
+ORACLE["span_slices"] = with_fixtures(f"""WITH {sqltext.function_ctes('source_files')}{_dump_sql()},
+sl AS (SELECT path AS file_path, generate_subscripts(ls, 1) - 1 AS row, unnest(ls) AS line
+       FROM (SELECT path, string_split(content, chr(10)) AS ls FROM source_files)),
+so AS (SELECT file_path, row, length(line) + 1 AS len,
+              CAST(sum(length(line) + 1) OVER (PARTITION BY file_path ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length(line) - 1 AS off
+       FROM sl),
+ab AS (SELECT n.file_path, n.span_no, s.off + least(n.start_col, s.len) AS a, e.off + least(n.end_col, e.len) AS b
+       FROM spn n JOIN so s ON s.file_path = n.file_path AND s.row = n.start_row
+                  JOIN so e ON e.file_path = n.file_path AND e.row = n.end_row)
+SELECT ab.file_path, ab.span_no, CASE WHEN b > a THEN substr(f.content, a + 1, b - a) ELSE '' END AS contents
+FROM ab JOIN source_files f ON f.path = ab.file_path""", "source_files")
+
+
+@register("upsert_latest", """
+SELECT file_path, seq, lang, n_chars FROM (
+  SELECT source AS file_path, doc_id AS seq, lang, n_chars,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
+def q_upsert_latest(spark, sf_dir):
+    """latest record per key over a record stream with many records per key
+    (documents as records keyed by source, ordered by id)."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("seq"),
+                                                  "lang", "n_chars")
+    return spops.latest_per_key(d, "file_path", "seq")
+
+
+@register("function_output_keys", _src_sql("""SELECT path, fn_no, name, row_number() OVER (ORDER BY path, fn_no) - 1 AS counter,
+  name || CAST(row_number() OVER (ORDER BY path, fn_no) - 1 AS VARCHAR) AS output_key FROM functions"""))
+def q_function_output_keys(spark, sf_dir):
+    """Per-function output names ``<name><running counter>`` in (path, fn_no) order."""
+    return sinks.output_keys(_functions(spark, sf_dir))
+
+
+@register("new_commits_only", with_fixtures(f"""
+WITH {_CVE_CTES},
+allkeys AS (SELECT DISTINCT cve_id, repo_url, commit_hash FROM (
+   SELECT cve_id, 'https://github.com/' || regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) AS repo_url,
+          regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 2) AS commit_hash, substr(cve_id, 5, 4) AS y
+   FROM (SELECT DISTINCT link, cve_id FROM links) WHERE regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) <> ''))
+SELECT a.cve_id, a.repo_url, a.commit_hash FROM allkeys a
+WHERE NOT EXISTS (SELECT 1 FROM allkeys p WHERE substr(p.cve_id, 5, 4) <= '2013'
+                  AND p.repo_url = a.repo_url AND p.commit_hash = a.commit_hash)""", "cve_feed"))
+def q_new_commits_only(spark, sf_dir):
+    """Commits of all years not already processed by an earlier run (years up to 2013)."""
+    links = cve.commit_links(cve.first_cve_id(fixture(spark, sf_dir, "cve_feed")))
+    keys = cve.commit_keys(cve.cve_links(links)).select("cve_id", "repo_url", "commit_hash").distinct()
+    done = keys.where(cve.cve_year() <= "2013")
+    return incremental.new_only(keys, done, ["repo_url", "commit_hash"])
+
+
+@register("stream_clone_scan", _diff_sql(f"""SELECT repo_url, commit_hash, part_no,
+  'part_' || CAST(part_no AS VARCHAR) || '_' || replace(file, '/', '_') AS fragment_id, old_version AS code
+FROM parts WHERE {_RULE_F}"""))
+def q_stream_clone_scan(spark, sf_dir):
+    """Diffs land as files; a Structured Streaming query (availableNow, checkpointed)
+    mines each file once with the batch operators via foreachBatch."""
+    run = uuid.uuid4().hex
+    landing = shared_path(spark, "landing", run)
+    out = shared_path(spark, "fragments", run)
+    ckpt = shared_path(spark, "stream-state", run)
+    d = fixture(spark, sf_dir, "commit_diffs")
+    d.repartition(4).write.mode("overwrite").parquet(landing)
+
+    def mine(batch):
+        parts = dops.with_old_version(dops.diff_parts(batch))
+        kept = verdict.functional_only(verdict.rule_scorer(parts))
+        return kept.select(*_DK, "part_no", dops.fragment_id().alias("fragment_id"), F.col("old_version").alias("code"))
+
+    incremental.process_arrivals(spark, landing, "repo_url string, commit_hash string, diff_text string",
+                                 out, ckpt, mine, max_files_per_trigger=1)
+    return spark.read.parquet(out).select(*_DK, "part_no", "fragment_id", "code")

@@ -208,3 +208,17 @@ def embed_ctes(src: str, key: list[str], text: str, p: str, special: bool = True
 
 def round_list(x: str, digits: int = 6) -> str:
     return f"list_transform({x}, lambda v: round(v, {digits}))"
+
+
+def node_kind_case(path: str) -> str:
+    from patchtrace.operators.spans import SUFFIX_NODE_KIND
+    sfx = f"lower(regexp_extract({path}, '[^/](\\.[^./]+)$', 1))"
+    return "CASE " + " ".join(f"WHEN {sfx} = {q(s)} THEN {q(k)}" for s, k in SUFFIX_NODE_KIND.items()) + " END"
+
+
+def dump_node(kind: str, sl: str, el: str) -> str:
+    """The derived dump text of one function (see queries.dump rows)."""
+    r1, r2 = f"CAST({sl} - 1 AS VARCHAR)", f"CAST({el} - 1 AS VARCHAR)"
+    return (f"chr(10) || '  (' || {kind} || ' [' || {r1} || ', 0] - [' || {r2} || ', 1]' || chr(10) || "
+            f"'    name: (identifier [' || {r1} || ', 4] - [' || {r1} || ', 7]))' || chr(10) || "
+            f"'  (comment [' || {r2} || ', 0] - [' || {r2} || ', 2])'")
