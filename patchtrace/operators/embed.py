@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchtrace.functions.text import NS
+from patchtrace.functions.vectors import pooled_bucket_means
 
 # Fixed values of the reference: window length, stride, smallest window kept.
 WINDOW = 512
@@ -63,13 +64,14 @@ def token_windows(items: DataFrame, key: list[str], text: str = "text", special:
 
 
 def _dense(sparse: DataFrame, key: list[str], value: str, scale: str | None = None) -> DataFrame:
-    """(key..., bucket, value) -> (key..., embedding array<double> of DIM)."""
-    agg = sparse.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", value))).alias("_m"),
-                                   *([F.first(scale).alias(scale)] if scale else []))
+    """(key..., bucket, value) -> (key..., embedding array<double> of DIM), by a pivot
+    on the known bucket values (one aggregation, no per-bucket lookups)."""
     den = F.col(scale).cast("double") if scale else F.lit(1.0)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)),
-                      lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0)).cast("double") / den)
-    return agg.select(*key, vec.alias("embedding"))
+    if scale:
+        sparse = sparse.withColumn(value, F.col(value).cast("double") / den)
+    wide = sparse.groupBy(*key).pivot("bucket", list(range(DIM))).agg(F.first(value))
+    vec = F.array(*[F.coalesce(F.col(f"`{b}`").cast("double"), F.lit(0.0)) for b in range(DIM)])
+    return wide.select(*key, vec.alias("embedding"))
 
 
 def window_vectors(windows: DataFrame, key: list[str]) -> DataFrame:
@@ -90,8 +92,22 @@ def mean_pool(window_vecs: DataFrame, key: list[str]) -> DataFrame:
 def embed_texts(items: DataFrame, key: list[str], text: str = "text", special: bool = True) -> DataFrame:
     """E1-E3 fused: the mean of the window vectors, without materialising windows.
 
-    Items without any window get no row here; see ``with_zero_fallback``.
+    Map-only: tokens and their bucket ids are computed in the JVM, in the row; the
+    multiplicity-weighted bucket counts of a whole Arrow batch are pooled by one numpy
+    ``bincount``. No token row is shuffled. Items without any window get no row here;
+    see ``with_zero_fallback``.
     """
+    pool = pooled_bucket_means(DIM, WINDOW, STRIDE)
+    t = items.select(*key, tokens(F.col(text), special).alias("_tok"))
+    t = t.withColumn("_n", n_windows(F.size("_tok"))).where(F.col("_n") > 0)
+    t = t.select(*key, "_n", F.transform("_tok", lambda x: bucket(x)).alias("_b"))
+    return t.select(*key, pool(F.col("_b"), F.col("_n")).alias("embedding"))
+
+
+def embed_texts_exploded(items: DataFrame, key: list[str], text: str = "text", special: bool = True) -> DataFrame:
+    """The same result as ``embed_texts`` with DataFrame operators only: one row per
+    token, multiplicity from its position, aggregation by (item, bucket), pivot to a
+    dense vector (kept as the built-in cross-check of the Arrow path)."""
     t = items.select(*key, tokens(F.col(text), special).alias("_tok"))
     t = t.withColumn("_n", n_windows(F.size("_tok"))).where(F.col("_n") > 0)
     e = t.select(*key, "_n", F.posexplode("_tok").alias("_p", "_t"))

@@ -545,7 +545,7 @@ def q_clone_report(spark, sf_dir):
     """Near-copy report over all documents at 0.947 (each unordered pair once),
     written as JSON to the shared folder and read back."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    v = eops.embed_texts(d, ["path"])
+    v = eops.embed_texts(d, ["path"]).checkpoint(eager=True)  # both sides read it once
     pairs = match.clone_pairs(spark, v, v, match.REFERENCE_THRESHOLD)
     pairs = pairs.where(F.col("cve_function_path") < F.col("project_function_path"))
     out = shared_path(spark, "reports", uuid.uuid4().hex)
