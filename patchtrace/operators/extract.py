@@ -206,7 +206,7 @@ def brace_functions(files: DataFrame, languages: list[str]) -> DataFrame:
     code = (files.where(F.col("language").isin(languages))
                  .select("path", "language", strip_comments(F.col("content")).alias("code")))
     cands = _brace_candidates(_brace_segments(code), languages)
-    j = cands.join(code.select("path", "code"), "path")
+    j = cands.join(code.select("path", "code").hint("merge"), "path")
     body = py_strip(F.substring(F.col("code"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
     fw = Window.partitionBy("path").orderBy("start_pos")
     return (j.withColumn("body", body)
@@ -230,16 +230,15 @@ def python_functions(files: DataFrame) -> DataFrame:
     line indented at most as far as the def; nested defs are not emitted."""
     lines = _line_table(files.where(F.col("language") == "python").select("path", "language", "content"))
     lines = lines.withColumn("_sig_txt", F.regexp_extract("line", PY_DEF, 2))
-    defs = lines.where(F.col("_sig_txt") != "")
-    bounds = defs.select("path", F.col("indent").alias("bound")).distinct()
-    sig = lines.where("sig").select("path", "ln", "off", "indent")
-    cand = sig.join(bounds, "path").where(F.col("indent") <= F.col("bound"))
+    bounds = lines.where(F.col("_sig_txt") != "").select("path", F.col("indent").alias("bound")).distinct()
+    # significant lines paired with the def indents of their file (join on the file only,
+    # so the path partitioning carries through); the def rows ride along
+    sig = lines.where("sig").select("path", "language", "ln", "off", "indent", "n_lines", "line", "_sig_txt")
+    cand = sig.join(bounds.hint("merge"), "path").where(F.col("indent") <= F.col("bound"))
     v = Window.partitionBy("path", "bound").orderBy("ln")
-    nxt = (cand.withColumn("next_ln", F.lead("ln").over(v))
-               .withColumn("next_off", F.lead("off").over(v))
-               .where(F.col("indent") == F.col("bound"))
-               .select("path", "ln", "next_ln", "next_off"))
-    d = (defs.join(nxt, ["path", "ln"], "left")
+    d = (cand.withColumn("next_ln", F.lead("ln").over(v))
+             .withColumn("next_off", F.lead("off").over(v))
+             .where((F.col("_sig_txt") != "") & (F.col("indent") == F.col("bound")))
              .withColumn("end_ln", F.coalesce(F.col("next_ln"), F.col("n_lines"))))
     kw = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_reach", F.max("end_ln").over(kw)).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col("ln")))
@@ -248,7 +247,7 @@ def python_functions(files: DataFrame) -> DataFrame:
                  F.col("off").alias("start_pos"),
                  F.coalesce(F.col("next_off") - 1, F.lit(1 << 30)).alias("_stop"),
                  (F.col("ln") + 1).alias("start_line"), F.col("end_ln").alias("end_line"))
-    j = d.join(files.select("path", "content"), "path")
+    j = d.join(files.select("path", "content").hint("merge"), "path")
     fw = Window.partitionBy("path").orderBy("start_pos")
     return (j.withColumn("body", F.substring(F.col("content"), F.col("start_pos") + 1, F.col("_stop") - F.col("start_pos")))
              .withColumn("end_pos", F.least(F.col("_stop"), F.length("content")))
@@ -272,7 +271,7 @@ def ruby_functions(files: DataFrame) -> DataFrame:
         py_strip(F.col("line")).alias("signature"),
         (F.col("off") + F.col("indent")).alias("start_pos"), F.col("end_off").alias("end_pos"),
         (F.col("ln") + 1).alias("start_line"), (F.col("end_ln") + 1).alias("end_line"))
-    j = d.join(files.select("path", "content"), "path")
+    j = d.join(files.select("path", "content").hint("merge"), "path")
     fw = Window.partitionBy("path").orderBy("start_pos")
     return (j.withColumn("body", F.substring(F.col("content"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
              .withColumn("fn_no", F.row_number().over(fw) - 1)
