@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
-def pooled_bucket_means(dim: int, window: int, stride: int):
-    """Pandas UDF (bucket ids per token, windows per item) -> mean window vector.
+def pooled_bucket_means(dim: int, window: int, stride: int, min_window: int = 2):
+    """Pandas UDF: bucket ids of an item's tokens -> mean of its window vectors.
 
-    Token at position p lies in the windows w with stride*w <= p < stride*w + window
-    and w < n; a whole Arrow batch is pooled with one ``np.bincount``."""
+    The window count comes from the token count (0 below ``min_window``, 1 up to
+    ``window``, else ceil((L - window) / stride) + 1). Token at position p lies in the
+    windows w with stride*w <= p < stride*w + window and w < n; a whole Arrow batch is
+    pooled with one ``np.bincount``. Items without a window get null.
+
+    Marked non-deterministic only so that the optimizer neither pushes a filter on its
+    result below a shuffle nor inlines it twice: it is evaluated exactly once per row.
+    """
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def pool(buckets: pd.Series, n_windows: pd.Series) -> pd.Series:
+    def pool(buckets: pd.Series) -> pd.Series:
         n = len(buckets)
         if n == 0:
             return pd.Series([], dtype=object)
         arrs = buckets.to_numpy()
         lens = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=n)
+        nw = np.where(lens < min_window, 0,
+                      np.where(lens <= window, 1, -((window - lens) // stride) + 1)).astype(np.int64)
         total = int(lens.sum())
         flat = np.concatenate(arrs).astype(np.int64) if total else np.zeros(0, dtype=np.int64)
         row = np.repeat(np.arange(n, dtype=np.int64), lens)
         pos = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-        nw = n_windows.to_numpy().astype(np.int64)
         nwr = np.repeat(nw, lens)
         hi = np.minimum(pos // stride, nwr - 1)
         lo = np.maximum(-((window - 1 - pos) // stride), 0)
-        mult = (hi - lo + 1).astype(np.float64)
+        mult = np.where(nwr > 0, hi - lo + 1, 0).astype(np.float64)
         sums = np.bincount(row * dim + flat, weights=mult, minlength=n * dim).reshape(n, dim)
         out = sums / np.maximum(nw, 1)[:, None]
-        return pd.Series(list(out))
+        res = pd.Series(list(out), dtype=object)
+        res[nw <= 0] = None
+        return res
 
-    return pool
+    return pool.asNondeterministic()

@@ -97,11 +97,12 @@ def embed_texts(items: DataFrame, key: list[str], text: str = "text", special: b
     ``bincount``. No token row is shuffled. Items without any window get no row here;
     see ``with_zero_fallback``.
     """
-    pool = pooled_bucket_means(DIM, WINDOW, STRIDE)
-    t = items.select(*key, tokens(F.col(text), special).alias("_tok"))
-    t = t.withColumn("_n", n_windows(F.size("_tok"))).where(F.col("_n") > 0)
-    t = t.select(*key, "_n", F.transform("_tok", lambda x: bucket(x)).alias("_b"))
-    return t.select(*key, pool(F.col("_b"), F.col("_n")).alias("embedding"))
+    pool = pooled_bucket_means(DIM, WINDOW, STRIDE, MIN_WINDOW)
+    # the token array is referenced once (the window count is derived from its length
+    # inside the pooling step), so the tokenizer regex runs once per row
+    b = F.transform(tokens(F.col(text), special), lambda x: bucket(x))
+    out = items.select(*key, pool(b).alias("embedding"))
+    return out.where(F.col("embedding").isNotNull())
 
 
 def embed_texts_exploded(items: DataFrame, key: list[str], text: str = "text", special: bool = True) -> DataFrame:
