@@ -717,3 +717,30 @@ def q_stream_clone_scan(spark, sf_dir):
     incremental.process_arrivals(spark, landing, "repo_url string, commit_hash string, diff_text string",
                                  out, ckpt, mine, max_files_per_trigger=1)
     return spark.read.parquet(out).select(*_DK, "part_no", "fragment_id", "code")
+
+
+from patchtrace.sources import vectors as vecsrc  # noqa: E402
+
+
+@register("fragment_sink", _m6_sql("""SELECT fragment_id, cve_id, repo_url, commit_hash, part_no, file, code,
+  substr(cve_id, 5, 4) AS cve_year FROM vfrag"""))
+def q_fragment_sink(spark, sf_dir):
+    """Functional fragments written to the shared folder partitioned by CVE year and
+    read back with a year filter (partition pruning on read)."""
+    out = shared_path(spark, "fragments-by-year", uuid.uuid4().hex)
+    sinks.write_fragments(pipeline.vulnerable_fragments(fixture(spark, sf_dir, "cve_feed"),
+                                                        fixture(spark, sf_dir, "commit_diffs")), out)
+    back = spark.read.parquet(out).where(F.col("cve_year") == cve.FIRST_YEAR)
+    return back.select("fragment_id", "cve_id", "repo_url", "commit_hash", "part_no", "file", "code",
+                       F.col("cve_year").cast("string").alias("cve_year"))
+
+
+@register("embedding_sink", with_fixtures(f"""
+WITH {sqltext.embed_ctes('source_files', ['path'], 'content', 'f_')}
+SELECT path, {sqltext.round_list('embedding')} AS embedding FROM f_vec""", "source_files"))
+def q_embedding_sink(spark, sf_dir):
+    """S9 + S4: file vectors written as JSON lines to the shared folder and scanned back."""
+    out = shared_path(spark, "embeddings", uuid.uuid4().hex)
+    src = fixture(spark, sf_dir, "source_files")
+    sinks.write_embeddings(eops.embed_texts(src, ["path"], "content"), out, fmt="json")
+    return vecsrc.read_vectors(spark, out, "json").select("path", _round_vec())

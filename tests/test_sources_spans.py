@@ -62,3 +62,13 @@ def test_output_keys_are_a_dense_global_counter(spark):
     assert [g[2] for g in got] == list(range(200))
     assert all(g[3].endswith(str(g[2])) for g in got)
     _ = F
+
+
+def test_reference_shaped_vector_file(spark, tmpdir_path):
+    import json
+    from patchtrace.sources.vectors import read_vectors
+    p = os.path.join(tmpdir_path, "cve_embeddings.json")
+    with open(p, "w") as f:
+        json.dump([{"path": "/x/a", "embedding": [0.5, 1.0]}, {"path": "/x/b", "embedding": [0.0, 0.0]}], f, indent=2)
+    got = {r.path: r.embedding for r in read_vectors(spark, p, "json_array").collect()}
+    assert got == {"/x/a": [0.5, 1.0], "/x/b": [0.0, 0.0]}
