@@ -200,11 +200,13 @@ def _brace_candidates(segs: DataFrame, languages: list[str]) -> DataFrame:
                         (F.col("close_cnl") + 1).alias("end_line")))
 
 
-def brace_functions(files: DataFrame, languages: list[str]) -> DataFrame:
+def brace_functions(files: DataFrame, languages: list[str], stripped: bool = False) -> DataFrame:
     """F3-F5 (+ our C#/JS): functions of brace languages, bodies cut from the
-    comment-stripped text. ``files`` has (path, language, content)."""
+    comment-stripped text. ``files`` has (path, language, content); with ``stripped``
+    the content is already comment-stripped."""
+    text = F.col("content") if stripped else strip_comments(F.col("content"))
     code = (files.where(F.col("language").isin(languages))
-                 .select("path", "language", strip_comments(F.col("content")).alias("code")))
+                 .select("path", "language", text.alias("code")))
     cands = _brace_candidates(_brace_segments(code), languages)
     j = cands.join(code.select("path", "code").hint("merge"), "path")
     body = py_strip(F.substring(F.col("code"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
@@ -279,12 +281,17 @@ def ruby_functions(files: DataFrame) -> DataFrame:
 
 
 def extract_functions(files: DataFrame, extra: bool = False, repartition: bool = True) -> DataFrame:
-    """All functions of a ``(path, content)`` corpus (any extra columns are ignored)."""
+    """All functions of a ``(path, content)`` corpus (any extra columns are ignored).
+
+    Brace-language files are comment-stripped before the one shuffle by path, so the
+    strip runs once per file and only the stripped text travels."""
+    brace = ["c", "cpp", "java", "rust"] + (["csharp", "javascript"] if extra else [])
     f = label_files(files.select("path", "content"), extra)
+    f = f.withColumn("content", F.when(F.col("language").isin(brace), strip_comments(F.col("content")))
+                                 .otherwise(F.col("content")))
     if repartition:
         f = partition_files(f)
-    brace = ["c", "cpp", "java", "rust"] + (["csharp", "javascript"] if extra else [])
-    out = brace_functions(f, brace).unionByName(python_functions(f))
+    out = brace_functions(f, brace, stripped=True).unionByName(python_functions(f))
     if extra:
         out = out.unionByName(ruby_functions(f))
     return out
