@@ -44,3 +44,51 @@ def pooled_bucket_means(dim: int, window: int, stride: int, min_window: int = 2)
         return res
 
     return pool.asNondeterministic()
+
+
+def list_offsets(arr):
+    """(lengths, flat values) of an Arrow list array, slice-aware; null lists are empty."""
+    offs = arr.offsets.to_numpy()
+    vals = arr.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]] if len(arr) else np.zeros(0)
+    return np.diff(offs).astype(np.int64), vals
+
+
+def pooled_bucket_batches(key: list[str], col: str, dim: int, window: int, stride: int,
+                          min_window: int = 2, out: str = "embedding"):
+    """``mapInArrow`` function: (key..., bucket ids) -> (key..., mean of window vectors).
+
+    Same arithmetic as ``pooled_bucket_means``, but it reads the bucket ids as one flat
+    Arrow buffer and writes the pooled vectors back as one list array built over the
+    flat result matrix (no per-row Python objects either way). Rows without a window
+    are dropped.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            lens, flat = list_offsets(rb.column(col))
+            flat = flat.astype(np.int64)
+            nw = np.where(lens < min_window, 0,
+                          np.where(lens <= window, 1, -((window - lens) // stride) + 1)).astype(np.int64)
+            total = int(lens.sum())
+            row = np.repeat(np.arange(n, dtype=np.int64), lens)
+            pos = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+            nwr = np.repeat(nw, lens)
+            hi = np.minimum(pos // stride, nwr - 1)
+            lo = np.maximum(-((window - 1 - pos) // stride), 0)
+            mult = np.where(nwr > 0, hi - lo + 1, 0).astype(np.float64)
+            sums = np.bincount(row * dim + flat, weights=mult, minlength=n * dim).reshape(n, dim)
+            keep = np.nonzero(nw > 0)[0]
+            if not len(keep):
+                continue
+            vecs = sums[keep] / nw[keep][:, None]
+            offsets = pa.array(np.arange(0, (len(keep) + 1) * dim, dim, dtype=np.int32))
+            emb = pa.ListArray.from_arrays(offsets, pa.array(vecs.ravel()))
+            idx = pa.array(keep)
+            cols = [rb.column(k).take(idx) for k in key] + [emb]
+            yield pa.RecordBatch.from_arrays(cols, names=list(key) + [out])
+
+    return run

@@ -21,9 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from patchtrace.functions.text import NS
-from patchtrace.functions.vectors import pooled_bucket_means
+from patchtrace.functions.vectors import pooled_bucket_batches, pooled_bucket_means
 
 # Fixed values of the reference: window length, stride, smallest window kept.
 WINDOW = 512
@@ -97,10 +98,19 @@ def embed_texts(items: DataFrame, key: list[str], text: str = "text", special: b
     ``bincount``. No token row is shuffled. Items without any window get no row here;
     see ``with_zero_fallback``.
     """
-    pool = pooled_bucket_means(DIM, WINDOW, STRIDE, MIN_WINDOW)
     # the token array is referenced once (the window count is derived from its length
     # inside the pooling step), so the tokenizer regex runs once per row
     b = F.transform(tokens(F.col(text), special), lambda x: bucket(x))
+    ids = items.select(*key, b.alias("_b"))
+    schema = StructType([ids.schema[k] for k in key] + [StructField("embedding", ArrayType(DoubleType()))])
+    return ids.mapInArrow(pooled_bucket_batches(key, "_b", DIM, WINDOW, STRIDE, MIN_WINDOW), schema)
+
+
+def embed_texts_udf(items: DataFrame, key: list[str], text: str = "text", special: bool = True) -> DataFrame:
+    """``embed_texts`` as a column expression (scalar pandas UDF), for use inside a
+    ``select``; the same vectors, but one Python object per row on the way back."""
+    pool = pooled_bucket_means(DIM, WINDOW, STRIDE, MIN_WINDOW)
+    b = F.transform(tokens(F.col(text), special), lambda x: bucket(x))
     out = items.select(*key, pool(b).alias("embedding"))
     return out.where(F.col("embedding").isNotNull())
 
