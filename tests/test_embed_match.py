@@ -50,6 +50,25 @@ def test_three_pooling_paths_agree(spark):
         assert len(fused[k]) == E.DIM
 
 
+def test_arrow_pooling_equals_udf_pooling(spark):
+    # null text, too short for a window, one window, several windows; small batches so
+    # that Arrow slices with non-zero offsets reach the pooling step
+    rows = [(0, None), (1, ""), (2, "x"), (3, "a b"), (4, " ".join(f"u{j}" for j in range(900)))]
+    rows += [(i, " ".join(f"t{j % (i + 3)}" for j in range(i * 97))) for i in range(5, 40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for special in (True, False):
+            arrow = {r.id: r.embedding for r in E.embed_texts(df, ["id"], special=special).collect()}
+            udf = {r.id: r.embedding for r in E.embed_texts_udf(df.where("text IS NOT NULL"), ["id"],
+                                                                special=special).collect()}
+            assert arrow.keys() == udf.keys() and 0 not in arrow
+            for k in arrow:
+                assert arrow[k] == udf[k]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_zero_fallback(spark):
     df = spark.createDataFrame([(1, ""), (2, "x"), (3, "a b")], "id long, text string")
     v = E.embed_texts(df, ["id"], special=False)
