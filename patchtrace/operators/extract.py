@@ -156,10 +156,11 @@ def _brace_segments(code: DataFrame) -> DataFrame:
     segs = segs.where(F.col("seg").endswith("{") | F.col("seg").endswith("}"))
     w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_open = F.col("seg").endswith("{")
-    segs = (segs.withColumn("is_open", is_open)
-                .withColumn("e", F.sum(F.length("seg")).over(w))
-                .withColumn("d", F.sum(F.when(is_open, 1).otherwise(-1)).over(w))
-                .withColumn("cnl", F.sum(count_char("seg", "\n")).over(w)))
+    # the three running sums share one window spec: one select, one Window operator
+    segs = segs.select("*", is_open.alias("is_open"),
+                       F.sum(F.length("seg")).over(w).alias("e"),
+                       F.sum(F.when(is_open, 1).otherwise(-1)).over(w).alias("d"),
+                       F.sum(count_char("seg", "\n")).over(w).alias("cnl"))
     segs = segs.withColumn("lvl", F.when(F.col("is_open"), F.col("d")).otherwise(F.col("d") + 1))
     v = Window.partitionBy("path", "lvl").orderBy("i")
     return (segs.withColumn("close_e", F.lead("e").over(v))
