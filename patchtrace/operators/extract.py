@@ -218,12 +218,12 @@ def brace_functions(files: DataFrame, languages: list[str], stripped: bool = Fal
 
 
 def _line_table(files: DataFrame) -> DataFrame:
-    lines = files.select("path", "language", F.posexplode(F.split(F.col("content"), "\n", -1)).alias("ln", "line"))
+    # the line count is the size of the split array, taken in the row (no window)
+    arr = files.select("path", "language", F.split(F.col("content"), "\n", -1).alias("_a"))
+    lines = arr.select("path", "language", F.size("_a").alias("n_lines"), F.posexplode("_a").alias("ln", "line"))
     w = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy("path")
     stripped = py_strip(F.col("line"))
     return (lines.withColumn("off", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1)
-                 .withColumn("n_lines", F.count(F.lit(1)).over(wall))
                  .withColumn("sig", (stripped != "") & ~stripped.startswith("#"))
                  .withColumn("indent", F.length("line") - F.length(py_lstrip(F.col("line")))))
 
