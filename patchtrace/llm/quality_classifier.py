@@ -34,8 +34,6 @@ from patchtrace.llm.common import pick, strings, text_slices
 PER_CLASS = 2400
 #: Bytes of each raw dictionary.
 DICTIONARY_BYTES = 1 << 18
-#: Bytes taken from one training text, so that one long text can't fill a dictionary.
-TEXT_SHARE = 1200
 LEVEL = 6
 
 
@@ -93,17 +91,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
     return w
 
 
-def _dictionary(texts: list[str], size: int, share: int) -> bytes:
-    """Raw dictionary content: spread pieces of the texts, filled evenly."""
-    out, total = [], 0
-    share = max(share, size // max(1, len(texts)))
-    for text in texts:
-        if total >= size:
-            break
-        piece = text.encode("utf-8")[:share] + b"\n"
-        out.append(piece)
-        total += len(piece)
-    return b"".join(out)[:size]
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    """Raw dictionary content of one size: as much of every text, up to an even share."""
+    low, high = 0, max(map(len, texts))
+    while low < high:
+        share = (low + high) // 2
+        low, high = (share + 1, high) if sum(min(len(t), share) for t in texts) < size else (low, share)
+    return b"".join(t[:low] for t in texts)[:size]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -135,10 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     flat = (math.log(base / (1 - base)), 0.0, 0.0, 0.0)
     if min(len(part[0]), len(part[1])) < 4:
         return CompressionModel(b"", b"", flat, level)
-    fill = {y: _dictionary(part[y][::2], dictionary_bytes, TEXT_SHARE) for y in (0, 1)}
     # both dictionaries have one size, or the larger one would win on size alone
-    size = min(len(fill[0]), len(fill[1]))
-    scorer = CompressionModel(fill[1][:size], fill[0][:size], flat, level).scorer()
+    filling = {y: [t.encode("utf-8") + b"\n" for t in part[y][::2]] for y in (0, 1)}
+    size = min(dictionary_bytes, *(sum(map(len, filling[y])) for y in (0, 1)))
+    good, bad = (_dictionary(filling[y], size) for y in (1, 0))
+    scorer = CompressionModel(good, bad, flat, level).scorer()
     held = [(scorer.features(t), y) for y in (0, 1) for t in part[y][1::2]]
     f = np.array([v for v, _ in held])
     y = np.array([v for _, v in held], float)
@@ -148,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     w[0] += math.log(base / (1 - base)) - math.log(max(1.0, y.sum()) / max(1.0, (1 - y).sum()))
     slopes = w[1:] / wide
     weights = (float(w[0] - slopes @ mid), *map(float, slopes))
-    return CompressionModel(fill[1][:size], fill[0][:size], weights, level)
+    return CompressionModel(good, bad, weights, level)
 
 
 def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id",

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchtrace.llm import exact_dedup, language_id, quality_classifier
+from patchtrace.llm import exact_dedup, language_id, ngram_join, quality_classifier
 from patchtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,29 @@ def op4_quality_classifier(spark, sf_dir):
     return (quality_classifier.score(docs, model, threshold=0.3)
             .select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
                     "score", "predicted"))
+
+
+@register("op8_ngram_join", r"""
+WITH RECURSIVE w AS (
+       SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS l
+       FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN []
+                  WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+                  ELSE list_distinct([array_to_string(l[i:i + 4], ' ')
+                                           FOR i IN range(1, len(l) - 3)]) END AS g FROM w),
+     n AS (SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(g), chr(10))) AS k, g FROM s),
+     c AS (SELECT min(doc_id) AS c, any_value(n_shingles) AS n, any_value(g) AS g FROM n
+           WHERE n_shingles > 0 GROUP BY k),
+     p AS (SELECT c, n, unnest(g) AS x FROM c),
+     e AS (SELECT a.c AS u, b.c AS v FROM p a JOIN p b ON a.x = b.x AND a.c <> b.c
+           GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+     r AS (SELECT c AS node, c AS low FROM c UNION SELECT e.v, r.low FROM r JOIN e ON e.u = r.node
+           WHERE r.low < e.v),
+     m AS (SELECT node, min(low) AS low FROM r GROUP BY node)
+SELECT n.doc_id, n.n_shingles, coalesce(m.low, n.doc_id) AS component_id
+FROM n LEFT JOIN (SELECT k, min(doc_id) AS c FROM n WHERE n_shingles > 0 GROUP BY k) z ON z.k = n.k
+       LEFT JOIN m ON m.node = z.c""")
+def op8_ngram_join(spark, sf_dir):
+    """Size of every document's shingle set and the group of documents it is linked with."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
