@@ -128,3 +128,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def _mod64_powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+class WordHasher:
+    """Hashes the words ``[^\\x20\\x09-\\x0D]+`` of a text column without making Python strings.
+
+    A word's hash is a polynomial over 64-bit values of its bytes, read off one running sum
+    over the block (the difference of two sums, shifted back to position 0), then mixed with
+    the length. ``lower`` gives A-Z the values of a-z. Blocks are cut at white space, so a long
+    text takes no more memory than a block or its longest word.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    BLOCK = 1 << 21
+
+    def __init__(self, lower: bool = False):
+        self.values = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if lower:
+            self.values[65:91] = self.values[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def _block(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        if len(data) > len(self.up):
+            size = max(len(data), self.BLOCK)
+            self.up = _mod64_powers(self.BASE, size)
+            self.down = _mod64_powers(pow(self.BASE, -1, 1 << 64), size)
+        run = self.values[data]
+        run *= self.up[:len(data)]
+        np.cumsum(run, out=run)
+        h = run[stops - 1]
+        h[starts > 0] -= run[starts[starts > 0] - 1]
+        return mix64(h * self.down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first byte, byte after the last) of each word, and where each row's words begin."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        if len(column) == 0 or at[-1] == at[0]:
+            none = np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), none, none, np.zeros(len(column) + 1, np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        blank = self.blank[data]
+        edge = np.zeros(len(data) + 1, bool)  # a row begins here
+        edge[at] = True
+        begin = ~blank
+        begin[1:] &= blank[:-1] | edge[1:-1]
+        end = ~blank
+        end[:-1] &= blank[1:] | edge[1:-1]
+        starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        hashes, done = [], 0
+        while done < len(starts):
+            origin = starts[done]
+            stop = max(done + 1, int(np.searchsorted(stops, origin + self.BLOCK, "right")))
+            part = slice(origin, stops[stop - 1])
+            hashes.append(self._block(data[part], starts[done:stop] - origin, stops[done:stop] - origin))
+            done = stop
+        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        return words, starts, stops, np.searchsorted(starts, at)

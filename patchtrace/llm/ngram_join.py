@@ -34,12 +34,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import (FILTER_BITS, WORD_TABLE_LIMIT, binary_array, gather_runs, mix64, pick,
-                                   row_filter, spans_of, text_slices, word_table, write_stage)
+from patchtrace.llm.common import (FILTER_BITS, WORD_TABLE_LIMIT, WordHasher, mix64, pick, row_filter, spans_of,
+                                   text_slices, write_stage)
 
 SHINGLE = 5
 #: Link when 100 * intersection >= 75 * union.
@@ -52,40 +52,27 @@ LIST_LIMIT = 1 << 17
 
 
 class Shingler:
-    """Turns texts into sorted sets of shingle hashes; word hashes come from a bounded table."""
+    """Turns a text column into sorted sets of 64-bit shingle hashes."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size = size
-        rng = np.random.default_rng(5)
-        self.odd = rng.integers(1, 1 << 62, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.fresh()
+        self.size, self.hasher = size, WordHasher(lower=True)
+        self.odd = np.random.default_rng(5).integers(1, 1 << 62, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def fresh(self):
-        self.words, self.hashes = word_table(), np.zeros(0, np.uint64)
-
-    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def sets(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All sets one after the other, and where each begins (with the end)."""
-        if len(self.words) > WORD_TABLE_LIMIT:
-            self.fresh()
-        split = [t.encode("utf-8").lower().split() if t else [] for t in texts]
-        known = len(self.words)
-        codes = np.fromiter(map(self.words.__getitem__, (w for s in split for w in s)), np.int64)
-        if len(self.words) > known:
-            newest = reversed(self.words)
-            new = [next(newest) for _ in range(len(self.words) - known)][::-1]
-            self.hashes = np.concatenate([self.hashes, np.fromiter(
-                (xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))])
-        ends = spans_of([len(s) for s in split])
-        word = self.hashes[codes]
+        word, _, _, ends = self.hasher(column)
         n = max(0, len(word) - self.size + 1)
         rolled = np.zeros(n, np.uint64)
         for i in range(self.size):
             rolled += word[i:i + n] * self.odd[i]
         rolled = mix64(rolled)
         out = []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if b - a >= self.size:
-                out.append(np.unique(rolled[a:b - self.size + 1]))
+                own = np.sort(rolled[a:b - self.size + 1])
+                new = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                out.append(own[new])
             elif b > a:
                 short = word[a:b] * self.odd[:b - a]
                 out.append(mix64(short.sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
@@ -125,7 +112,7 @@ def _sets_and_counters(src: DataFrame, width: int, seed: int, size: int) -> Data
         own, counts = Shingler(size), np.zeros(width, np.int64)
         none = lambda m, t: pa.nulls(m, t)
         for b in text_slices(batches):
-            flat, ends = own.sets(b.column("text").to_pylist())
+            flat, ends = own.sets(b.column("text"))
             k, k2 = class_keys(flat, ends, seed)
             counts += np.bincount((flat & np.uint64(width - 1)).astype(np.int64), minlength=width)
             m = b.num_rows
@@ -172,7 +159,7 @@ def _postings(src: DataFrame, table, seed: int, size: int, num: int, den: int, l
         own, counts, seen = Shingler(size), table.value, set()
         mask = np.uint64(len(counts) - 1)
         for b in text_slices(batches):
-            flat, ends = own.sets(b.column("text").to_pylist())
+            flat, ends = own.sets(b.column("text"))
             k, _ = class_keys(flat, ends, seed)
             hs, ks, ns, ps = [], [], [], []
             if len(seen) > WORD_TABLE_LIMIT:
@@ -247,48 +234,55 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             .mapInArrow(run, "h long, pos int, n int, k long, lk long, ln int, lp int"))
 
 
-def _sets_of(src: DataFrame, wanted: DataFrame, seed: int, size: int) -> DataFrame:
-    """The whole sets (k, body) of the wanted classes, read from the texts again."""
-    marked = src.sparkSession.sparkContext.broadcast(row_filter(wanted, F.col("k")))
+def _texts_of(src: DataFrame, ids) -> DataFrame:
+    """The texts of documents whose id the bit filter marks (a few others may pass, too)."""
+    marked = src.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
-        own, bits, seen = Shingler(size), marked.value, set()
-        for b in text_slices(batches):
-            flat, ends = own.sets(b.column("text").to_pylist())
-            k, _ = class_keys(flat, ends, seed)
-            spot = k % FILTER_BITS
-            hit = [i for i in np.flatnonzero((np.diff(ends) > 0) & (bits[spot >> 6] >> (spot & 63) & 1 == 1))
-                   if int(k[i]) not in seen]
-            seen.update(int(k[i]) for i in hit)
-            if len(seen) > WORD_TABLE_LIMIT:
-                seen.clear()
-            hit = np.array(hit, np.int64)
-            length = ends[hit + 1] - ends[hit] if len(hit) else hit
-            body = gather_runs(flat, ends[hit], length) if len(hit) else flat[:0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[hit]), binary_array(body.tobytes(), length * 8).cast(pa.binary())], names=["k", "body"])
+        bits = marked.value
+        for b in batches:
+            id_ = b.column("id").to_numpy(zero_copy_only=False) if not b.column("id").null_count else \
+                pc.fill_null(b.column("id"), 0).to_numpy(zero_copy_only=False)
+            spot = id_.astype(np.int64) % FILTER_BITS
+            hit = (bits[spot >> 6] >> (spot & 63) & 1 == 1) & pc.is_valid(b.column("id")).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit))
 
-    found = src.mapInArrow(run, "k long, body binary")
-    return found.join(wanted, "k", "left_semi").dropDuplicates(["k"])
+    return src.mapInArrow(run, src.schema)
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the exact overlap ``o`` to pairs (a, b)."""
+def _overlaps(src: DataFrame, pairs: DataFrame, seed: int, size: int) -> DataFrame:
+    """Add the exact overlap ``o`` to pairs (a, b) of classes; their sets are made anew from the
+    texts of the documents ``low`` and ``low2``, which are smaller than the sets."""
+    left = _texts_of(src, row_filter(pairs, F.col("low"))).select(F.col("id").alias("low"), F.col("text").alias("x"))
+    right = _texts_of(src, row_filter(pairs, F.col("low2"))).select(F.col("id").alias("low2"), F.col("text").alias("y"))
 
     def run(batches):
-        for b in batches:
-            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
-            o = []
-            for x, y in both:
-                merged = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                merged.sort(kind="stable")
-                o.append(int(np.count_nonzero(merged[1:] == merged[:-1])))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(o, pa.int64())],
-                                             names=["a", "b", "o"])
-
-    joined = (pairs.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("body").alias("x")), "a")
-              .join(sets.select(F.col("k").alias("b"), F.col("body").alias("y")), "b"))
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, o long")
+        own, kept = Shingler(size), (None, None)
+        for whole in batches:
+            for b in text_slices(iter([whole]), "x"):
+                fx, ex = own.sets(b.column("x"))
+                kx, _ = class_keys(fx, ex, seed)
+                a, z = b.column("a").to_numpy(), b.column("b").to_numpy()
+                o = np.full(len(a), -1, np.int64)
+                for i in range(len(a)):
+                    if kx[i] != a[i]:
+                        continue
+                    if kept[0] != z[i]:  # rows of one partner follow each other after the join
+                        fy, ey = own.sets(b.column("y").slice(i, 1))
+                        if class_keys(fy, ey, seed)[0][0] != z[i]:
+                            continue
+                        kept = (z[i], fy)
+                    both = np.concatenate([fx[ex[i]:ex[i + 1]], kept[1]])
+                    both.sort(kind="stable")
+                    o[i] = np.count_nonzero(both[1:] == both[:-1])
+                hit = np.flatnonzero(o >= 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[hit]), pa.array(z[hit]), b.column("n").take(pa.array(hit)),
+                     b.column("n2").take(pa.array(hit)), pa.array(o[hit])], names=["a", "b", "n", "n2", "o"])
+
+    return (pairs.select("a", "b", "n", "n2", "low", "low2").join(left, "low").join(right, "low2")
+            .select("a", "b", "n", "n2", "x", "y")
+            .mapInArrow(run, "a long, b long, n int, n2 int, o long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,18 +327,17 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     table = sc.broadcast(_counter_table(read.where("block is not null").select("block", "counts"), counters))
     shared = write_stage(_shared_lists(_postings(src, table, seed, size, num, den, list_limit)))
 
+    low = write_stage(shared.select("k").distinct().join(classes.select("k", "low"), "k"))
+    named = lambda df: (df.join(low.select(F.col("k").alias("a"), "low"), "a")
+                        .join(low.select(F.col("k").alias("b"), F.col("low").alias("low2")), "b"))
     fits = (f"least(n, ln) * {den} >= greatest(n, ln) * {num} "
             f"and least(n - pos, ln - lp) >= {_needed('n', 'ln', num, den)}")
     nominees = (shared.where(f"k <> lk and {fits}").groupBy("k", "lk", "n", "ln").agg(F.count("*").alias("c"))
                 .groupBy("k").agg(F.max(F.struct("c", "lk", "n", "ln")).alias("best"))
-                .select("k", "best.lk", "best.n", "best.ln"))
-    nominees = write_stage(nominees)
-    wanted = shared.select("k").distinct()
-    sets = write_stage(_sets_of(src, wanted, seed, size))
-    told = (_overlaps(nominees.select(F.col("k").alias("a"), F.col("lk").alias("b")), sets)
-            .join(nominees.select(F.col("k").alias("a"), F.col("lk").alias("b"), "n", "ln"), ["a", "b"]))
-    told = write_stage(told)
-    linked = f"o >= {_needed('n', 'ln', num, den)}"
+                .select(F.col("k").alias("a"), F.col("best.lk").alias("b"), F.col("best.n").alias("n"),
+                        F.col("best.ln").alias("n2")))
+    told = write_stage(_overlaps(src, write_stage(named(nominees)), seed, size))
+    linked = f"o >= {_needed('n', 'n2', num, den)}"
     # rows that repeat an id are one node, whatever their texts
     same_id = (meta.where("n > 0 and id is not null").select("id", "k").distinct()
                .groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b"))
@@ -375,16 +368,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         f"and least(n - pos, n2 - pos2) >= {_needed('n', 'n2', num, den)} "
         f"and (lead <> lead2 or least(o, o2) + least(n - o, n2 - o2) >= {_needed('n', 'n2', num, den)}) "
         f"and not (lead = k2 or lead2 = k)")
-    pairs = write_stage(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b"), "n", F.col("n2").alias("ln"))
-                        .distinct())
-    more = (_overlaps(pairs, sets).join(pairs, ["a", "b"]).where(linked).select("a", "b"))
+    pairs = pairs.select(F.col("k").alias("a"), F.col("k2").alias("b"), "n", "n2").distinct()
+    more = _overlaps(src, write_stage(named(pairs)), seed, size).where(linked).select("a", "b")
     whole = components(first.union(more))
 
-    named = (classes.select("k", "low").join(whole.select(F.col("node").alias("k"), "comp"), "k", "left")
+    member = (classes.select("k", "low").join(whole.select(F.col("node").alias("k"), "comp"), "k", "left")
              .select("k", "low", F.coalesce("comp", "k").alias("comp")))
-    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "comp").select("k", "component_id")
-    full = meta.where("n > 0 and id is not null").join(named, "k").select("id", "n", "component_id")
+    lowest = member.groupBy("comp").agg(F.min("low").alias("component_id"))
+    member = member.join(lowest, "comp").select("k", "component_id")
+    full = meta.where("n > 0 and id is not null").join(member, "k").select("id", "n", "component_id")
     rest = meta.where("n = 0 or id is null").select(
         "id", "n", F.when(F.col("n") == 0, F.col("id")).alias("component_id"))
     return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
