@@ -169,13 +169,15 @@ class WordHasher:
         return mix64(h * self.down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first byte, byte after the last) of each word, and where each row's words begin."""
+        """(hash, first byte, byte after the last) of each word, and where each row's words begin;
+        ``data`` then holds the bytes that these refer to."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        self.data = np.zeros(0, np.uint8)
         if len(column) == 0 or at[-1] == at[0]:
             none = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), none, none, np.zeros(len(column) + 1, np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]]
+        self.data = data = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]]
         at = at - at[0]
         blank = self.blank[data]
         edge = np.zeros(len(data) + 1, bool)  # a row begins here

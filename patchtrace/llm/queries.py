@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchtrace.llm import exact_dedup, language_id, ngram_join, quality_classifier
+from patchtrace.llm import exact_dedup, language_id, ngram_join, packing, quality_classifier
 from patchtrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,13 @@ def op4_quality_classifier(spark, sf_dir):
                     "score", "predicted"))
 
 
+@register("op6_packing")
+def op6_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens, one row per piece."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                  end_id=1)
+
+
 @register("op8_ngram_join", r"""
 WITH RECURSIVE w AS (
        SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
