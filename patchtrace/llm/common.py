@@ -118,6 +118,33 @@ def row_filter(df: DataFrame, number: Column, bits: int = FILTER_BITS) -> np.nda
     return out
 
 
+def fold(column: Column, modulus: int) -> Column:
+    """The contracts' split of documents: crc32 of the id's text, modulo a number."""
+    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def drop_listed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` is listed in ``gone`` (few, as a rule).
+
+    The list marks a bit filter of fixed size: rows that it doesn't mark stay where they are,
+    only the others are shuffled for the exact anti-join.
+    """
+    marked = rows.sparkSession.sparkContext.broadcast(row_filter(gone, F.xxhash64(key)))
+    spotted = rows.withColumn("_spot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS).cast("long")))
+
+    def part(hit: bool):
+        def run(batches):
+            bits = marked.value
+            for b in batches:
+                spot = b.column("_spot").to_numpy()
+                yield b.filter(pa.array((bits[spot >> 6] >> (spot & 63) & 1 == 1) == hit))
+        return run
+
+    stay = spotted.mapInArrow(part(False), spotted.schema)
+    doubt = spotted.mapInArrow(part(True), spotted.schema).join(gone, key, "left_anti")
+    return stay.unionByName(doubt).drop("_spot")
+
+
 def write_stage(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder of ``spark.checkpoint.dir``."""
     return df.checkpoint()

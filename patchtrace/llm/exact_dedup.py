@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import FILTER_BITS, pick, row_filter, spans_of, strings, text_slices, write_stage
+from patchtrace.llm.common import FILTER_BITS, drop_listed, pick, row_filter, spans_of, strings, text_slices, write_stage
 
 #: The white space that normalisation deletes (fixed by the contract).
 BLANKS = b" \t\n\v\f\r"
@@ -206,3 +206,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return (rows.join(classes, [*key, "cls"])
             .select("row_no", F.col("id").alias(id_col), "keep_id", "group_size",
                     (F.col("row_no") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all its columns) that ``exact_dedup`` keeps."""
+    plain = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))]).withColumn(
+        "row_no", F.monotonically_increasing_id())
+    gone = write_stage(exact_dedup(docs, id_col=id_col, text_col=text_col).where("not kept").select("row_no"))
+    return drop_listed(plain, gone, "row_no").drop("row_no").toDF(*docs.columns)

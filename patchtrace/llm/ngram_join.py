@@ -38,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import (FILTER_BITS, WORD_TABLE_LIMIT, WordHasher, mix64, pick, row_filter, spans_of,
-                                   text_slices, write_stage)
+from patchtrace.llm.common import (FILTER_BITS, WORD_TABLE_LIMIT, WordHasher, drop_listed, mix64, pick, row_filter,
+                                   spans_of, text_slices, write_stage)
 
 SHINGLE = 5
 #: Link when 100 * intersection >= 75 * union.
@@ -380,3 +380,15 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rest = meta.where("n = 0 or id is null").select(
         "id", "n", F.when(F.col("n") == 0, F.col("id")).alias("component_id"))
     return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_smallest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` (all its columns) whose id is the smallest of its group.
+
+    Documents without a set or an id are linked with nothing and stay.
+    """
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, **options)
+    gone = write_stage(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct())
+    plain = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
+    plain = plain.withColumn("id", F.col(f"_in{docs.columns.index(id_col)}"))
+    return drop_listed(plain, gone, "id").drop("id").toDF(*docs.columns)

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchtrace.llm import exact_dedup, language_id, ngram_join, packing, quality_classifier
-from patchtrace.llm.common import table
+from patchtrace.llm import (bpe_automaton, exact_dedup, language_id, license_scan, ngram_join, packing,
+                            quality_classifier, quality_rules, sharding)
+from patchtrace.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,11 +25,6 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-def fold(column, modulus: int):
-    """The contracts' split of documents: crc32 of the id's text, modulo a number."""
-    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
-
-
 @register("op2_language_id")
 def op2_language_id(spark, sf_dir):
     """Predicted language of every document; learned from the rows that aren't held out."""
@@ -63,6 +59,18 @@ def op4_quality_classifier(spark, sf_dir):
                     "score", "predicted"))
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+@register("op5_sharding", f"""
+SELECT doc_id, slot, {sharding.lookup_table(SHARDS).tolist()}[slot + 1] AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15)
+                          AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)""")
+def op5_sharding(spark, sf_dir):
+    """The shard of every document, by the lookup table."""
+    return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
+
+
 @register("op6_packing")
 def op6_packing(spark, sf_dir):
     """All documents packed into sequences of at most 2048 tokens, one row per piece."""
@@ -70,6 +78,12 @@ def op6_packing(spark, sf_dir):
                                   end_id=1)
 
 
+@register("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    """Every license notice in the documents, with its template and its wording differences."""
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op8_ngram_join", r"""
 WITH RECURSIVE w AS (
        SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
@@ -94,3 +108,17 @@ FROM n LEFT JOIN (SELECT k, min(doc_id) AS c FROM n WHERE n_shingles > 0 GROUP B
 def op8_ngram_join(spark, sf_dir):
     """Size of every document's shingle set and the group of documents it is linked with."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@register("op9_bpe_automaton")
+def op9_bpe_automaton(spark, sf_dir):
+    """Ids of every document under a byte-level BPE, and the text decoded from them, as digests."""
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@register("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    """Rule counts of every document and the verdict of its divergence from the languages."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.references(docs))
