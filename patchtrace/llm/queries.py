@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchtrace.llm import (bpe_automaton, exact_dedup, language_id, license_scan, ngram_join, packing,
+from patchtrace.llm import (bpe_automaton, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing,
                             quality_classifier, quality_rules, sharding)
 from patchtrace.llm.common import fold, table
 
@@ -25,6 +25,12 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+@register("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @register("op2_language_id")
 def op2_language_id(spark, sf_dir):
     """Predicted language of every document; learned from the rows that aren't held out."""
