@@ -44,7 +44,7 @@ _TOKEN = re.compile(r"<!--(?P<note>.*?)(?:-->|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Weight of words under no telling element, strength from which an element decides alone.
-NEUTRAL, DECIDES = 0.2, 1.0
+NEUTRAL, DECIDES = 0.5, 1.0
 MAIN, END_MAIN = "main", "/main"
 
 

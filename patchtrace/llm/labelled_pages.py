@@ -17,7 +17,7 @@ PAGES = [
 <div class="share"><a href="#">Share this</a></div></article><section class="comments"><h2>Comments</h2>
 <div class="comment"><p>{WORDS}</p></div><div class="comment"><p>{WORDS} {WORDS}</p></div></section></main>
 <aside class="sidebar"><h3>Related</h3><ul><li><a href="/r">{WORDS}</a></li></ul></aside><footer><p>{WORDS}</p></footer></body>""",
-    f"""<body><div id="header"><h1>Site name</h1></div><div class="nav navbar navigation"><ul><li><a href="/">Home</a></li></ul></div>
+    f"""<body><div id="header"><h1>Site name</h1><p>{WORDS}</p></div><div class="nav navbar navigation topbar"><ul><li>{WORDS}</li></ul></div>
 <div id="content"><!--main--><h2>Head</h2><p>{WORDS} {WORDS}</p><p>{WORDS}</p><table><tr><td>{WORDS}</td></tr></table>
 <p><em>{WORDS}</em></p><!--/main--></div><div id="sidebar"><p>{WORDS}</p><p>{WORDS}</p></div>
 <div id="footer"><p>Copyright {WORDS}</p></div></body>""",
@@ -29,13 +29,13 @@ PAGES = [
     f"""<body><div role="navigation"><a href="/a">A</a> <a href="/b">B</a></div><div class="breadcrumb breadcrumbs"><a href="/">Home</a> /
 <a href="/n">News</a></div><div role="main" class="main"><div class="story text"><!--main--><p>{WORDS}</p><p>{WORDS} {WORDS}</p>
 <figure><figcaption>{WORDS}</figcaption></figure><!--/main--><div class="ads advert advertisement sponsored promo"><p>{WORDS}</p></div><!--main--><p>{WORDS}
-{WORDS}</p><!--/main--></div></div><div class="related popular widget"><h4>More</h4><p>{WORDS}</p></div>
+{WORDS}</p><!--/main--></div></div><div class="related popular widget"><h4>More</h4><h3>{WORDS}</h3><p>{WORDS}</p></div>
 <div class="newsletter subscribe signup"><p>Get our letter {WORDS}</p></div><div class="social share">Follow us {WORDS}</div></body>""",
     f"""<body><div class="alert warning popup modal overlay"><p>{WORDS}</p></div><div class="menu"><ul><li>Home</li><li>Shop</li></ul></div>
 <section class="article"><!--main--><h1>Name</h1><section><h2>First</h2><p>{WORDS} {WORDS}</p></section><section><h2>Next</h2>
 <dl><dt>{WORDS}</dt><dd>{WORDS}</dd></dl><p>{WORDS}</p></section><!--/main--></section><div class="disqus discussion replies reply
 comments"><p>{WORDS}</p></div><div class="copyright legal"><p>{WORDS}</p></div><noscript><p>{WORDS}</p></noscript></body>""",
-    f"""<body><div class="page"><div class="container"><nav class="toc pager pagination"><a href="/2">2</a></nav><div>{WORDS} {WORDS}</div>
+    f"""<body><div class="page"><div class="container"><nav class="toc pager pagination"><p>{WORDS}</p></nav><div>{WORDS} {WORDS}</div>
 <div><div class="list wrapper box row col section"><p>{WORDS} {WORDS} {WORDS}</p></div></div><div class="list wrapper box row col section"><!--main--><p>{WORDS}</p><p>{WORDS}
 {WORDS}</p><div>{WORDS}</div><p>{WORDS} <span>{WORDS}</span> <code>{WORDS}</code></p><!--/main--></div>
 <aside><p>{WORDS}</p></aside></div></div><div class="login register"><form><p>{WORDS}</p></form></div></body>""",
