@@ -13,7 +13,8 @@ Encoding a pre-split word walks the automaton along the word's bytes (longest to
 stepping back from dead ends) to its one accepted path. Decoding emits the arc labels.
 
 Whole texts are cut into runs of non-blank characters with at most one space before them;
-the pre-split pattern never joins what lies in two such runs, so a bounded table of runs
+the pre-split pattern never joins what lies in two such runs, nor a letter and the comma or
+full stop behind it, so a bounded table of runs
 holds their ids (``IdTable``). Texts with blanks beyond ASCII are pre-split whole.
 
 Defined results: a null text counts as empty, which has no ids; special tokens in a text
@@ -170,7 +171,7 @@ class BytePairCodec:
         self.letters = np.frombuffer(b"".join(self.labels), np.uint8)
         self.letter_ends = spans_of(size)
         self.kind = np.dtype(np.uint16 if len(labels) <= 1 << 16 else np.uint32)
-        self.hasher = WordHasher()
+        self.hasher = WordHasher(split_tail=True)
         self.table = IdTable(lambda chunks: [self.encode(c.decode("utf-8")) for c in chunks], self.kind)
 
     def encode(self, text: str) -> list[int]:

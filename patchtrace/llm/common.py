@@ -168,14 +168,16 @@ class WordHasher:
 
     A word's hash is a polynomial over 64-bit values of its bytes, read off one running sum
     over the block (the difference of two sums, shifted back to position 0), then mixed with
-    the length. ``lower`` gives A-Z the values of a-z. Blocks are cut at white space, so a long
+    the length. ``lower`` gives A-Z the values of a-z; ``split_tail`` makes a comma or full stop
+    behind a final ASCII letter a word of its own. Blocks are cut at white space, so a long
     text takes no more memory than a block or its longest word.
     """
 
     BASE = 0x9E3779B97F4A7C15
     BLOCK = 1 << 21
 
-    def __init__(self, lower: bool = False):
+    def __init__(self, lower: bool = False, split_tail: bool = False):
+        self.split_tail = split_tail
         self.values = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         if lower:
             self.values[65:91] = self.values[97:123]
@@ -214,6 +216,14 @@ class WordHasher:
         end = ~blank
         end[:-1] &= blank[1:] | edge[1:-1]
         starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        if self.split_tail:
+            before = data[np.maximum(stops - 2, 0)] | 32
+            tail = np.isin(data[stops - 1], (44, 46)) & (stops - starts > 1) & (before >= 97) & (before <= 122)
+            cut = stops[tail]
+            stops = stops - tail
+            starts = np.concatenate([starts, cut - 1])
+            order = np.argsort(starts, kind="stable")
+            starts, stops = starts[order], np.concatenate([stops, cut])[order]
         hashes, done = [], 0
         while done < len(starts):
             origin = starts[done]

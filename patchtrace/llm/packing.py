@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,16 +122,20 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", te
              end_id: int = 1) -> DataFrame:
     """id, n_tokens and ids (16- or 32-bit little-endian numbers) of each document with its end token.
 
-    For tokenizers that drop white space and never join what it parts: the ids of a text are
-    those of its runs between ASCII white space.
+    For tokenizers that drop white space and never join what it parts, nor letters and what is
+    none: the ids of a text are those of its runs between ASCII white space.
     """
 
     def run(batches):
-        table, kind = _chunk_encoder(tokenizer_file)
-        hasher, end = WordHasher(), np.array([end_id], kind)
+        table, kind, folds, special = _chunk_encoder(tokenizer_file)
+        exact, folded, end = WordHasher(), WordHasher(lower=True, split_tail=True), np.array([end_id], kind)
         for b in text_slices(batches):
-            column = b.column("text")
-            keys, starts, stops, ends = hasher(column)
+            # where no special token can stand, words that differ in case or end in a comma or full
+            # stop share their entries in the table
+            plain = folds and not any(pc.any(pc.match_substring(b.column("text"), s, ignore_case=True)).as_py()
+                                      for s in special)
+            hasher = folded if plain else exact
+            keys, starts, stops, ends = hasher(b.column("text"))
             ids, lengths = table(keys, hasher.data, starts, stops)
             n = per_row(lengths, ends)
             # put the end token behind each document's ids
@@ -146,8 +151,9 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", te
     return src.mapInArrow(run, f"id {kind}, row_no long, n_tokens long, ids binary")
 
 
-def _chunk_encoder(tokenizer_file: str) -> tuple[IdTable, np.dtype]:
-    """The worker's tokenizer with its chunk table, loaded once."""
+def _chunk_encoder(tokenizer_file: str) -> tuple[IdTable, np.dtype, bool, list[str]]:
+    """The worker's chunk table with its tokenizer, loaded once; the type of ids, whether case is
+    dropped, the special tokens."""
     cache = worker_cache()
     if tokenizer_file not in cache:
         import os
@@ -161,7 +167,8 @@ def _chunk_encoder(tokenizer_file: str) -> tuple[IdTable, np.dtype]:
         kind = np.dtype("<u2" if own.get_vocab_size() <= 1 << 16 else "<u4")
         cache[tokenizer_file] = IdTable(
             lambda chunks: [e.ids for e in own.encode_batch_fast([c.decode("utf-8") for c in chunks],
-                                                                 add_special_tokens=False)], kind), kind
+                                                                 add_special_tokens=False)], kind), kind, \
+            '"Lowercase"' in own.to_str(), [t.content for t in own.get_added_tokens_decoder().values()]
     return cache[tokenizer_file]
 
 

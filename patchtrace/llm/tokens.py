@@ -12,13 +12,16 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-from patchtrace.llm.common import WORD_TABLE_LIMIT, gather_runs, spans_of
+from patchtrace.llm.common import gather_runs, spans_of
+
+#: Distinct chunks that a worker's table may hold before it starts anew (some 100 MB).
+CHUNK_TABLE_LIMIT = 700_000
 
 
 class IdTable:
     """Ids of chunks by their 64-bit hash; starts anew when it holds too many."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype, limit: int = WORD_TABLE_LIMIT):
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype, limit: int = CHUNK_TABLE_LIMIT):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self.fresh()
 
