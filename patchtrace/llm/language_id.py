@@ -4,7 +4,7 @@ The vocabulary is a fixed public one (a SentencePiece model file, a parameter);
 piece probabilities of each language are learned here. A word's probability in a language
 is the sum over all ways to cut it into pieces of the product of their probabilities,
 computed by a forward pass over the word's positions. A text's log probability is the sum
-over its words (pieces never cross white space), and Bayes' rule with equal priors gives
+over its words (pieces never cross ASCII white space), and Bayes' rule with equal priors gives
 the predicted language and its posterior probability, the score.
 
 Probabilities come from expectation maximisation: forward-backward passes over the word
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import (WORD_TABLE_LIMIT, pick, spans_of, strings, text_slices, word_table,
+from patchtrace.llm.common import (WORD_TABLE_LIMIT, KeyTable, WordHasher, pick, strings, text_slices,
                                    write_stage)
 
 #: Documents of each language in the training sample (the documented bound).
@@ -227,16 +227,18 @@ def fit(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: s
 
 
 class Identifier:
-    """Scores texts; keeps the log probabilities of the words it has met in a bounded table."""
+    """Scores text columns; keeps the log probabilities of the words it has met in a bounded table."""
 
     def __init__(self, model: UnigramModel):
         self.model = model
         if model.languages:
             self.lattice, self.p = Lattice(model.pieces), _with_extras(model.p)
+        self.hasher, self.known = WordHasher(lower=True), KeyTable(WORD_TABLE_LIMIT)
         self.fresh()
 
     def fresh(self):
-        self.words, self.logs = word_table(), np.zeros((0, len(self.model.languages)))
+        self.known.fresh()
+        self.logs = np.zeros((1 << 14, len(self.model.languages)), np.float32)
 
     def words_scored(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)))
@@ -244,37 +246,39 @@ class Identifier:
             out[rows] = forward(n, ids, self.p)
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """Log probability of each text in each language."""
+        if self.known.full:
+            self.fresh()
+        keys, starts, stops, ends = self.hasher(column)
+        total = np.zeros((len(column), len(self.model.languages)))
+        if len(keys):
+            row, new = self.known.rows(keys)
+            if len(new):
+                text = self.hasher.data.tobytes()
+                words = [text[a:b].decode("utf-8").lower()
+                         for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+                last = len(self.known.keys)
+                while last > len(self.logs):
+                    self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+                self.logs[last - len(new):last] = self.words_scored(words)
+            some = np.flatnonzero(np.diff(ends))
+            total[some] = np.add.reduceat(self.logs[row], ends[:-1][some], axis=0, dtype=np.float64)
+        return total
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language and its posterior probability, for each text."""
         if not self.model.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        if len(self.words) > WORD_TABLE_LIMIT:
-            self.fresh()
-        split = [t.lower().split() for t in texts]
-        known = len(self.words)
-        codes = np.fromiter(map(self.words.__getitem__, (w for s in split for w in s)), np.int64)
-        if len(self.words) > known:
-            new = list(self.words)[known:] if known == 0 else _last(self.words, len(self.words) - known)
-            self.logs = np.vstack([self.logs, self.words_scored(new)])
-        ends = spans_of([len(s) for s in split])
-        total = np.zeros((len(texts), len(self.model.languages)))
-        some = np.flatnonzero(np.diff(ends))
-        if len(some):
-            total[some] = np.add.reduceat(self.logs[codes], ends[:-1][some], axis=0)
+            return ["und"] * len(column), np.zeros(len(column))
+        total = self.totals(column)
         post = np.exp(total - total.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         best = post.argmax(1)
-        lettered = np.array([bool(_LETTER.search(t)) for t in texts], bool)
-        score = np.where(lettered, post[np.arange(len(texts)), best], 0.0)
+        lettered = np.array([bool(_LETTER.search(t)) for t in strings(column)], bool)
+        score = np.where(lettered, post[np.arange(len(column)), best], 0.0)
         return [self.model.languages[b] if x else "und" for b, x in zip(best, lettered, strict=True)], score
 
 
-def _last(table: dict, n: int) -> list[str]:
-    """The ``n`` newest keys, oldest first."""
-    newest = reversed(table)
-    return [next(newest) for _ in range(n)][::-1]
-
-
 def identify(docs: DataFrame, model: UnigramModel, *, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """One row per document: id_col, lang_pred, score."""
@@ -283,7 +287,7 @@ def identify(docs: DataFrame, model: UnigramModel, *, id_col: str = "doc_id",
     def run(batches):
         judge = Identifier(held.value)
         for part in text_slices(batches):
-            lang, score = judge.predict(strings(part.column("text")))
+            lang, score = judge.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array(lang, pa.string()), pa.array(score)],
                 names=["id", "lang_pred", "score"])
@@ -303,7 +307,7 @@ def keep_identified(docs: DataFrame, model: UnigramModel, *, text_col: str = "te
     def run(batches):
         judge = Identifier(held.value)
         for part in text_slices(batches, f"_in{at}"):
-            lang, score = judge.predict(strings(part.column(at)))
+            lang, score = judge.predict(part.column(at))
             keep = (np.array(lang) != "und") & (score >= least)
             yield part.filter(pa.array(keep, pa.bool_()))
 

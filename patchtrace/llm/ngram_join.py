@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import (FILTER_BITS, WORD_TABLE_LIMIT, WordHasher, drop_listed, mix64, pick, row_filter,
+from patchtrace.llm.common import (FILTER_BITS, WordHasher, drop_listed, mix64, pick, row_filter,
                                    spans_of, text_slices, write_stage)
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ COUNTERS = (1 << 16, 1 << 22)
 BLOCK = 256
 #: Entries of an index list that one task takes at most, by the counter table's estimate.
 LIST_LIMIT = 1 << 17
+#: Class keys that a task remembers, to leave out later copies.
+SEEN_LIMIT = 300_000
 
 
 class Shingler:
@@ -162,7 +164,7 @@ def _postings(src: DataFrame, table, seed: int, size: int, num: int, den: int, l
             flat, ends = own.sets(b.column("text"))
             k, _ = class_keys(flat, ends, seed)
             hs, ks, ns, ps = [], [], [], []
-            if len(seen) > WORD_TABLE_LIMIT:
+            if len(seen) > SEEN_LIMIT:
                 seen.clear()
             freq = counts[(flat & mask).astype(np.int64)]
             for i, key in enumerate(k.tolist()):

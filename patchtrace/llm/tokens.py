@@ -10,53 +10,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 
-from patchtrace.llm.common import gather_runs, spans_of
-
-#: Distinct chunks that a worker's table may hold before it starts anew (some 100 MB).
-CHUNK_TABLE_LIMIT = 700_000
+from patchtrace.llm.common import WORD_TABLE_LIMIT, KeyTable, gather_runs, spans_of
 
 
 class IdTable:
     """Ids of chunks by their 64-bit hash; starts anew when it holds too many."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype, limit: int = CHUNK_TABLE_LIMIT):
-        self.encode, self.dtype, self.limit = encode, dtype, limit
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype, limit: int = WORD_TABLE_LIMIT):
+        self.encode, self.dtype = encode, dtype
+        self.known = KeyTable(limit)
         self.fresh()
 
     def fresh(self):
-        self.rows: dict[int, int] = {}
+        self.known.fresh()
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
         """The ids of all chunks, one after the other, and how many each chunk has."""
         if len(keys) == 0:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if len(self.rows) > self.limit:
+        if self.known.full:
             self.fresh()
-        codes, distinct = pd.factorize(keys)
-        get, known = self.rows.get, len(self.rows)
-        row = np.fromiter((get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(row < 0)
+        row, new = self.known.rows(keys)
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            spot, text = first[new], data.tobytes()
-            ids = self.encode([text[a:b] for a, b in zip(starts[spot].tolist(), stops[spot].tolist(), strict=True)])
+            text = data.tobytes()
+            ids = self.encode([text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(size.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
             self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
             self.starts = np.concatenate([self.starts, self.used + spans_of(size)[:-1]])
-            self.lengths = np.concatenate([self.lengths, size])
+            self.lengths = np.concatenate([self.lengths, size.astype(np.int32)])
             self.used += total
-            row[new] = np.arange(known, known + len(new))
-            self.rows.update(zip(distinct[new].tolist(), range(known, known + len(new)), strict=True))
-        row = row[codes]
-        return gather_runs(self.flat, self.starts[row], self.lengths[row]), self.lengths[row]
+        lengths = self.lengths[row].astype(np.int64)
+        return gather_runs(self.flat, self.starts[row], lengths), lengths
 
 
 def per_row(lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
