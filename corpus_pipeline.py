@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from patchtrace.llm import exact_dedup, language_id, ngram_join, packing, quality_classifier  # noqa: E402
-from patchtrace.llm.common import fold, table  # noqa: E402
+from patchtrace.llm.common import bounded_batches, fold, table  # noqa: E402
 from patchtrace.session import shared_path  # noqa: E402
 
 #: A document stays if its quality score reaches this.
@@ -38,6 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a clear language; the label column is learned from, not changed."""
+    bounded_batches(spark)
     model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"),
                             learn_from=lambda c: fold(c, 4) != 2)
     return language_id.keep_identified(docs, model, least=LEAST_LANGUAGE)
@@ -45,16 +46,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of equal texts."""
+    bounded_batches(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each group linked by shingle similarity."""
+    bounded_batches(spark)
     return ngram_join.keep_smallest(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 

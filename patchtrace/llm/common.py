@@ -24,12 +24,22 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Distinct words that a worker's table may hold before it starts anew.
 WORD_TABLE_LIMIT = 1_000_000
+#: Rows of an Arrow batch; whole documents are wide.
+BATCH_ROWS = 500
 #: Bits of a row filter (2 MB), the proven bound of what is sent to every executor.
 FILTER_BITS = 1 << 24
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch, which bounds what a task holds off the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,8 @@ from; with nothing to learn from every text is ``und``; repeated rows get one re
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchtrace.llm.common import (WORD_TABLE_LIMIT, KeyTable, WordHasher, pick, strings, text_slices,
-                                   write_stage)
+                                   worker_cache, write_stage)
 
 #: Documents of each language in the training sample (the documented bound).
 PER_LANGUAGE = 1000
@@ -53,6 +54,7 @@ class UnigramModel:
     languages: list[str]
     pieces: list[str]
     p: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def read_pieces(model_file: str, longest: int = MAX_PIECE) -> list[str]:
@@ -279,13 +281,21 @@ class Identifier:
         return [self.model.languages[b] if x else "und" for b, x in zip(best, lettered, strict=True)], score
 
 
+def identifier(model: UnigramModel) -> Identifier:
+    """The worker's identifier for this model; one model is held at a time."""
+    cache = worker_cache()
+    if cache.get("language", (None, None))[0] != model.name:
+        cache["language"] = (model.name, Identifier(model))
+    return cache["language"][1]
+
+
 def identify(docs: DataFrame, model: UnigramModel, *, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """One row per document: id_col, lang_pred, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        judge = Identifier(held.value)
+        judge = identifier(held.value)
         for part in text_slices(batches):
             lang, score = judge.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays(
@@ -305,7 +315,7 @@ def keep_identified(docs: DataFrame, model: UnigramModel, *, text_col: str = "te
     plain = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
 
     def run(batches):
-        judge = Identifier(held.value)
+        judge = identifier(held.value)
         for part in text_slices(batches, f"_in{at}"):
             lang, score = judge.predict(part.column(at))
             keep = (np.array(lang) != "und") & (score >= least)
