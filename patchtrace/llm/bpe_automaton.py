@@ -73,7 +73,7 @@ class MergeAutomaton:
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         state, end = self.target[u], self.target[v]
-        if self.birth[w] < _NOW or not self.has_arc(state, v, time - 1):
+        if self.birth[u] == _NOW or self.birth[w] < _NOW or not self.has_arc(state, v, time - 1):
             return  # the pair never stands side by side: the merge has no effect
         if self.arcs_in[state] > 1 or u == v:
             self.arcs_in[state] -= 1
