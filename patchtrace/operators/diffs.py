@@ -39,13 +39,13 @@ DIFF_KEYS = ["repo_url", "commit_hash"]
 def _group_path(g: Column) -> Column:
     first = F.substring_index(g, "\n", 1)
     field4 = F.get(py_split_ws(first), 3)
-    return F.when(g.rlike("^" + PATH_LINE), F.substring(field4, 3, 1 << 30))
+    return F.when(g.rlike("^" + PATH_LINE), F.substring(field4, F.lit(3), F.length(field4)))
 
 
 def _hunk_lines(seg: Column) -> Column:
     """Lines of the section after its header that belong to the hunk."""
-    body = F.slice(F.split(seg, "\n", -1), 2, 1 << 30)
-    return F.filter(body, lambda x: ~x.startswith("index"))
+    lines = F.split(seg, "\n", -1)
+    return F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: ~x.startswith("index"))
 
 
 def _header_context(seg: Column) -> Column:
@@ -62,9 +62,11 @@ def diff_parts(diffs: DataFrame, text: str = "diff_text", keep: list[str] | None
     keep = DIFF_KEYS if keep is None else keep
     t = py_strip(F.col(text))
     groups = F.split(t, GROUP_SPLIT, -1)
-    items = F.flatten(F.transform(groups, lambda g: F.transform(
-        F.split(g, SECTION_SPLIT, -1),
-        lambda s: F.struct(_group_path(g).alias("file"), s.alias("seg")))))
+    # the path is read once per file section, then given to each of its hunks
+    files = F.transform(groups, lambda g: F.struct(_group_path(g).alias("file"),
+                                                   F.split(g, SECTION_SPLIT, -1).alias("segs")))
+    items = F.flatten(F.transform(files, lambda f: F.transform(
+        f["segs"], lambda s: F.struct(f["file"].alias("file"), s.alias("seg")))))
     hunks = F.filter(items, lambda x: x["seg"].startswith("@@")
                      & x["file"].isNotNull() & (x["file"] != "")
                      & ((_header_context(x["seg"]) != "") | (F.size(_hunk_lines(x["seg"])) > 0)))
@@ -77,7 +79,7 @@ def with_old_version(parts: DataFrame, part: str = "diff_part") -> DataFrame:
     seg = F.col(part)
     ctx = _header_context(seg)
     kept = F.filter(_hunk_lines(seg), lambda x: ~x.startswith("+"))
-    old = F.transform(kept, lambda x: F.when(x.startswith("-") | x.startswith(" "), F.substring(x, 2, 1 << 30))
+    old = F.transform(kept, lambda x: F.when(x.startswith("-") | x.startswith(" "), F.substring(x, F.lit(2), F.length(x)))
                       .otherwise(x))
     lines = F.when(ctx != "", F.concat(F.array(ctx), old)).otherwise(old)
     return parts.withColumn("old_version", F.array_join(lines, "\n"))
@@ -102,12 +104,10 @@ def fragment_id(part_no: str = "part_no", file: str = "file") -> Column:
 
 def added_lines(part: str = "diff_part") -> Column:
     return F.transform(F.filter(_hunk_lines(F.col(part)), lambda x: x.startswith("+")),
-                       lambda x: F.substring(x, 2, 1 << 30))
+                       lambda x: F.substring(x, F.lit(2), F.length(x)))
 
 
 def removed_lines(part: str = "diff_part") -> Column:
     return F.transform(F.filter(_hunk_lines(F.col(part)), lambda x: x.startswith("-")),
-                       lambda x: F.substring(x, 2, 1 << 30))
+                       lambda x: F.substring(x, F.lit(2), F.length(x)))
 
-
-_ = S

@@ -84,10 +84,11 @@ def window_vectors(windows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def mean_pool(window_vecs: DataFrame, key: list[str]) -> DataFrame:
-    """Unweighted mean of the window vectors of each item (dense path)."""
+    """Unweighted mean of the window vectors of each item, in their own dimension."""
     e = window_vecs.select(*key, "win_no", F.posexplode("embedding").alias("bucket", "v"))
-    s = e.groupBy(*key, "bucket").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("nw"))
-    return _dense(s, key, "v", "nw")
+    s = e.groupBy(*key, "bucket").agg((F.sum("v") / F.count(F.lit(1))).alias("v"))
+    vec = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "v"))), lambda x: x["v"])
+    return s.groupBy(*key).agg(vec.alias("embedding"))
 
 
 def embed_texts(items: DataFrame, key: list[str], text: str = "text", special: bool = True) -> DataFrame:

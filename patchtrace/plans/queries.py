@@ -130,7 +130,7 @@ _CVE_CTES = f"""firsts AS (
   WHERE cve_id <> ''),
 links AS (SELECT entry_no, cve_id, unnest(regexp_extract_all(entry, '{cve.COMMIT_LINK_PATTERN}', 0)) AS link FROM firsts),
 ylinks AS (SELECT * FROM links WHERE substr(cve_id, 5, 4) >= '{cve.FIRST_YEAR}' AND substr(cve_id, 5, 4) <= '{cve.LAST_YEAR}'),
-clinks AS (SELECT DISTINCT link, cve_id FROM ylinks),
+clinks AS (SELECT DISTINCT link, cve_id FROM links),
 keys AS (SELECT link, cve_id, 'https://github.com/' || regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) AS repo_url,
                 regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 2) AS commit_hash
          FROM clinks WHERE regexp_extract(link, '{cve.COMMIT_KEY_PATTERN}', 1) <> '')"""
@@ -145,7 +145,7 @@ def _links(spark, sf_dir):
 
 
 def _commit_keys(spark, sf_dir):
-    return cve.commit_keys(cve.cve_links(cve.year_filter(_links(spark, sf_dir))))
+    return cve.commit_keys(cve.cve_links(_links(spark, sf_dir)))
 
 
 @register("cve_feed_entries", with_fixtures(f"""
@@ -185,7 +185,7 @@ def q_links_by_year(spark, sf_dir):
 @register("cve_links", _cve_sql("SELECT link, cve_id FROM clinks"))
 def q_cve_links(spark, sf_dir):
     """C4: distinct (link, cve_id) set."""
-    return cve.cve_links(cve.year_filter(_links(spark, sf_dir)))
+    return cve.cve_links(_links(spark, sf_dir))
 
 
 @register("link_counts", _cve_sql("""SELECT substr(cve_id, 5, 4) AS year, count(*) AS n_pairs, count(DISTINCT link) AS n_links
@@ -220,7 +220,7 @@ def q_cve_commit_diffs(spark, sf_dir):
 def q_links_roundtrip(spark, sf_dir):
     """The link set written as `cve_id link` lines to the shared folder and read back."""
     out = shared_path(spark, "links", uuid.uuid4().hex)
-    feedsrc.write_link_file(cve.cve_links(cve.year_filter(_links(spark, sf_dir))), out)
+    feedsrc.write_link_file(cve.cve_links(_links(spark, sf_dir)), out)
     return feedsrc.read_link_file(spark, out)
 
 
@@ -287,12 +287,17 @@ def q_fragment_keys(spark, sf_dir):
 
 
 @register("verdict_prompts", _diff_sql(f"""SELECT repo_url, commit_hash, part_no,
-  {sqltext.q(verdict.PROMPT_HEAD)} || CASE WHEN length(diff_part) > {verdict.MAX_DIFF_CHARS}
-      THEN substr(diff_part, 1, {verdict.MAX_DIFF_CHARS}) || {sqltext.q(verdict.TRUNCATION_MARK)} ELSE diff_part END
-  || {sqltext.q(verdict.PROMPT_TAIL)} AS prompt FROM parts"""))
+  dense_rank() OVER (PARTITION BY repo_url, commit_hash, part_no ORDER BY no) - 1 AS prompt_no,
+  {sqltext.q(verdict.PROMPT_HEAD)} || string_agg(l, chr(10) ORDER BY i) || {sqltext.q(verdict.PROMPT_TAIL)} AS prompt
+FROM (SELECT repo_url, commit_hash, part_no, l, i, coalesce(sum(length(l) + 1) OVER (
+        PARTITION BY repo_url, commit_hash, part_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        // {verdict.MAX_DIFF_CHARS} AS no
+      FROM (SELECT repo_url, commit_hash, part_no, unnest(string_split(diff_part, chr(10))) AS l,
+                   generate_subscripts(string_split(diff_part, chr(10)), 1) AS i FROM parts))
+GROUP BY repo_url, commit_hash, part_no, no"""))
 def q_verdict_prompts(spark, sf_dir):
-    """The classifier prompt per part."""
-    return _parts(spark, sf_dir).select(*_DK, "part_no", verdict.prompt_text().alias("prompt"))
+    """The numbered classifier prompts of each part, the whole diff among them."""
+    return _parts(spark, sf_dir).select(*_DK, "part_no", F.posexplode(verdict.prompt_texts()).alias("prompt_no", "prompt"))
 
 
 _RULE_F, _RULE_E = sqltext.rule_scorer_cols()
@@ -489,7 +494,7 @@ def _m6_sql(select: str) -> str:
 
 @register("vulnerable_fragments", _m6_sql("SELECT fragment_id, cve_id, repo_url, commit_hash, part_no, file, code FROM vfrag"))
 def q_vulnerable_fragments(spark, sf_dir):
-    """D8 + T7: functional parts of 2014 CVE fix commits with their pre-fix code."""
+    """D8 + T7: functional parts of CVE fix commits with their pre-fix code."""
     return pipeline.vulnerable_fragments(fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"))
 
 
@@ -512,7 +517,7 @@ kv AS (SELECT * FROM (SELECT a.path AS cve_function_path, b.path AS project_func
 
 @register("known_vulnerabilities")
 def q_known_vulnerabilities(spark, sf_dir):
-    """M6: CVE fragments (2014, functional) matched against every function of the corpus."""
+    """M6: CVE fragments (functional) matched against every function of the corpus."""
     r = pipeline.known_vulnerabilities(spark, fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"),
                                        fixture(spark, sf_dir, "source_files"))
     return match.rounded(r)
@@ -726,11 +731,11 @@ from patchtrace.sources import vectors as vecsrc  # noqa: E402
   substr(cve_id, 5, 4) AS cve_year FROM vfrag"""))
 def q_fragment_sink(spark, sf_dir):
     """Functional fragments written to the shared folder partitioned by CVE year and
-    read back with a year filter (partition pruning on read)."""
+    read back, every year."""
     out = shared_path(spark, "fragments-by-year", uuid.uuid4().hex)
     sinks.write_fragments(pipeline.vulnerable_fragments(fixture(spark, sf_dir, "cve_feed"),
                                                         fixture(spark, sf_dir, "commit_diffs")), out)
-    back = spark.read.parquet(out).where(F.col("cve_year") == cve.FIRST_YEAR)
+    back = spark.read.parquet(out)
     return back.select("fragment_id", "cve_id", "repo_url", "commit_hash", "part_no", "file", "code",
                        F.col("cve_year").cast("string").alias("cve_year"))
 

@@ -40,10 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach and is never
-    overridden here. Only when it is unset (local runs, tests) a scratch folder is
-    created and registered.
+    overridden here; without it a cluster run stops. Only a local master (tests) gets a
+    scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="patchtrace-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -21,8 +21,7 @@ def new_only(candidates: DataFrame, processed: DataFrame, key: list[str]) -> Dat
 
 
 def process_arrivals(spark: SparkSession, landing: str, schema: str, out: str, checkpoint: str,
-                     transform: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = None,
-                     timeout_s: int = 600) -> None:
+                     transform: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = None) -> None:
     """Run ``transform`` over every file that arrived in ``landing`` and was not yet
     processed, appending the result to the parquet table ``out``; returns when all
     available files are done. Safe to re-run: the checkpoint remembers what was read,
@@ -38,9 +37,6 @@ def process_arrivals(spark: SparkSession, landing: str, schema: str, out: str, c
     q = (stream.writeStream.foreachBatch(each)
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish in time")
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
