@@ -143,11 +143,9 @@ def label_files(files: DataFrame, extra: bool = False) -> DataFrame:
     return files.withColumn("language", language_label("path", extra)).where(F.col("language").isNotNull())
 
 
-def partition_files(files: DataFrame, n: int | None = None) -> DataFrame:
-    """Hash-partition the file table by path once; later windows and joins reuse it."""
-    spark = files.sparkSession
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "path")
+def partition_files(files: DataFrame) -> DataFrame:
+    """Hash-partition the file table by its key; the size of the parts is left to AQE."""
+    return files.repartition("path")
 
 
 def _brace_segments(code: DataFrame) -> DataFrame:
@@ -248,9 +246,10 @@ def python_functions(files: DataFrame) -> DataFrame:
     d = d.select("path", "language", F.regexp_extract("line", PY_DEF, 3).alias("name"),
                  py_strip(F.col("_sig_txt")).alias("signature"),
                  F.col("off").alias("start_pos"),
-                 F.coalesce(F.col("next_off") - 1, F.lit(1 << 30)).alias("_stop"),
+                 (F.col("next_off") - 1).alias("_stop"),
                  (F.col("ln") + 1).alias("start_line"), F.col("end_ln").alias("end_line"))
-    j = d.join(files.select("path", "content").hint("merge"), "path")
+    j = (d.join(files.select("path", "content").hint("merge"), "path")
+          .withColumn("_stop", F.coalesce("_stop", F.length("content"))))
     fw = Window.partitionBy("path").orderBy("start_pos")
     return (j.withColumn("body", F.substring(F.col("content"), F.col("start_pos") + 1, F.col("_stop") - F.col("start_pos")))
              .withColumn("end_pos", F.least(F.col("_stop"), F.length("content")))
@@ -282,12 +281,18 @@ def ruby_functions(files: DataFrame) -> DataFrame:
 
 
 def extract_functions(files: DataFrame, extra: bool = False, repartition: bool = True) -> DataFrame:
-    """All functions of a ``(path, content)`` corpus (any extra columns are ignored).
+    """All functions of a ``([project_id,] path, content)`` corpus (other columns are ignored).
+
+    With a ``project_id`` a file is known by project and path, which then is the key of
+    every shuffle, window and join, and the result carries both columns.
 
     Brace-language files are comment-stripped before the one shuffle by path, so the
     strip runs once per file and only the stripped text travels."""
     brace = ["c", "cpp", "java", "rust"] + (["csharp", "javascript"] if extra else [])
-    f = label_files(files.select("path", "content"), extra)
+    projects = "project_id" in files.columns
+    f = label_files(files.select(*_file_key(files), "content"), extra)
+    if projects:
+        f = f.select(F.struct("project_id", "path").alias("path"), "language", "content")
     f = f.withColumn("content", F.when(F.col("language").isin(brace), strip_comments(F.col("content")))
                                  .otherwise(F.col("content")))
     if repartition:
@@ -295,22 +300,30 @@ def extract_functions(files: DataFrame, extra: bool = False, repartition: bool =
     out = brace_functions(f, brace, stripped=True).unionByName(python_functions(f))
     if extra:
         out = out.unionByName(ruby_functions(f))
+    if projects:
+        rest = [c for c in out.columns if c != "path"]
+        out = out.select(F.col("path.project_id").alias("project_id"), F.col("path.path").alias("path"), *rest)
     return out
 
 
+def _file_key(df: DataFrame) -> list[str]:
+    return ["project_id", "path"] if "project_id" in df.columns else ["path"]
+
+
 def nested_by_file(functions: DataFrame) -> DataFrame:
     """The functions of each file as one ordered array (the JSON output shape)."""
     rec = F.struct("fn_no", "name", "signature", "body", "start_line", "end_line", "language")
-    return (functions.groupBy("path")
+    return (functions.groupBy(*_file_key(functions))
                      .agg(F.array_sort(F.collect_list(rec)).alias("functions")))
 
 
 def inventory_counts(files: DataFrame, functions: DataFrame, extra: bool = False) -> DataFrame:
     """per language, supported files found, files with at least one function,
     and functions found."""
-    f = label_files(files.select("path"), extra)
-    per_file = functions.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    j = f.join(per_file, "path", "left")
+    key = [c for c in _file_key(files) if c in functions.columns]
+    f = label_files(files.select(*key), extra)
+    per_file = functions.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    j = f.join(per_file, key, "left")
     return (j.groupBy("language")
              .agg(F.count(F.lit(1)).alias("n_files"),
                   F.count("_n").alias("n_files_with_functions"),

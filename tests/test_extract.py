@@ -7,6 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from patchtrace.functions.text import S
+from pyspark.sql import functions as F
+
 from patchtrace.operators import extract as X
 
 
@@ -147,3 +149,23 @@ def test_line_plan_matches_scan(spark, docs):
     got = sorted((f.path, f.name, f.start_line, f.end_line, f.body) for f in _run(spark, files))
     want = sorted((p, *t) for p, c in files for t in line_scan(c))
     assert got == want
+
+
+def test_projects_that_share_a_path_stay_apart(spark):
+    c = "int a1(int x)\n{\n  return %d;\n}\n"
+    py = "def f():\n    return %d\n\ndef g(x):\n    return x\n"
+    rows = [(f"p{i}", p, t % i) for i in (1, 2) for p, t in (("src/main.c", c), ("setup.py", py))]
+    files = spark.createDataFrame(rows, "project_id string, path string, content string")
+    for repartition in (True, False):
+        out = X.extract_functions(files, repartition=repartition)
+        got = sorted((r.project_id, r.path, r.fn_no, r.body) for r in out.collect())
+        want = []
+        for i in (1, 2):
+            alone = X.extract_functions(files.where(F.col("project_id") == f"p{i}").drop("project_id"))
+            want += [(f"p{i}", r.path, r.fn_no, r.body) for r in alone.collect()]
+        assert got == sorted(want) and len(got) == 6
+        assert {(r.project_id, r.path, len(r.functions)) for r in X.nested_by_file(out).collect()} == {
+            (p, f, n) for p in ("p1", "p2") for f, n in (("src/main.c", 1), ("setup.py", 2))}
+        counts = {r.language: (r.n_files, r.n_files_with_functions, r.n_functions)
+                  for r in X.inventory_counts(files, out).collect()}
+        assert counts == {"c": (2, 2, 2), "python": (2, 2, 4)}
