@@ -86,7 +86,7 @@ def test_cosine_rules(spark):
     assert s == s2
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 4096])
+@pytest.mark.parametrize("block_bytes", [4 << 20, 4096])
 def test_block_product_equals_brute_force(spark, block_bytes):
     v = (spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
          .select(F.col("vec_id").cast("string").alias("path"), "embedding", "label"))
@@ -103,3 +103,46 @@ def test_block_product_equals_brute_force(spark, block_bytes):
     want = {(c.path[i], p.path[j]): s[i, j] for i, j in zip(*np.nonzero(s >= 0.3))}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def _brute(cve, proj, t):
+    out = []
+    for a, u in cve:
+        for b, v in proj:
+            if not u or not v:
+                continue
+            u2, v2 = np.array([np.nan if x is None else x for x in u]), np.array([np.nan if x is None else x for x in v])
+            nu, nv = np.linalg.norm(u2), np.linalg.norm(v2)
+            s = 0.0 if nu == 0 or nv == 0 else float(u2 @ v2 / (nu * nv))
+            if not s < t:
+                out.append((a, b, "nan" if np.isnan(s) else round(s, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("t", [0.947, 0.7, 0.0, -0.5])
+def test_match_on_hard_vectors(spark, t):
+    # one hot cell of close vectors, copies, zero, NaN, null entries, null and empty vectors, repeated rows
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=8)
+    vecs = [(hot + rng.normal(scale=0.15, size=8)).tolist() for _ in range(60)]
+    vecs += [rng.normal(size=8).tolist() for _ in range(40)] + [hot.tolist()] * 30
+    vecs += [[0.0] * 8, [-0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, None, []]
+    rows = [(f"v{i}", v) for i, v in enumerate(vecs)]
+    cve, proj = rows[::3] + rows[-6:] + rows[:1], rows + rows[-5:-4] + rows[3:5]
+    schema = "path string, embedding array<double>"
+    got = M.clone_pairs(spark, spark.createDataFrame(cve, schema), spark.createDataFrame(proj, schema), t,
+                        max_block_rows=7, max_cells=12).collect()
+    got = sorted((a, b, "nan" if np.isnan(s) else round(s, 9)) for a, b, s in got)
+    want = _brute(cve, proj, t)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    assert all(x == y or abs(x - y) < 1e-8 for (_, _, x), (_, _, y) in zip(got, want))
+
+
+def test_match_of_empty_and_unlike_sides(spark):
+    schema = "path string, embedding array<double>"
+    one, none = spark.createDataFrame([("a", [1.0, 0.0])], schema), spark.createDataFrame([], schema)
+    assert M.clone_pairs(spark, one, none).count() == M.clone_pairs(spark, none, one).count() == 0
+    zeros = spark.createDataFrame([("z", [0.0, 0.0])], schema)
+    assert M.clone_pairs(spark, one, zeros).count() == M.clone_pairs(spark, zeros, one).count() == 0
+    with pytest.raises(ValueError):
+        M.clone_pairs(spark, one, spark.createDataFrame([("b", [1.0, 0.0, 0.0])], schema))
