@@ -3,24 +3,27 @@
 Set-based re-expression of the reference's per-file regex + brace loop:
 
 *Brace plan* (C, C++, Java, Rust; also our C# and JavaScript headers). The comment-
-stripped text is exploded into one row per brace, holding the text since the previous
-brace. Running sums per file give each brace its end offset, depth and newline count.
-Braces of one depth level alternate open/close, so the closing brace of an opening one
-is simply the next brace of its level (``lead`` over ``(file, level)``); no match means
-unbalanced and the candidate is dropped, as in the reference. The header test runs once
-per opening brace on the text since the previous brace: a header can only end at a
-``{`` and the reference's scan resumes right after it. Headers with a brace inside their
-parameter or template list are therefore missed (documented deviation).
-
-*Line plan* (Python; also our Ruby rule). One row per line with its offset and indent.
-The end of a ``def`` is the next significant line whose indent is at most the def's:
-lines are paired with the distinct def indents of their file (an equi-join on the file
-plus an indent bound), then ``lead`` over ``(file, indent bound)`` finds it. A def is kept
-iff no earlier def of the file reaches past it (running ``max``), which equals the
+stripped text is cut after each ``{``; the header test runs once per piece, in the row
+that holds the text: a header can only end at a ``{`` and the reference's scan resumes
+right after it. A second cut leaves one small row per brace (length, newlines and, for
+an opening one, the header found), so the windows shuffle and sort no text. Running sums
+per file give each brace its end offset, depth and newline count. Braces of one depth
+level alternate open/close, so the closing brace of an opening one is simply the next
+brace of its level (``lead`` over ``(file, level)``); no match means unbalanced and the
+candidate is dropped, as in the reference. Headers with a ``{`` inside their parameter
+or template list are missed (documented deviation).
+
+*Line plan* (Python; also our Ruby rule). One small row per line with its offset and
+indent. The end of a ``def`` is the next significant line whose indent is at most the
+def's: lines are paired with the distinct def indents of their file (an equi-join on the
+file plus an indent bound), then ``lead`` over ``(file, indent bound)`` finds it. A def is
+kept iff no earlier def of the file reaches past it (running ``max``), which equals the
 reference's "resume the scan at the end of the function".
 
-Bodies are cut from the text by offsets after a join back to the file rows. The file
-table is hash-partitioned by path once; the windows and the join reuse that partitioning.
+Bodies: the spans of a file are gathered in one row, joined once with its text, and cut
+as slices of the text's own pieces or lines, so the cost is linear in the text plus the
+bodies. Texts are hash-partitioned by file once; the windows, the grouping and the join
+reuse that exchange. Without bodies no text is shuffled at all.
 """
 
 from __future__ import annotations
@@ -108,11 +111,9 @@ FUNCTION_COLUMNS = ["path", "fn_no", "name", "signature", "body", "start_line",
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    return df.select("path", F.col("fn_no").cast("int").alias("fn_no"), "name", "signature", "body",
-                     F.col("start_line").cast("int").alias("start_line"),
-                     F.col("end_line").cast("int").alias("end_line"), "language",
-                     F.col("start_pos").cast("long").alias("start_pos"),
-                     F.col("end_pos").cast("long").alias("end_pos"))
+    types = {"fn_no": "int", "start_line": "int", "end_line": "int", "start_pos": "long", "end_pos": "long"}
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c)
+                       for c in FUNCTION_COLUMNS if c in df.columns])
 
 
 def suffix(path: str = "path") -> Column:
@@ -148,24 +149,6 @@ def partition_files(files: DataFrame) -> DataFrame:
     return files.repartition("path")
 
 
-def _brace_segments(code: DataFrame) -> DataFrame:
-    """One row per brace of each file: text since the previous brace, running stats."""
-    segs = code.select("path", "language", F.posexplode(F.split(F.col("code"), "(?<=[{}])", -1)).alias("i", "seg"))
-    segs = segs.where(F.col("seg").endswith("{") | F.col("seg").endswith("}"))
-    w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_open = F.col("seg").endswith("{")
-    # the three running sums share one window spec: one select, one Window operator
-    segs = segs.select("*", is_open.alias("is_open"),
-                       F.sum(F.length("seg")).over(w).alias("e"),
-                       F.sum(F.when(is_open, 1).otherwise(-1)).over(w).alias("d"),
-                       F.sum(count_char("seg", "\n")).over(w).alias("cnl"))
-    segs = segs.withColumn("lvl", F.when(F.col("is_open"), F.col("d")).otherwise(F.col("d") + 1))
-    v = Window.partitionBy("path", "lvl").orderBy("i")
-    return (segs.withColumn("close_e", F.lead("e").over(v))
-                .withColumn("close_cnl", F.lead("cnl").over(v))
-                .withColumn("close_open", F.lead("is_open").over(v)))
-
-
 def _by_language(languages: list[str], make) -> Column:
     """One CASE over the language column; only the file's own rule is evaluated."""
     out = None
@@ -175,131 +158,187 @@ def _by_language(languages: list[str], make) -> Column:
     return out
 
 
-def _brace_candidates(segs: DataFrame, languages: list[str]) -> DataFrame:
-    t = F.concat(F.when(F.col("i") > 0, F.lit("\u0001")).otherwise(F.lit("")), F.col("seg"))
-
-    def grp(lang, which):
-        pat = BRACE_RULES[lang][0]
-        idx = BRACE_RULES[lang][which]
-        return F.regexp_extract(t, pat, idx) if idx else F.lit("fn")
-
-    m = _by_language(languages, lambda lg: F.regexp_extract(t, BRACE_RULES[lg][0], 0))
-    name = _by_language(languages, lambda lg: grp(lg, 1))
-    kind = _by_language(languages, lambda lg: grp(lg, 2))
-    params = _by_language(languages, lambda lg: grp(lg, 3))
-    sig = F.concat(py_strip(F.col("_k")), F.lit(" "), F.col("name"), F.col("_p"))
-    return (segs.where(F.col("is_open") & F.col("close_e").isNotNull() & ~F.col("close_open"))
-                .withColumn("_m", m)
-                .where(F.col("_m") != "")
-                .withColumn("name", name).withColumn("_k", kind).withColumn("_p", params)
-                .select("path", "language", "name", py_strip(sig).alias("signature"),
-                        (F.col("e") - F.length("_m")).alias("start_pos"),
-                        F.col("close_e").alias("end_pos"),
-                        (F.col("cnl") - count_char("_m", "\n") + 1).alias("start_line"),
-                        (F.col("close_cnl") + 1).alias("end_line")))
-
-
-def brace_functions(files: DataFrame, languages: list[str], stripped: bool = False) -> DataFrame:
+def _assemble(spans: DataFrame, texts: DataFrame, pieces: Column, body: Column, bodies: bool) -> DataFrame:
+    """Number the spans of each file and cut their bodies.
+
+    ``spans`` has the columns of the result without ``fn_no`` and ``body``, and the piece
+    numbers ``_from`` and ``_n``; ``texts`` has (path, language, content). ``pieces`` is the
+    array the content is cut into, once per file, and ``body`` the body made of ``_p``, a
+    span's slice of it.
+    """
+    fields = ["start_pos", "end_pos", "start_line", "end_line", "name", "signature", "_from", "_n", "_skip"]
+    per_file = spans.groupBy("path", *([] if bodies else ["language"])).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("_fns"))
+    if not bodies:
+        return per_file.select("path", "language", F.posexplode("_fns").alias("fn_no", "_f")).select(
+            "path", "language", "fn_no", "_f.*").transform(_typed)
+    # the language comes from the text side: both sides then read the same columns of the
+    # partitioned table, so its exchange is reused
+    j = per_file.join(texts.select("path", "language", "content").hint("merge"), "path")
+    j = j.select("path", "language", "_fns", pieces.alias("_pieces"))
+    j = j.select("path", "language", "_pieces", F.posexplode("_fns").alias("fn_no", "_f"))
+    j = j.select("path", "language", "fn_no", "_f.*", F.slice("_pieces", F.col("_f._from") + 1, F.col("_f._n")).alias("_p"))
+    return j.withColumn("body", body).transform(_typed)
+
+
+def _brace_rows(code: DataFrame, languages: list[str]) -> DataFrame:
+    """One row per brace of each file, without text: length and newlines since the
+    previous brace and, for an opening one, the header that ends there."""
+    pieces = code.select("path", "language", F.posexplode(F.split(F.col("content"), "(?<=\\{)", -1)).alias("k", "piece"))
+    # \u0001 keeps ^ from matching at the start of a later piece
+    pieces = pieces.withColumn("_t", F.concat(F.when(F.col("k") > 0, F.lit("\u0001")).otherwise(F.lit("")), F.col("piece")))
+    pieces = pieces.withColumn("_m", _by_language(languages, lambda lg: F.regexp_extract("_t", BRACE_RULES[lg][0], 0)))
+    found = F.col("_m") != ""
+
+    def group(which):
+        def make(lang):
+            idx = BRACE_RULES[lang][which]
+            return F.regexp_extract("_t", BRACE_RULES[lang][0], idx) if idx else F.lit("fn")
+        return F.when(found, _by_language(languages, make))
+
+    heads = pieces.select("path", "language", "k", "piece", group(1).alias("name"), group(2).alias("_kind"),
+                          group(3).alias("_params"), F.length("_m").alias("_len"),
+                          count_char("_m", "\n").alias("_nl"), count_char("_m", "}").alias("_closes"))
+    heads = heads.withColumn("signature", py_strip(F.concat(py_strip(F.col("_kind")), F.lit(" "), F.col("name"), F.col("_params"))))
+    rows = heads.select("path", "language", "k", "name", "signature", "_len", "_nl", "_closes",
+                        F.posexplode(F.split(F.col("piece"), "(?<=[{}])", -1)).alias("j", "seg"))
+    is_open = F.col("seg").endswith("{")
+    rows = rows.where(is_open | F.col("seg").endswith("}"))
+    return rows.select("path", "language", "k", "j", is_open.alias("is_open"), F.length("seg").alias("n"),
+                       count_char("seg", "\n").alias("nl"),
+                       *[F.when(is_open, F.col(c)).alias(c) for c in ("name", "signature", "_len", "_nl", "_closes")])
+
+
+def _brace_spans(code: DataFrame, languages: list[str]) -> DataFrame:
+    rows = _brace_rows(code, languages)
+    w = Window.partitionBy("path").orderBy("k", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the running values share one window spec: one select, one Window operator
+    rows = rows.select("*", F.sum("n").over(w).alias("e"),
+                       F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).over(w).alias("d"),
+                       F.sum("nl").over(w).alias("cnl"), (F.count(F.lit(1)).over(w) - 1).alias("i"))
+    rows = rows.withColumn("lvl", F.when(F.col("is_open"), F.col("d")).otherwise(F.col("d") + 1))
+    v = Window.partitionBy("path", "lvl").orderBy("i")
+    rows = rows.select("*", F.lead("e").over(v).alias("close_e"), F.lead("cnl").over(v).alias("close_cnl"),
+                       F.lead("is_open").over(v).alias("close_open"), F.lead("i").over(v).alias("close_i"))
+    return (rows.where(F.col("is_open") & F.col("name").isNotNull() & F.col("close_e").isNotNull() & ~F.col("close_open"))
+                .select("path", "language", "name", "signature",
+                        (F.col("e") - F.col("_len")).alias("start_pos"), F.col("close_e").alias("end_pos"),
+                        (F.col("cnl") - F.col("_nl") + 1).alias("start_line"), (F.col("close_cnl") + 1).alias("end_line"),
+                        # the header starts in the piece before its own closing braces, if it holds any
+                        (F.col("i") - F.col("_closes")).cast("int").alias("_from"),
+                        (F.col("close_i") - F.col("i") + F.col("_closes") + 1).cast("int").alias("_n"), F.lit(0).alias("_skip")))
+
+
+def brace_functions(files: DataFrame, languages: list[str], stripped: bool = False, bodies: bool = True) -> DataFrame:
     """F3-F5 (+ our C#/JS): functions of brace languages, bodies cut from the
     comment-stripped text. ``files`` has (path, language, content); with ``stripped``
     the content is already comment-stripped."""
     text = F.col("content") if stripped else strip_comments(F.col("content"))
-    code = (files.where(F.col("language").isin(languages))
-                 .select("path", "language", text.alias("code")))
-    cands = _brace_candidates(_brace_segments(code), languages)
-    j = cands.join(code.select("path", "code").hint("merge"), "path")
-    body = py_strip(F.substring(F.col("code"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
-    fw = Window.partitionBy("path").orderBy("start_pos")
-    return (j.withColumn("body", body)
-             .withColumn("fn_no", F.row_number().over(fw) - 1)
-             .transform(_typed))
-
-
-def _line_table(files: DataFrame) -> DataFrame:
+    code = files.where(F.col("language").isin(languages)).select("path", "language", text.alias("content"))
+    body = py_strip(F.right(F.array_join("_p", ""), (F.col("end_pos") - F.col("start_pos")).cast("int")))
+    return _assemble(_brace_spans(code, languages), code, F.split(F.col("content"), "(?<=[{}])", -1), body, bodies)
+
+
+def _line_table(files: DataFrame, *marks: Column) -> DataFrame:
+    """One row per line without its text: number, offset, length, indent, significance and ``marks``."""
     # the line count is the size of the split array, taken in the row (no window)
-    arr = files.select("path", "language", F.split(F.col("content"), "\n", -1).alias("_a"))
-    lines = arr.select("path", "language", F.size("_a").alias("n_lines"), F.posexplode("_a").alias("ln", "line"))
-    w = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    arr = files.select("path", "language", F.length("content").alias("n_chars"), F.split(F.col("content"), "\n", -1).alias("_a"))
+    lines = arr.select("path", "language", "n_chars", F.size("_a").alias("n_lines"), F.posexplode("_a").alias("ln", "line"))
     stripped = py_strip(F.col("line"))
-    return (lines.withColumn("off", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1)
-                 .withColumn("sig", (stripped != "") & ~stripped.startswith("#"))
-                 .withColumn("indent", F.length("line") - F.length(py_lstrip(F.col("line")))))
+    rows = lines.select("path", "language", "n_chars", "n_lines", "ln", F.length("line").alias("n"),
+                        ((stripped != "") & ~stripped.startswith("#")).alias("sig"),
+                        (F.length("line") - F.length(py_lstrip(F.col("line")))).alias("indent"), *marks)
+    w = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("off", F.sum(F.col("n") + 1).over(w) - F.col("n") - 1)
 
 
-def python_functions(files: DataFrame) -> DataFrame:
+def python_functions(files: DataFrame, bodies: bool = True) -> DataFrame:
     """top-level-in-scan Python defs; a def ends before the first later significant
     line indented at most as far as the def; nested defs are not emitted."""
-    lines = _line_table(files.where(F.col("language") == "python").select("path", "language", "content"))
-    lines = lines.withColumn("_sig_txt", F.regexp_extract("line", PY_DEF, 2))
+    texts = files.where(F.col("language") == "python").select("path", "language", "content")
+    lines = _line_table(texts, F.regexp_extract("line", PY_DEF, 2).alias("_sig_txt"),
+                        F.regexp_extract("line", PY_DEF, 3).alias("name"))
     bounds = lines.where(F.col("_sig_txt") != "").select("path", F.col("indent").alias("bound")).distinct()
     # significant lines paired with the def indents of their file (join on the file only,
     # so the path partitioning carries through); the def rows ride along
-    sig = lines.where("sig").select("path", "language", "ln", "off", "indent", "n_lines", "line", "_sig_txt")
-    cand = sig.join(bounds.hint("merge"), "path").where(F.col("indent") <= F.col("bound"))
+    cand = lines.where("sig").join(bounds.hint("merge"), "path").where(F.col("indent") <= F.col("bound"))
     v = Window.partitionBy("path", "bound").orderBy("ln")
-    d = (cand.withColumn("next_ln", F.lead("ln").over(v))
-             .withColumn("next_off", F.lead("off").over(v))
+    d = (cand.select("*", F.lead("ln").over(v).alias("next_ln"), F.lead("off").over(v).alias("next_off"))
              .where((F.col("_sig_txt") != "") & (F.col("indent") == F.col("bound")))
              .withColumn("end_ln", F.coalesce(F.col("next_ln"), F.col("n_lines"))))
     kw = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_reach", F.max("end_ln").over(kw)).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col("ln")))
-    d = d.select("path", "language", F.regexp_extract("line", PY_DEF, 3).alias("name"),
-                 py_strip(F.col("_sig_txt")).alias("signature"),
-                 F.col("off").alias("start_pos"),
-                 (F.col("next_off") - 1).alias("_stop"),
-                 (F.col("ln") + 1).alias("start_line"), F.col("end_ln").alias("end_line"))
-    j = (d.join(files.select("path", "content").hint("merge"), "path")
-          .withColumn("_stop", F.coalesce("_stop", F.length("content"))))
-    fw = Window.partitionBy("path").orderBy("start_pos")
-    return (j.withColumn("body", F.substring(F.col("content"), F.col("start_pos") + 1, F.col("_stop") - F.col("start_pos")))
-             .withColumn("end_pos", F.least(F.col("_stop"), F.length("content")))
-             .withColumn("fn_no", F.row_number().over(fw) - 1)
-             .transform(_typed))
-
-
-def ruby_functions(files: DataFrame) -> DataFrame:
+    spans = d.select("path", "language", "name", py_strip(F.col("_sig_txt")).alias("signature"),
+                     F.col("off").alias("start_pos"),
+                     F.least(F.coalesce(F.col("next_off") - 1, F.col("n_chars")), F.col("n_chars")).alias("end_pos"),
+                     (F.col("ln") + 1).alias("start_line"), F.col("end_ln").alias("end_line"),
+                     F.col("ln").alias("_from"), (F.col("end_ln") - F.col("ln")).alias("_n"), F.lit(0).alias("_skip"))
+    return _assemble(spans, texts, F.split(F.col("content"), "\n", -1), F.array_join("_p", "\n"), bodies)
+
+
+def ruby_functions(files: DataFrame, bodies: bool = True) -> DataFrame:
     """F10 Ruby (our rule): ``def`` up to the next ``end`` line at the same indent;
     nested methods are emitted too (the syntax tree reports every method node)."""
-    lines = _line_table(files.where(F.col("language") == "ruby").select("path", "language", "content"))
+    texts = files.where(F.col("language") == "ruby").select("path", "language", "content")
     is_def = F.col("line").rlike(RUBY_DEF)
-    is_end = F.col("line").rlike(RUBY_END)
-    marks = lines.where(is_def | is_end).withColumn("is_def", is_def)
+    lines = _line_table(texts, is_def.alias("is_def"), F.col("line").rlike(RUBY_END).alias("is_end"),
+                        F.when(is_def, F.regexp_extract("line", RUBY_DEF, 2)).alias("name"),
+                        F.when(is_def, py_strip(F.col("line"))).alias("signature"))
+    marks = lines.where("is_def OR is_end")
     v = (Window.partitionBy("path", "indent").orderBy(F.col("ln").desc())
          .rowsBetween(Window.unboundedPreceding, -1))
-    marks = (marks.withColumn("end_ln", F.last(F.when(~F.col("is_def"), F.col("ln")), ignorenulls=True).over(v))
-                  .withColumn("end_off", F.last(F.when(~F.col("is_def"), F.col("off") + F.length("line")), ignorenulls=True).over(v)))
-    d = marks.where("is_def AND end_ln IS NOT NULL").select(
-        "path", "language", F.regexp_extract("line", RUBY_DEF, 2).alias("name"),
-        py_strip(F.col("line")).alias("signature"),
+    marks = marks.select("*", F.last(F.when(~F.col("is_def"), F.col("ln")), ignorenulls=True).over(v).alias("end_ln"),
+                         F.last(F.when(~F.col("is_def"), F.col("off") + F.col("n")), ignorenulls=True).over(v).alias("end_off"))
+    spans = marks.where("is_def AND end_ln IS NOT NULL").select(
+        "path", "language", "name", "signature",
         (F.col("off") + F.col("indent")).alias("start_pos"), F.col("end_off").alias("end_pos"),
-        (F.col("ln") + 1).alias("start_line"), (F.col("end_ln") + 1).alias("end_line"))
-    j = d.join(files.select("path", "content").hint("merge"), "path")
-    fw = Window.partitionBy("path").orderBy("start_pos")
-    return (j.withColumn("body", F.substring(F.col("content"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
-             .withColumn("fn_no", F.row_number().over(fw) - 1)
-             .transform(_typed))
+        (F.col("ln") + 1).alias("start_line"), (F.col("end_ln") + 1).alias("end_line"),
+        F.col("ln").alias("_from"), (F.col("end_ln") - F.col("ln") + 1).alias("_n"), F.col("indent").alias("_skip"))
+    body = F.array_join("_p", "\n")
+    return _assemble(spans, texts, F.split(F.col("content"), "\n", -1), F.substring(body, F.col("_skip") + 1, F.length(body)), bodies)
+
 
+BRACE_LANGUAGES = ["c", "cpp", "java", "rust"]
+EXTRA_BRACE_LANGUAGES = ["csharp", "javascript"]
 
-def extract_functions(files: DataFrame, extra: bool = False, repartition: bool = True) -> DataFrame:
+
+def extract_functions(files: DataFrame, extra: bool = False, repartition: bool = True,
+                      languages: list[str] | None = None, bodies: bool = True) -> DataFrame:
     """All functions of a ``([project_id,] path, content)`` corpus (other columns are ignored).
 
     With a ``project_id`` a file is known by project and path, which then is the key of
-    every shuffle, window and join, and the result carries both columns.
+    every shuffle, window and join, and the result carries both columns. ``languages``
+    keeps these languages only and plans nothing for the others. ``bodies=False`` leaves
+    the body column out, and then no text is shuffled.
 
     Brace-language files are comment-stripped before the one shuffle by path, so the
     strip runs once per file and only the stripped text travels."""
-    brace = ["c", "cpp", "java", "rust"] + (["csharp", "javascript"] if extra else [])
+    brace = BRACE_LANGUAGES + (EXTRA_BRACE_LANGUAGES if extra else [])
+    known = brace + ["python"] + (["ruby"] if extra else [])
+    wanted = known if languages is None else [x for x in known if x in languages]
     projects = "project_id" in files.columns
     f = label_files(files.select(*_file_key(files), "content"), extra)
     if projects:
         f = f.select(F.struct("project_id", "path").alias("path"), "language", "content")
-    f = f.withColumn("content", F.when(F.col("language").isin(brace), strip_comments(F.col("content")))
-                                 .otherwise(F.col("content")))
-    if repartition:
-        f = partition_files(f)
-    out = brace_functions(f, brace, stripped=True).unionByName(python_functions(f))
-    if extra:
-        out = out.unionByName(ruby_functions(f))
+
+    def family(langs, strip):
+        g = f.where(F.col("language").isin(langs))
+        g = g.select("path", "language", strip_comments(F.col("content")).alias("content")) if strip else g
+        return partition_files(g) if repartition and bodies else g
+
+    parts = []
+    if not wanted:
+        f, wanted = f.where("false"), brace
+    some = [x for x in brace if x in wanted]
+    if some:
+        parts.append(brace_functions(family(some, True), some, stripped=True, bodies=bodies))
+    if "python" in wanted:
+        parts.append(python_functions(family(["python"], False), bodies))
+    if "ruby" in wanted:
+        parts.append(ruby_functions(family(["ruby"], False), bodies))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     if projects:
         rest = [c for c in out.columns if c != "path"]
         out = out.select(F.col("path.project_id").alias("project_id"), F.col("path.path").alias("path"), *rest)

@@ -336,9 +336,9 @@ def _src_sql(select: str, extra: bool = False) -> str:
     return with_fixtures(f"WITH {sqltext.function_ctes(src, extra)}\n{select}", src)
 
 
-def _functions(spark, sf_dir, extra=False):
+def _functions(spark, sf_dir, extra=False, languages=None, bodies=True):
     src = fixture(spark, sf_dir, "source_files_more" if extra else "source_files")
-    return xops.extract_functions(src, extra=extra)
+    return xops.extract_functions(src, extra=extra, languages=languages, bodies=bodies)
 
 
 _FN_COLS = ["path", "fn_no", "name", "signature", "start_line", "end_line", "body"]
@@ -367,7 +367,7 @@ for _key, _langs, _doc in [("functions_c", ("c", "cpp"), "F3: C/C++ functions (b
                            ("functions_python", ("python",), "F6: Python functions (line plan).")]:
     def _make(langs, doc):
         def q_fn(spark, sf_dir):
-            return _functions(spark, sf_dir).where(F.col("language").isin(*langs)).select(*_FN_COLS)
+            return _functions(spark, sf_dir, languages=list(langs)).select(*_FN_COLS)
         q_fn.__doc__ = doc
         return q_fn
     _in = ", ".join(f"'{x}'" for x in _langs)
@@ -378,7 +378,7 @@ for _key, _lang, _doc in [("functions_cs", "csharp", "F10: C# methods (our heade
                           ("functions_ruby", "ruby", "F10: Ruby methods (our def/end rule).")]:
     def _make2(lang, doc):
         def q_fn(spark, sf_dir):
-            return _functions(spark, sf_dir, extra=True).where(F.col("language") == lang).select(*_FN_COLS)
+            return _functions(spark, sf_dir, extra=True, languages=[lang]).select(*_FN_COLS)
         q_fn.__doc__ = doc
         return q_fn
     register(_key, _src_sql(f"SELECT {_FN_SEL} FROM functions WHERE language = '{_lang}'", extra=True))(_make2(_lang, _doc))
@@ -387,7 +387,7 @@ for _key, _lang, _doc in [("functions_cs", "csharp", "F10: C# methods (our heade
 @register("function_spans", _src_sql("SELECT path, fn_no, language, start_line, end_line, start_pos, end_pos FROM functions"))
 def q_function_spans(spark, sf_dir):
     """F7 + F8: line numbers and offsets of every function (all five languages)."""
-    return _functions(spark, sf_dir).select("path", "fn_no", "language", "start_line", "end_line", "start_pos", "end_pos")
+    return _functions(spark, sf_dir, bodies=False).select("path", "fn_no", "language", "start_line", "end_line", "start_pos", "end_pos")
 
 
 @register("functions_nested", _src_sql("""SELECT path, CAST(count(*) AS BIGINT) AS n_functions,
@@ -406,7 +406,7 @@ LEFT JOIN (SELECT path, count(*) AS n FROM functions GROUP BY path) c USING (pat
 def q_inventory_counts(spark, sf_dir):
     """supported files, files with functions and functions, per language."""
     src = fixture(spark, sf_dir, "source_files")
-    return xops.inventory_counts(src, _functions(spark, sf_dir))
+    return xops.inventory_counts(src, _functions(spark, sf_dir, bodies=False))
 
 
 # ---------------------------------------------------------------------------------
@@ -681,7 +681,7 @@ def q_upsert_latest(spark, sf_dir):
   name || CAST(row_number() OVER (ORDER BY path, fn_no) - 1 AS VARCHAR) AS output_key FROM functions"""))
 def q_function_output_keys(spark, sf_dir):
     """Per-function output names ``<name><running counter>`` in (path, fn_no) order."""
-    return sinks.output_keys(_functions(spark, sf_dir))
+    return sinks.output_keys(_functions(spark, sf_dir, bodies=False))
 
 
 @register("new_commits_only", with_fixtures(f"""

@@ -105,11 +105,13 @@ def function_ctes(src: str, extra: bool = False, p: str = "") -> str:
                  CAST(sum(CASE WHEN right(seg, 1) = '{{' THEN 1 ELSE -1 END) OVER w AS BIGINT) AS d,
                  CAST(sum({nl.format('seg')}) OVER w AS BIGINT) AS cnl
           FROM {p}bs WINDOW w AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}bo AS (SELECT *, coalesce(max(CASE WHEN is_open THEN e END) OVER (PARTITION BY path ORDER BY i
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_e FROM {p}bw),
 {p}bm AS (SELECT *, lead(e) OVER v AS close_e, lead(cnl) OVER v AS close_cnl, lead(is_open) OVER v AS close_open
-          FROM (SELECT *, CASE WHEN is_open THEN d ELSE d + 1 END AS lvl FROM {p}bw)
+          FROM (SELECT *, CASE WHEN is_open THEN d ELSE d + 1 END AS lvl FROM {p}bo)
           WINDOW v AS (PARTITION BY path, lvl ORDER BY i)),
-{p}bt AS (SELECT *, CASE WHEN i > 1 THEN chr(1) ELSE '' END || seg AS t
-          FROM {p}bm WHERE is_open AND close_e IS NOT NULL AND NOT close_open),
+{p}bt AS (SELECT *, CASE WHEN prev_e > 0 THEN chr(1) ELSE '' END || substr(code, prev_e + 1, e - prev_e) AS t
+          FROM (SELECT m.*, b.code FROM {p}bm m JOIN {p}bf b USING (path)) WHERE is_open AND close_e IS NOT NULL AND NOT close_open),
 {p}bx AS (SELECT path, language, e, cnl, close_e, close_cnl, {m} AS m, {name} AS name, {kind} AS kind, {params} AS params
           FROM {p}bt),
 {p}bfn AS (SELECT x.path, x.language, name, {trim(f"{trim('kind')} || ' ' || name || params")} AS signature,

@@ -89,22 +89,22 @@ def test_language_labels(spark):
 
 # --- property checks -------------------------------------------------------------
 
-PY_C_HEADER = X.C_HEADER.replace(S, r"\s")
 PY_DEF = X.PY_DEF.replace(S, r"\s").replace(r"[\p{L}\p{N}_]", r"\w")
 
 
-def brace_scan(code):
+def brace_scan(code, lang="c"):
     """Plain-Python statement of the brace rule: each header match, body to the brace
     that brings the depth back to zero, unbalanced dropped."""
     code = re.sub(r"/\*.*?\*/", "", re.sub(r"//[^\n]*", "", code), flags=re.S)
+    header, name_group = X.BRACE_RULES[lang][0].replace(S, r"\s").replace(S[1:-1], r"\s"), X.BRACE_RULES[lang][1]
     out = []
-    for m in re.finditer(PY_C_HEADER, code):
+    for m in re.finditer(header, code):
         depth, i = 1, m.end()
         while i < len(code) and depth:
             depth += {"{": 1, "}": -1}.get(code[i], 0)
             i += 1
         if depth == 0:
-            out.append((m.group(2), code[:m.start()].count("\n") + 1, code[:i].count("\n") + 1,
+            out.append((m.group(name_group), code[:m.start()].count("\n") + 1, code[:i].count("\n") + 1,
                         code[m.start():i].strip()))
     return out
 
@@ -133,13 +133,43 @@ C_TOKENS = ["int f(void) ", "static ", "char *g(int a) ", "{", "}", "\n", " ", "
 PY_TOKENS = ["def f(a):", "def g() -> int:", "x = 1", "# c", "", "pass"]
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(st.sampled_from(C_TOKENS), max_size=40), min_size=1, max_size=16))
-def test_brace_plan_matches_scan(spark, docs):
-    files = [(f"f{i}.c", "".join(toks)) for i, toks in enumerate(docs)]
+SCAN_TOKENS = {
+    "c": C_TOKENS,
+    "java": ["public int f(int a) ", "static List<String> g() throws A, B ", "{", "}", "\n", " ", "x;", "int h();\n",
+             "class K ", "// c {\n", "/* } */", "else if (a) "],
+    "rust": ["fn f(a: i32) ", "pub fn g<T>(x: T) ", "-> Result<T, E> ", "trait T ", "fn a(&self) -> i32;", "impl T for X ",
+             "{", "}", "\n", " ", "x;", "// {\n", "unsafe "],
+}
+SUFFIX = {"c": ".c", "java": ".java", "rust": ".rs"}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_brace_plan_matches_scan(spark, data):
+    files, want = [], []
+    for lang, toks in SCAN_TOKENS.items():
+        docs = data.draw(st.lists(st.lists(st.sampled_from(toks), max_size=40), min_size=1, max_size=12))
+        for i, d in enumerate(docs):
+            files.append((f"f{i}{SUFFIX[lang]}", "".join(d)))
+            want += [(files[-1][0], *t) for t in brace_scan(files[-1][1], lang)]
     got = sorted((f.path, f.name, f.start_line, f.end_line, f.body) for f in _run(spark, files))
-    want = sorted((p, *t) for p, c in files for t in brace_scan(c))
-    assert got == want
+    assert got == sorted(want)
+
+
+def test_rust_return_type_across_a_closing_brace(spark):
+    code = "trait T { fn a(&self) -> i32; }\nimpl T for X {\n  fn b() {}\n}\n" + "\ntrait U {\n fn c(&self) -> i32; }\nimpl U {\n}\n"
+    got = [(f.name, f.start_line, f.end_line, f.body) for f in _run(spark, [("t.rs", code)])]
+    assert got == brace_scan(code, "rust") and "c" in [g[0] for g in got]
+
+
+def test_spans_without_bodies_and_chosen_languages(spark):
+    files = spark.createDataFrame([("a.c", C_SRC), ("b.py", "def f():\n    pass\n"), ("c.rs", "fn t() {}\n"), ("d.c", None)],
+                                  "path string, content string")
+    full = X.extract_functions(files)
+    assert sorted(X.extract_functions(files, bodies=False).collect()) == sorted(full.drop("body").collect())
+    only = X.extract_functions(files, languages=["rust"])
+    assert only.collect() == full.where("language = 'rust'").collect() and only.count() == 1
+    assert X.extract_functions(files, languages=["cobol"]).count() == 0
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
