@@ -138,12 +138,12 @@ def with_zero_fallback(items: DataFrame, vectors: DataFrame, key: list[str], dim
                  .withColumn("embedding", F.coalesce(F.col("embedding"), z)))
 
 
-def model_encoder(make_encode, dim: int, batch_size: int = 64):
+def model_encoder(make_encode, batch_size: int = 64):
     """E2 with a model: ``make_encode()`` runs once per Python worker and returns
-    ``encode(token_windows: numpy array of str arrays) -> numpy (n, dim)``. Window rows
-    go through ``predict_batch_udf``; pooling stays the DataFrame mean above."""
+    ``encode(texts: numpy array of str) -> numpy (n, dim)``, a text being a window's tokens
+    joined by blanks. Window rows go through ``predict_batch_udf``; the vectors keep the
+    model's own dimension. The result maps windows to windows with ``embedding``."""
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, DoubleType
 
     udf = predict_batch_udf(make_encode, return_type=ArrayType(DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=None)
@@ -151,5 +151,12 @@ def model_encoder(make_encode, dim: int, batch_size: int = 64):
     def encode(windows: DataFrame) -> DataFrame:
         return windows.withColumn("embedding", udf(F.array_join("tokens", " ")))
 
-    _ = dim
     return encode
+
+
+def window_encoder(encode):
+    """An item encoder ``(items, key) -> (key..., embedding)`` made of a window encoder:
+    windows, their vectors, the mean per item (E1-E3)."""
+    def run(items: DataFrame, key: list[str]) -> DataFrame:
+        return mean_pool(encode(token_windows(items, key)), key)
+    return run

@@ -7,7 +7,7 @@ dumps are an input table ``(file_path, dump)``. Everything after the parser is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchtrace.functions.text import S
@@ -64,28 +64,43 @@ def dump_spans(dumps: DataFrame, path: str = "file_path", dump: str = "dump") ->
 def slice_spans(spans: DataFrame, files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
     """text between (start_row, start_col) and (end_row, end_col), 0-based, end
     exclusive, columns counted in characters and clamped to their line (line breaks
-    belong to their line, as with ``readlines``).
-
-    Only the rows named by a span are looked up: the line table is joined to the
-    spans on (file, row), never gathered per file."""
-    lines = files.select(F.col(path), F.posexplode(F.split(F.col(content), "\n", -1)).alias("row", "line"))
-    w = Window.partitionBy(path).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = (lines.withColumn("_len", F.length("line") + 1)
-                  .withColumn("_off", F.sum("_len").over(w) - F.col("_len")))
-    starts = lines.select(path, F.col("row").alias("start_row"), F.col("_off").alias("_s_off"), F.col("_len").alias("_s_len"))
-    ends = lines.select(path, F.col("row").alias("end_row"), F.col("_off").alias("_e_off"), F.col("_len").alias("_e_len"))
-    j = spans.join(starts, [path, "start_row"]).join(ends, [path, "end_row"]).join(files.select(path, content), path)
-    a = F.col("_s_off") + F.least(F.col("start_col"), F.col("_s_len"))
-    b = F.col("_e_off") + F.least(F.col("end_col"), F.col("_e_len"))
-    return j.select(path, "span_no", "start_row", "start_col", "end_row", "end_col",
-                    F.when(b > a, F.substring(F.col(content), a + 1, b - a)).otherwise(F.lit("")).alias("contents"))
+    belong to their line, as with ``readlines``). Spans that name a row the file does not
+    have are left out.
+
+    The spans of a file are gathered in one row and joined once with its text, which is
+    cut into lines once; each span is a slice of them."""
+    fields = ["span_no", "start_row", "start_col", "end_row", "end_col"]
+    per_file = spans.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_spans"))
+    j = per_file.join(files.select(path, content), path)
+    j = j.select(path, "_spans", F.split(F.col(content), "\n", -1).alias("_lines"))
+    j = j.select(path, "_lines", F.size("_lines").alias("_rows"), F.explode("_spans").alias("_s")).select(path, "_lines", "_rows", "_s.*")
+    j = j.where((F.col("start_row") < F.col("_rows")) & (F.col("end_row") < F.col("_rows")))
+    j = j.select(path, *fields, "_rows", F.slice("_lines", F.col("start_row") + 1,
+                                                 F.greatest(F.col("end_row") - F.col("start_row") + 1, F.lit(0))).alias("_p"))
+    first, last = F.length(F.get("_p", F.lit(0))), F.length(F.get("_p", F.size("_p") - 1))
+    text = F.concat(F.array_join("_p", "\n"), F.when(F.col("end_row") < F.col("_rows") - 1, "\n").otherwise(""))
+    a = F.least(F.col("start_col"), first + 1)
+    b = F.length(F.array_join("_p", "\n")) - last + F.least(F.col("end_col"), last + 1)
+    return j.select(path, *fields, F.when((F.size("_p") > 0) & (b > a), F.substring(text, a + 1, b - a)).otherwise(F.lit("")).alias("contents"))
+
+
+def file_records(slices: DataFrame, path: str = "file_path") -> DataFrame:
+    """One record per file, {file_path, functions: [{start, end, contents}]} in span order."""
+    def at(row, col):
+        return F.struct(F.col(row).alias("row"), F.col(col).alias("column"))
+    rec = F.struct("span_no", at("start_row", "start_col").alias("start"), at("end_row", "end_col").alias("end"), "contents")
+    g = slices.groupBy(path).agg(F.array_sort(F.collect_list(rec)).alias("_r"))
+    return g.select(F.col(path).alias("file_path"),
+                    F.transform("_r", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
+                                                         x["contents"].alias("contents"))).alias("functions"))
 
 
 def latest_per_key(records: DataFrame, key: str = "file_path", seq: str = "seq") -> DataFrame:
-    """a later record for a key replaces the earlier one.
+    """a later record for a key replaces the earlier one; of equally late records the
+    greatest (columns compared in order) stays.
 
     ``max_by`` is a partial aggregate: each task reduces its own rows per key before the
     shuffle, so a key holding a large share of the records costs one row per task."""
     cols = [c for c in records.columns if c != key]
-    best = F.max_by(F.struct(*cols), F.col(seq))
+    best = F.max_by(F.struct(*cols), F.struct(F.col(seq), *[c for c in cols if c != seq]))
     return records.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])

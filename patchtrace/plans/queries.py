@@ -506,7 +506,8 @@ _KV_CTES = f""",
 frag AS (SELECT cve_id || '/' || replace(regexp_replace(repo_url, '^https://', ''), '/', '_') || '_' || commit_hash || '/' || fragment_id AS path,
                 cve_id, code AS text FROM vfrag WHERE code <> ''),
 {sqltext.function_ctes('source_files', p='s_')},
-fn AS (SELECT path || '#' || CAST(fn_no AS VARCHAR) AS path, body AS text FROM s_functions),
+fn AS (SELECT project_id || '/' || path || '#' || CAST(fn_no AS VARCHAR) AS path, body AS text
+       FROM s_functions JOIN (SELECT path, project_id FROM source_files) USING (path)),
 {sqltext.embed_ctes('frag', ['path'], 'text', 'c_')},
 {sqltext.embed_ctes('fn', ['path'], 'text', 'p_')},
 {_unit_ctes('c_vec', 'cu')}, {_unit_ctes('p_vec', 'pu')},
@@ -538,21 +539,14 @@ def q_clone_counts_e2e(spark, sf_dir):
     return match.clone_counts(r)
 
 
-@register("clone_report", f"""
-WITH {sqltext.embed_ctes('(SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents)', ['path'], 'text', 'd_')},
-{_unit_ctes('d_vec', 'du')}
-SELECT * FROM (SELECT a.path AS cve_function_path, b.path AS project_function_path,
-                      round(CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END, 4) AS similarity,
-                      CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE list_dot_product(a.v, b.v) / (a.nrm * b.nrm) END AS s
-               FROM du a JOIN du b ON a.path < b.path) WHERE s >= {match.REFERENCE_THRESHOLD}""".replace(
-    "SELECT * FROM (", "SELECT cve_function_path, project_function_path, similarity FROM ("))
+@register("clone_report", with_fixtures(f"""WITH {_FRAG_CTES}{_KV_CTES}
+SELECT cve_function_path, project_function_path, round(similarity, 4) AS similarity FROM kv""",
+                                        "cve_feed", "commit_diffs", "source_files"))
 def q_clone_report(spark, sf_dir):
-    """Near-copy report over all documents at 0.947 (each unordered pair once),
-    written as JSON to the shared folder and read back."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    v = eops.embed_texts(d, ["path"]).checkpoint(eager=True)  # both sides read it once
-    pairs = match.clone_pairs(spark, v, v, match.REFERENCE_THRESHOLD)
-    pairs = pairs.where(F.col("cve_function_path") < F.col("project_function_path"))
+    """The end-to-end pairs (fragments x functions) written as JSON to the shared
+    folder and read back."""
+    pairs = pipeline.known_vulnerabilities(spark, fixture(spark, sf_dir, "cve_feed"), fixture(spark, sf_dir, "commit_diffs"),
+                                           fixture(spark, sf_dir, "source_files")).drop("cve_id")
     out = shared_path(spark, "reports", uuid.uuid4().hex)
     sinks.write_clone_report(match.rounded(pairs), out)
     return sinks.read_clone_report(spark, out)
@@ -665,6 +659,34 @@ SELECT ab.file_path, ab.span_no, CASE WHEN b > a THEN substr(f.content, a + 1, b
 FROM ab JOIN source_files f ON f.path = ab.file_path""", "source_files")
 
 
+@register("cutter_records")
+def q_cutter_records(spark, sf_dir):
+    """The cutter's records, one per file, written as JSON to the shared folder and read back."""
+    src = fixture(spark, sf_dir, "source_files").select(F.col("path").alias("file_path"), "content")
+    records = spops.file_records(spops.slice_spans(spops.dump_spans(_dumps(spark, sf_dir)), src))
+    out = shared_path(spark, "cutter", uuid.uuid4().hex)
+    sinks.write_functions_json(records, out)
+    r = spark.read.schema(records.schema).json(out)
+    return r.select("file_path", F.col("functions.start.row").alias("start_rows"),
+                    F.col("functions.end.column").alias("end_columns"), F.col("functions.contents").alias("contents"))
+
+
+ORACLE["cutter_records"] = ORACLE["span_slices"].replace(
+    "SELECT ab.file_path, ab.span_no, CASE",
+    """SELECT ab.file_path, list(ab.start_row ORDER BY ab.span_no) AS start_rows, list(ab.end_col ORDER BY ab.span_no) AS end_columns,
+       list(CASE""").replace("ELSE '' END AS contents", "ELSE '' END ORDER BY ab.span_no) AS contents").replace(
+    "SELECT n.file_path, n.span_no, s.off", "SELECT n.file_path, n.span_no, n.start_row, n.end_col, s.off") + "\nGROUP BY ab.file_path"
+
+
+@register("function_bodies", _src_sql("""SELECT name || CAST(row_number() OVER (ORDER BY path, fn_no) - 1 AS VARCHAR) AS output_key,
+  body, path, fn_no FROM functions"""))
+def q_function_bodies(spark, sf_dir):
+    """Every function body under its output name, written to the shared folder and read back."""
+    out = shared_path(spark, "bodies", uuid.uuid4().hex)
+    sinks.write_bodies(_functions(spark, sf_dir), out)
+    return spark.read.parquet(out)
+
+
 @register("upsert_latest", """
 SELECT file_path, seq, lang, n_chars FROM (
   SELECT source AS file_path, doc_id AS seq, lang, n_chars,
@@ -712,7 +734,7 @@ def q_stream_clone_scan(spark, sf_dir):
     out = shared_path(spark, "fragments", run)
     ckpt = shared_path(spark, "stream-state", run)
     d = fixture(spark, sf_dir, "commit_diffs")
-    d.repartition(4).write.mode("overwrite").parquet(landing)
+    d.write.mode("overwrite").parquet(landing)
 
     def mine(batch):
         parts = dops.with_old_version(dops.diff_parts(batch))
@@ -720,7 +742,7 @@ def q_stream_clone_scan(spark, sf_dir):
         return kept.select(*_DK, "part_no", dops.fragment_id().alias("fragment_id"), F.col("old_version").alias("code"))
 
     incremental.process_arrivals(spark, landing, "repo_url string, commit_hash string, diff_text string",
-                                 out, ckpt, mine, max_files_per_trigger=1)
+                                 out, ckpt, mine)
     return spark.read.parquet(out).select(*_DK, "part_no", "fragment_id", "code")
 
 

@@ -38,6 +38,42 @@ def test_stream_equals_batch_and_is_exactly_once(spark, tmpdir_path):
     assert got == want
 
 
+def test_end_to_end_with_a_model_and_projects(spark):
+    from patchtrace.operators import embed, match
+    from patchtrace.plans import pipeline
+
+    def model():
+        """A stand-in model: word counts in 768 buckets."""
+        import zlib
+
+        import numpy as np
+
+        def encode(texts):
+            out = np.zeros((len(texts), 768))
+            for i, t in enumerate(texts):
+                for w in t.split(" "):
+                    out[i, zlib.crc32(w.encode()) % 768] += 1
+            return out
+        return encode
+
+    old = "int f(int a)\n{\n  return a + b;\n}"
+    diff = ("diff --git a/m.c b/m.c\n--- a/m.c\n+++ b/m.c\n@@ -1,4 +1,4 @@\n"
+            + "\n".join("-" + x for x in old.split("\n")) + "\n+int f(int a) { return 1; }\n")
+    feed = spark.createDataFrame([(1, "Name: CVE-2014-1234\nReference: https://github.com/o/r/commit/abc1234")], "entry_no long, entry string")
+    diffs_df = spark.createDataFrame([("https://github.com/o/r", "abc1234", diff)], SCHEMA)
+    src = spark.createDataFrame([("p1", "m.c", old + "\n"), ("p2", "m.c", old + "\n"), ("p2", "n.c", "void z(void)\n{\n}\n")],
+                                "project_id string, path string, content string")
+    enc = embed.window_encoder(embed.model_encoder(model, batch_size=4))
+    vec = enc(spark.createDataFrame([("k", "a b c")], "path string, text string"), ["path"]).first().embedding
+    assert len(vec) == 768 and sum(vec) == 5.0
+    pairs = pipeline.known_vulnerabilities(spark, feed, diffs_df, src, threshold=0.9, encoder=enc)
+    got = sorted((r.cve_id, r.project_function_path, round(r.similarity, 6)) for r in pairs.collect())
+    assert [(a, b) for a, b, _ in got] == [("CVE-2014-1234", "p1/m.c#0"), ("CVE-2014-1234", "p2/m.c#0")]
+    owners = src.select("project_id", F.concat("project_id", F.lit("/"), "path", F.lit("#0")).alias("path"))
+    report = {r.project_id: r.n_pairs for r in match.project_reports(pairs, owners).collect()}
+    assert report == {"p1": 1, "p2": 1}
+
+
 def test_new_only(spark):
     c = spark.createDataFrame([("r", "1"), ("r", "2")], "repo_url string, commit_hash string")
     p = spark.createDataFrame([("r", "1")], "repo_url string, commit_hash string")
