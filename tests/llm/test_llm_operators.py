@@ -359,6 +359,25 @@ def test_license_scan_finds_notices_and_only_these(spark, messy, nothing):
     assert {(r["doc_id"], r["license"]) for r in hits if r["exact"]} == want and want
 
 
+@pytest.mark.parametrize("prose", [40, 200, 900, 5000])
+def test_license_scan_whatever_stands_around(prose):
+    own, rng = license_scan.Scanner(), random.Random(3)
+    plain = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(prose))[:prose]
+    for name, (wording, _) in license_scan.TEMPLATES.items():
+        # the sentences of the same line are no part of the notice
+        (m,) = own.scan(f"{plain}. {wording} {plain}.")
+        assert (m.license, m.missing, m.added) == (name, 0, 0), name
+        # without a sentence end the whole line is the block, and the prose is added words
+        (m,) = own.scan(f"{plain} the {wording.rstrip('.')} and {plain}")
+        assert m.license == name and m.missing <= 0.2 * len(own.words[name]) and m.added > 0, name
+        # prose with a cue word takes nothing from the notice behind it
+        found = own.scan(f"{plain} has a license. {wording} {plain}")
+        assert [(x.license, x.missing, x.added) for x in found] == [(name, 0, 0)], name
+    both = own.scan(f"{plain}. All rights reserved. Released under the MIT License. {plain}")
+    assert [(x.license, x.missing, x.added) for x in both] == [("All-Rights-Reserved", 0, 0), ("MIT", 0, 0)]
+    assert own.scan(f"{plain} a license with the {plain} and all {plain} released rights mit {plain} reserved") == []
+
+
 # 8 ---------------------------------------------------------------------------------------
 def brute_components(rows, num=75, den=100):
     sets = []
