@@ -8,8 +8,11 @@ repeats itself shrinks under any dictionary. A logistic regression on the three,
 labelled texts that filled neither dictionary, turns them into a calibrated score.
 
 Training reads a bounded sample of labelled rows: at most about ``per_class`` rows of each
-class, half of them fill the dictionaries, half calibrate. The sample is drawn by a hash of
-the id among all labelled rows, so it covers the table evenly. Every text is scored whole.
+class. The sample is drawn by a hash of the id among all labelled rows, so it covers the
+table evenly. Every second row may fill its dictionary, in hash order until it is full: texts
+of up to ``PIECE`` characters whole, longer ones piece by piece in turns, from a hash-drawn
+piece on. All other rows calibrate; their features come from whole texts and are computed in
+tasks, so three numbers a row reach the driver. Every text is scored whole.
 
 Defined results: a null text counts as empty; an empty text has no difference and
 gets the calibrated score of three zeros; repeated rows are scored alike, one result each; labels that
@@ -28,12 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import pick, strings, text_slices
+from patchtrace.llm.common import pick, strings, text_slices, write_stage
 
 #: Sampled labelled rows of each class (the documented bound of training).
 PER_CLASS = 2400
 #: Bytes of each raw dictionary.
 DICTIONARY_BYTES = 1 << 18
+#: Characters of a text that go into a dictionary before the next text's turn.
+PIECE = 1 << 12
 LEVEL = 6
 
 
@@ -91,13 +96,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
     return w
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Raw dictionary content of one size: as much of every text, up to an even share."""
-    low, high = 0, max(map(len, texts))
-    while low < high:
-        share = (low + high) // 2
-        low, high = (share + 1, high) if sum(min(len(t), share) for t in texts) < size else (low, share)
-    return b"".join(t[:low] for t in texts)[:size]
+def _dictionary(pieces: list[bytes], size: int) -> bytes:
+    """Raw dictionary content of one size: the pieces one after the other until it is full."""
+    return b"".join(pieces)[:size]
+
+
+def _turns(rows: list[tuple[int, int, int]], room: int) -> list[tuple[int, int]]:
+    """(row, piece) in the order of filling, for rows (row, draw, characters) in hash order."""
+    out, taken, turn, left = [], 0, 0, rows
+    while left and taken < room:
+        for row, draw, n in left:
+            count = -(-n // PIECE)
+            piece = (draw + turn) % count
+            out.append((row, piece))
+            taken += min(PIECE, n - piece * PIECE)
+            if taken >= room:
+                break
+        turn += 1
+        left = [r for r in left if turn < -(-r[2] // PIECE)]
+    return out
+
+
+def _features(rows: DataFrame, model: CompressionModel) -> np.ndarray:
+    """The features and the label of each row, in an order of their own."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = held.value.scorer()
+        for part in text_slices(batches):
+            f = np.array([scorer.features(t) for t in strings(part.column("text"))], float)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in f.T), part.column("y")], names=["a", "b", "c", "y"])
+
+    got = (rows.select("text", F.col("y").cast("double").alias("y"))
+           .mapInArrow(run, "a double, b double, c double, y double").toArrow())
+    out = np.column_stack([got[c].to_numpy() for c in ("a", "b", "c", "y")])
+    return out[np.lexsort(out.T)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -106,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of the labelled rows.
 
     ``learn_from`` is a condition on the column ``id`` that says which rows may be learned
-    from. ``per_class`` bounds the sample (in expectation, by a hash threshold); training
-    texts are cut to the dictionary's share, scored texts never.
+    from. ``per_class`` bounds the sample (in expectation, by a hash threshold); its texts
+    are read whole.
     """
     known = pick(labels, id=id_col, y=label_col).where("y in (0, 1) and id is not null")
     if learn_from is not None:
@@ -118,25 +151,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select("id", "y")
     # the sample is small by construction: it is broadcast, the texts are not shuffled
-    rows = (pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id")
-            .where("text is not null and text <> ''")
-            .select("id", "y", F.substring("text", 1, 1 << 15).alias("text"),
-                    F.xxhash64(F.col("id"), F.lit(12)).alias("h"))
-            .toPandas().sort_values(["h", "id", "text"]))
-    part = {y: rows[rows.y == y].text.tolist() for y in (0, 1)}
+    rows = write_stage(pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id")
+                       .where("text is not null and text <> ''")
+                       .select("id", "y", "text", F.monotonically_increasing_id().alias("row")))
+    known_rows = rows.select("row", "y", F.xxhash64("id", F.lit(12)).alias("h"), F.length("text").alias("n"),
+                             F.octet_length("text").alias("bytes"), "id", F.xxhash64("text").alias("t"))
+    listed = sorted(known_rows.collect(), key=lambda r: (r["h"], r["id"], r["t"], r["row"]))
+    part = {y: [r for r in listed if r["y"] == y] for y in (0, 1)}
     total = sum(count.values())
     base = (count.get(1, 0) + 0.5) / (total + 1) if total else 0.5
     flat = (math.log(base / (1 - base)), 0.0, 0.0, 0.0)
     if min(len(part[0]), len(part[1])) < 4:
         return CompressionModel(b"", b"", flat, level)
     # both dictionaries have one size, or the larger one would win on size alone
-    filling = {y: [t.encode("utf-8") + b"\n" for t in part[y][::2]] for y in (0, 1)}
+    room = min(dictionary_bytes, *(sum(r["bytes"] for r in part[y][::2]) for y in (0, 1)))
+    turns = [(row, piece, y) for y in (0, 1)
+             for row, piece in _turns([(r["row"], r["h"] & 0xFFFFF, r["n"]) for r in part[y][::2]], room)]
+    plan = F.broadcast(docs.sparkSession.createDataFrame(
+        [(row, piece * PIECE + 1, at) for at, (row, piece, _) in enumerate(turns)], "row long, start int, at int"))
+    pieces = dict(map(tuple, rows.join(plan, "row").select("at", F.expr(f"substring(text, start, {PIECE})")).collect()))
+    filling = {y: [pieces[at].encode("utf-8") + b"\n" for at, t in enumerate(turns) if t[2] == y] for y in (0, 1)}
     size = min(dictionary_bytes, *(sum(map(len, filling[y])) for y in (0, 1)))
     good, bad = (_dictionary(filling[y], size) for y in (1, 0))
-    scorer = CompressionModel(good, bad, flat, level).scorer()
-    held = [(scorer.features(t), y) for y in (0, 1) for t in part[y][1::2]]
-    f = np.array([v for v, _ in held])
-    y = np.array([v for _, v in held], float)
+    held = _features(rows.join(plan, "row", "left_anti"), CompressionModel(good, bad, flat, level))
+    f, y = held[:, :3], held[:, 3]
     mid, wide = f.mean(0), np.maximum(f.std(0), 1e-9)
     w = _logistic(np.column_stack([np.ones(len(f)), (f - mid) / wide]), y)
     # the sample holds the classes in other shares than the table: put the true odds back

@@ -240,6 +240,30 @@ def test_dictionaries_share_their_room_evenly():
     assert len(out) == 300 and out.count(b"a") == 10 and out.count(b"b") == 100 and out.count(b"c") == 190
 
 
+def test_quality_classifier_learns_from_whole_texts(spark):
+    # what tells the classes apart stands behind an opening longer than an even share of the room
+    rng = random.Random(8)
+
+    def text(y, n):
+        own = [f"{'good' if y else 'evil'}{k * 7919 % 1000}" for k in range(40)]
+        return f"{rng.getrandbits(4 * n):0{n}x} " + " ".join(rng.choice(own) for _ in range(60))
+
+    rows = [(i, text(i % 2, 40_000 if i % 50 in (2, 3) else 600), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    model = quality_classifier.fit(docs.drop("quality"), docs.drop("text"), learn_from=lambda c: c % 10 > 1,
+                                   dictionary_bytes=1 << 15)
+    assert len(model.good) == len(model.bad) == 1 << 15 and b" good" in model.good and b" evil" in model.bad
+    got = quality_classifier.score(docs, model, threshold=0.5).where("doc_id % 10 < 2").collect()
+    assert len(got) == 80 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.95
+
+
+def test_pieces_take_turns_and_cover_whole_texts():
+    size = quality_classifier.PIECE
+    rows = [(7, 5, 10), (8, 4, 2 * size + 1), (9, 0, size)]
+    assert quality_classifier._turns(rows, 10 * size) == [(7, 0), (8, 1), (9, 0), (8, 2), (8, 0)]
+    assert quality_classifier._turns(rows, 11) == [(7, 0), (8, 1)] and quality_classifier._turns([], 5) == []
+
+
 # 5 ---------------------------------------------------------------------------------------
 def test_lookup_table_is_filled_in_turns_and_moves_little():
     names = [f"s{i}" for i in range(7)]
