@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles as 64-bit hashes. Two sets link when
 ``den * |a & b| >= num * |a | b|`` (75 / 100). The join is exact: prefixes of the sets, in
 one global order from rare to frequent shingles, must share an element, and every nominee
-that isn't already connected is decided on the whole sets.
+(for components only those that aren't already connected) is decided on the whole sets.
 
 * Equal sets are one class from the start; copies are never expanded into pairs.
 * The global order needs only to be the same everywhere, not exact: shingles are ordered by
@@ -14,6 +14,9 @@ that isn't already connected is decided on the whole sets.
 * Answers are then derived from the leader's: what is connected through a leader needs no
   comparison among its members, and for two classes compared with one leader the known
   overlaps bound their own, ``|a & b| <= min(oa, ob) + min(na - oa, nb - ob)``.
+* ``ngram_links`` decides every candidate pair instead, connected or not (the leader's bound
+  still spares comparisons): all links between classes, with the classes' sizes; ``link_counts``
+  weighs them by these. Its work and its result grow with the number of links.
 * What is left joins list by list on blocks of set size. An entry at position p of a set of
   n elements reaches only partners of at most (n - p) * den / num elements, so a late
   position skips whole blocks.
@@ -308,10 +311,14 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-               num: int = NUM, den: int = DEN, list_limit: int = LIST_LIMIT,
-               counters: int | None = None) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id (the smallest id it is linked to)."""
+def _linked(num: int, den: int) -> str:
+    return f"o >= {_needed('n', 'n2', num, den)}"
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, list_limit: int,
+              counters: int | None):
+    """What both joins start from: documents, their classes, shared lists, leaders' overlaps (``told``),
+    and the function that decides pairs of classes."""
     src = pick(docs, id=id_col, text=text_col)
     if counters is None:
         counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (max(1, docs.count()) * 4 - 1).bit_length()))
@@ -338,8 +345,33 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 .groupBy("k").agg(F.max(F.struct("c", "lk", "n", "ln")).alias("best"))
                 .select(F.col("k").alias("a"), F.col("best.lk").alias("b"), F.col("best.n").alias("n"),
                         F.col("best.ln").alias("n2")))
-    told = write_stage(_overlaps(src, write_stage(named(nominees)), seed, size))
-    linked = f"o >= {_needed('n', 'n2', num, den)}"
+    decide = lambda pairs: _overlaps(src, write_stage(named(pairs)), seed, size)
+    return meta, classes, shared, write_stage(decide(nominees)), decide
+
+
+def _candidates(entries: DataFrame, num: int, den: int, condition: str = "true") -> DataFrame:
+    """Pairs (a, b) of classes, other than leader and member, that a list and the bounds allow to link;
+    ``entries`` has h, k, n, pos, comp, lead and o, the overlap with the leader."""
+    log = f"int(floor(ln({{}}) / {float(np.log(den / num))!r}))"
+    left = (entries.withColumn("far", F.expr(f"least((n - pos) * {den} div {num}, n * {den} div {num})"))
+            .where("far >= n")
+            .withColumn("blk", F.explode(F.expr(f"sequence({log.format('n')}, {log.format('far')})"))))
+    right = entries.select("h", *[F.col(c).alias(c + "2") for c in ("k", "n", "pos", "comp", "lead", "o")],
+                           F.expr(log.format("n")).alias("blk"))
+    pairs = left.join(right, ["h", "blk"]).where(
+        f"(n < n2 or (n = n2 and k < k2)) and {condition} and n2 <= far "
+        f"and least(n - pos, n2 - pos2) >= {_needed('n', 'n2', num, den)} "
+        f"and (lead <> lead2 or least(o, o2) + least(n - o, n2 - o2) >= {_needed('n', 'n2', num, den)}) "
+        f"and not (lead = k2 or lead2 = k)")
+    return pairs.select(F.col("k").alias("a"), F.col("k2").alias("b"), "n", "n2").distinct()
+
+
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+               num: int = NUM, den: int = DEN, list_limit: int = LIST_LIMIT,
+               counters: int | None = None) -> DataFrame:
+    """One row per document: id_col, n_shingles, component_id (the smallest id it is linked to)."""
+    meta, classes, shared, told, decide = _prepared(docs, id_col, text_col, size, num, den, list_limit, counters)
+    linked = _linked(num, den)
     # rows that repeat an id are one node, whatever their texts
     same_id = (meta.where("n > 0 and id is not null").select("id", "k").distinct()
                .groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b"))
@@ -359,19 +391,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     entries = (entries.join(mixed, "h")
                .select("h", "k", "n", "pos", "comp", "lead", F.coalesce("o", F.col("n").cast("long")).alias("o")))
     entries = write_stage(entries)
-    log = f"int(floor(ln({{}}) / {float(np.log(den / num))!r}))"
-    left = (entries.withColumn("far", F.expr(f"least((n - pos) * {den} div {num}, n * {den} div {num})"))
-            .where("far >= n")
-            .withColumn("blk", F.explode(F.expr(f"sequence({log.format('n')}, {log.format('far')})"))))
-    right = entries.select("h", *[F.col(c).alias(c + "2") for c in ("k", "n", "pos", "comp", "lead", "o")],
-                           F.expr(log.format("n")).alias("blk"))
-    pairs = left.join(right, ["h", "blk"]).where(
-        f"(n < n2 or (n = n2 and k < k2)) and comp <> comp2 and n2 <= far "
-        f"and least(n - pos, n2 - pos2) >= {_needed('n', 'n2', num, den)} "
-        f"and (lead <> lead2 or least(o, o2) + least(n - o, n2 - o2) >= {_needed('n', 'n2', num, den)}) "
-        f"and not (lead = k2 or lead2 = k)")
-    pairs = pairs.select(F.col("k").alias("a"), F.col("k2").alias("b"), "n", "n2").distinct()
-    more = _overlaps(src, write_stage(named(pairs)), seed, size).where(linked).select("a", "b")
+    pairs = _candidates(entries, num, den, "comp <> comp2")
+    more = decide(pairs).where(linked).select("a", "b")
     whole = components(first.union(more))
 
     member = (classes.select("k", "low").join(whole.select(F.col("node").alias("k"), "comp"), "k", "left")
@@ -384,6 +405,46 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                num: int = NUM, den: int = DEN, list_limit: int = LIST_LIMIT,
+                counters: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and who has which set.
+
+    Links: one row per linked pair of classes of equal sets, a, b (the classes' keys), rep, rep2
+    (the smallest ids of the two, smaller first), overlap (common shingles). Members: one row per
+    document with a set and an id, id_col, n_shingles, k (its class's key), rep, class_size
+    (distinct ids of the class). Copies share a class and are never expanded.
+    """
+    meta, classes, shared, told, decide = _prepared(docs, id_col, text_col, size, num, den, list_limit, counters)
+    lead = told.select(F.col("a").alias("k"), F.col("b").alias("lead"), "o")
+    entries = write_stage(shared.select("h", "k", "n", "pos").join(lead, "k", "left").select(
+        "h", "k", "n", "pos", F.col("k").alias("comp"), F.coalesce("lead", "k").alias("lead"),
+        F.coalesce("o", F.col("n").cast("long")).alias("o")))
+    more = decide(_candidates(entries, num, den))
+    found = (told.union(more).where(_linked(num, den))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o").distinct())
+    ids = meta.where("n > 0 and id is not null").select("id", "n", "k")
+    sizes = ids.groupBy("k").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("class_size"))
+    links = write_stage(found.join(sizes.select(F.col("k").alias("a"), F.col("rep").alias("x")), "a")
+                        .join(sizes.select(F.col("k").alias("b"), F.col("rep").alias("y")), "b")
+                        .select("a", "b", F.least("x", "y").alias("rep"), F.greatest("x", "y").alias("rep2"),
+                                F.col("o").alias("overlap")))
+    members = ids.join(sizes, "k").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "rep", "class_size", "k")
+    return links, members
+
+
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document with a set and an id: id_col, n_shingles, n_links (documents linked to its
+    text, copies included, each once a class)."""
+    links, members = ngram_links(docs, id_col=id_col, text_col=text_col, **options)
+    sizes = members.select("k", "class_size").distinct()
+    both = links.select("a", "b").union(links.select("b", "a"))
+    others = (both.join(sizes.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k"))
+              .agg(F.sum("class_size").alias("others")))
+    return members.join(others, "k", "left").select(
+        id_col, "n_shingles", (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
 def keep_smallest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` (all its columns) whose id is the smallest of its group.
 

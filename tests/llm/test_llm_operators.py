@@ -443,6 +443,30 @@ def test_ngram_join_against_all_pairs(spark, options):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("options", [{}, {"list_limit": 2}])
+def test_ngram_links_are_all_links(spark, options):
+    rng = random.Random(12)
+    rows = []
+    for g in range(8):  # clusters whose members are mostly linked with each other, not just with one leader
+        base = words(rng, 60).split()
+        for _ in range(10):
+            own = list(base)
+            own[rng.randrange(len(own))] = f"v{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rng.sample(rows, 15))] + [(500, ""), (501, None)]
+    sets = {i: frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [(t or "").split()]}
+    rep = {s: min(i for i in sets if sets[i] == s) for s in sets.values() if s}
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {(*sorted((rep[a], rep[b])), len(a & b)) for a, b in itertools.combinations(rep, 2) if linked(a, b)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links, members = ngram_join.ngram_links(df, **options)
+    got = [(r["rep"], r["rep2"], r["overlap"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(rep)
+    assert {(r["doc_id"], r["rep"]) for r in members.collect()} == {(i, rep[s]) for i, s in sets.items() if s}
+    counts = {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(df, **options).collect()}
+    assert counts == {i: sum(linked(s, t) for j, t in sets.items() if j != i and t) for i, s in sets.items() if s}
+
+
 def test_ngram_join_awkward(spark, messy, nothing):
     got = collections.Counter(map(tuple, ngram_join.ngram_join(messy).collect()))
     assert got == collections.Counter(brute_components([(i, t) for i, t, *_ in messy_rows()]))
