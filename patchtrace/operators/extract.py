@@ -3,15 +3,14 @@
 Set-based re-expression of the reference's per-file regex + brace loop:
 
 *Brace plan* (C, C++, Java, Rust; also our C# and JavaScript headers). The comment-
-stripped text is cut after each ``{``; the header test runs once per piece, in the row
-that holds the text: a header can only end at a ``{`` and the reference's scan resumes
-right after it. A second cut leaves one small row per brace (length, newlines and, for
-an opening one, the header found), so the windows shuffle and sort no text. Running sums
+stripped text is cut at its header matches, in the row that holds the text; the reference's
+scan, too, resumes right after a match, whatever braces a parameter list holds. A header
+ends at a ``{``; a second cut leaves one small row per brace (length, newlines and, for
+one that ends a header, that header), so the windows shuffle and sort no text. Running sums
 per file give each brace its end offset, depth and newline count. Braces of one depth
 level alternate open/close, so the closing brace of an opening one is simply the next
 brace of its level (``lead`` over ``(file, level)``); no match means unbalanced and the
-candidate is dropped, as in the reference. Headers with a ``{`` inside their parameter
-or template list are missed (documented deviation).
+candidate is dropped, as in the reference.
 
 *Line plan* (Python; also our Ruby rule). One small row per line with its offset and
 indent. The end of a ``def`` is the next significant line whose indent is at most the
@@ -183,30 +182,32 @@ def _assemble(spans: DataFrame, texts: DataFrame, pieces: Column, body: Column,
 
 def _brace_rows(code: DataFrame, languages: list[str]) -> DataFrame:
     """One row per brace of each file, without text: length and newlines since the
-    previous brace and, for an opening one, the header that ends there."""
-    pieces = code.select("path", "language", F.posexplode(F.split(F.col("content"), "(?<=\\{)", -1)).alias("k", "piece"))
-    # \u0001 keeps ^ from matching at the start of a later piece
-    pieces = pieces.withColumn("_t", F.concat(F.when(F.col("k") > 0, F.lit("\u0001")).otherwise(F.lit("")), F.col("piece")))
-    pieces = pieces.withColumn("_m", _by_language(languages, lambda lg: F.regexp_extract("_t", BRACE_RULES[lg][0], 0)))
-    found = F.col("_m") != ""
+    previous brace and, for one that ends a header, that header."""
+    headers = _by_language(languages, lambda lg: F.regexp_extract_all("content", F.lit(BRACE_RULES[lg][0]), 0))
+    between = _by_language(languages, lambda lg: F.split("content", BRACE_RULES[lg][0], -1))
+    # the text is its first piece, first header, second piece, ... and last piece
+    pieces = code.select("path", "language", headers.alias("_h"), F.posexplode(between).alias("k", "_before"))
+    pieces = pieces.select("path", "language", "k", "_before", F.get("_h", F.col("k")).alias("_m"))
 
     def group(which):
         def make(lang):
             idx = BRACE_RULES[lang][which]
-            return F.regexp_extract("_t", BRACE_RULES[lang][0], idx) if idx else F.lit("fn")
-        return F.when(found, _by_language(languages, make))
+            return F.regexp_extract("_m", BRACE_RULES[lang][0], idx) if idx else F.lit("fn")
+        return F.when(F.col("_m").isNotNull(), _by_language(languages, make))
 
-    heads = pieces.select("path", "language", "k", "piece", group(1).alias("name"), group(2).alias("_kind"),
-                          group(3).alias("_params"), F.length("_m").alias("_len"),
-                          count_char("_m", "\n").alias("_nl"), count_char("_m", "}").alias("_closes"))
+    heads = pieces.select("path", "language", "k", F.concat("_before", F.coalesce("_m", F.lit(""))).alias("piece"),
+                          group(1).alias("name"), group(2).alias("_kind"), group(3).alias("_params"),
+                          F.length("_m").alias("_len"), count_char("_m", "\n").alias("_nl"),
+                          (count_char("_m", "{") + count_char("_m", "}") - 1).alias("_inner"))
     heads = heads.withColumn("signature", py_strip(F.concat(py_strip(F.col("_kind")), F.lit(" "), F.col("name"), F.col("_params"))))
-    rows = heads.select("path", "language", "k", "name", "signature", "_len", "_nl", "_closes",
-                        F.posexplode(F.split(F.col("piece"), "(?<=[{}])", -1)).alias("j", "seg"))
+    segs = heads.select("path", "language", "k", "name", "signature", "_len", "_nl", "_inner",
+                        F.split(F.col("piece"), "(?<=[{}])", -1).alias("_s"))
+    rows = segs.select("*", (F.size("_s") - 2).alias("_last"), F.posexplode("_s").alias("j", "seg"))
     is_open = F.col("seg").endswith("{")
     rows = rows.where(is_open | F.col("seg").endswith("}"))
     return rows.select("path", "language", "k", "j", is_open.alias("is_open"), F.length("seg").alias("n"),
                        count_char("seg", "\n").alias("nl"),
-                       *[F.when(is_open, F.col(c)).alias(c) for c in ("name", "signature", "_len", "_nl", "_closes")])
+                       *[F.when(F.col("j") == F.col("_last"), F.col(c)).alias(c) for c in ("name", "signature", "_len", "_nl", "_inner")])
 
 
 def _brace_spans(code: DataFrame, languages: list[str]) -> DataFrame:
@@ -224,9 +225,9 @@ def _brace_spans(code: DataFrame, languages: list[str]) -> DataFrame:
                 .select("path", "language", "name", "signature",
                         (F.col("e") - F.col("_len")).alias("start_pos"), F.col("close_e").alias("end_pos"),
                         (F.col("cnl") - F.col("_nl") + 1).alias("start_line"), (F.col("close_cnl") + 1).alias("end_line"),
-                        # the header starts in the piece before its own closing braces, if it holds any
-                        (F.col("i") - F.col("_closes")).cast("int").alias("_from"),
-                        (F.col("close_i") - F.col("i") + F.col("_closes") + 1).cast("int").alias("_n"), F.lit(0).alias("_skip")))
+                        # the header starts in the piece before its own inner braces, if it holds any
+                        (F.col("i") - F.col("_inner")).cast("int").alias("_from"),
+                        (F.col("close_i") - F.col("i") + F.col("_inner") + 1).cast("int").alias("_n"), F.lit(0).alias("_skip")))
 
 
 def brace_functions(files: DataFrame, languages: list[str], stripped: bool = False, bodies: bool = True) -> DataFrame:

@@ -162,6 +162,39 @@ def test_rust_return_type_across_a_closing_brace(spark):
     assert got == brace_scan(code, "rust") and "c" in [g[0] for g in got]
 
 
+BRACED_TOKENS = {
+    "c": [*C_TOKENS, "\nvoid f(std::vector<int> v = {}) ", "\nint g(A a = {1, {2}},\n B b) ", "\nint h(A a = { ", ") "],
+    "java": [*SCAN_TOKENS["java"], "\npublic void f(@A({1, 2}) int a) ", "\nint g(@B({ "],
+    "rust": [*SCAN_TOKENS["rust"], "\nfn f(Point { x, y }: Point) ", "\npub fn g<const N: usize = { 3 }>(a: A) -> B ", "\nfn h(} "],
+}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_brace_plan_matches_scan_with_braces_in_headers(spark, data):
+    files, want = [], []
+    for lang, toks in BRACED_TOKENS.items():
+        docs = data.draw(st.lists(st.lists(st.sampled_from(toks), max_size=40), min_size=1, max_size=12))
+        for i, d in enumerate(docs):
+            files.append((f"f{i}{SUFFIX[lang]}", "".join(d)))
+            want += [(files[-1][0], *t) for t in brace_scan(files[-1][1], lang)]
+    got = sorted((f.path, f.name, f.start_line, f.end_line, f.body) for f in _run(spark, files))
+    assert got == sorted(want)
+
+
+def test_headers_that_hold_braces(spark):
+    files = [("a.cpp", "int x;\nvoid f(std::vector<int> v = {}) {\n  g();\n}\nint h() { }\n"),
+             ("b.rs", "fn f(Point { x, y }: Point) {\n  x\n}\n"),
+             ("c.js", "x();\nfunction f({a, b}, {c} = {}) {\n  return a;\n}\nfunction g() {}\n")]
+    got = [(f.path, f.name, f.signature, f.start_line, f.end_line, f.body) for f in _run(spark, files, extra=True)]
+    assert got == [
+        ("a.cpp", "f", "void f(std::vector<int> v = {})", 1, 4, "void f(std::vector<int> v = {}) {\n  g();\n}"),
+        ("a.cpp", "h", "int h()", 4, 5, "int h() { }"),
+        ("b.rs", "f", "fn f(Point { x, y }: Point)", 1, 3, "fn f(Point { x, y }: Point) {\n  x\n}"),
+        ("c.js", "f", "function f({a, b}, {c} = {})", 1, 4, "function f({a, b}, {c} = {}) {\n  return a;\n}"),
+        ("c.js", "g", "function g()", 4, 5, "function g() {}")]
+
+
 def test_spans_without_bodies_and_chosen_languages(spark):
     files = spark.createDataFrame([("a.c", C_SRC), ("b.py", "def f():\n    pass\n"), ("c.rs", "fn t() {}\n"), ("d.c", None)],
                                   "path string, content string")
