@@ -185,9 +185,11 @@ def _brace_rows(code: DataFrame, languages: list[str]) -> DataFrame:
     previous brace and, for one that ends a header, that header."""
     headers = _by_language(languages, lambda lg: F.regexp_extract_all("content", F.lit(BRACE_RULES[lg][0]), 0))
     between = _by_language(languages, lambda lg: F.split("content", BRACE_RULES[lg][0], -1))
-    # the text is its first piece, first header, second piece, ... and last piece
-    pieces = code.select("path", "language", headers.alias("_h"), F.posexplode(between).alias("k", "_before"))
-    pieces = pieces.select("path", "language", "k", "_before", F.get("_h", F.col("k")).alias("_m"))
+    # the text is its first piece, first header, second piece, ... and last piece; both arrays are
+    # made once, as one generated array (the outer form: no second evaluation for a size filter)
+    pieces = code.select("path", "language", F.posexplode_outer(F.arrays_zip(between, headers)).alias("k", "_z"))
+    pieces = pieces.select("path", "language", "k", F.col("_z").getField("0").alias("_before"),
+                           F.col("_z").getField("1").alias("_m")).where("_before is not null")
 
     def group(which):
         def make(lang):
@@ -202,7 +204,8 @@ def _brace_rows(code: DataFrame, languages: list[str]) -> DataFrame:
     heads = heads.withColumn("signature", py_strip(F.concat(py_strip(F.col("_kind")), F.lit(" "), F.col("name"), F.col("_params"))))
     segs = heads.select("path", "language", "k", "name", "signature", "_len", "_nl", "_inner",
                         F.split(F.col("piece"), "(?<=[{}])", -1).alias("_s"))
-    rows = segs.select("*", (F.size("_s") - 2).alias("_last"), F.posexplode("_s").alias("j", "seg"))
+    rows = segs.select("path", "language", "k", "name", "signature", "_len", "_nl", "_inner",
+                       (F.size("_s") - 2).alias("_last"), F.posexplode_outer("_s").alias("j", "seg"))
     is_open = F.col("seg").endswith("{")
     rows = rows.where(is_open | F.col("seg").endswith("}"))
     return rows.select("path", "language", "k", "j", is_open.alias("is_open"), F.length("seg").alias("n"),

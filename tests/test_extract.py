@@ -232,3 +232,12 @@ def test_projects_that_share_a_path_stay_apart(spark):
         counts = {r.language: (r.n_files, r.n_files_with_functions, r.n_functions)
                   for r in X.inventory_counts(files, out).collect()}
         assert counts == {"c": (2, 2, 2), "python": (2, 2, 4)}
+
+
+def test_headers_are_cut_once(spark):
+    files = spark.createDataFrame([("a.c", C_SRC)], "path string, content string")
+    rows = X._brace_rows(X.label_files(files), X.BRACE_LANGUAGES)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # one match list and one cut a language, not one for each generated row
+    assert plan.count("regexp_extract_all(") == len(X.BRACE_LANGUAGES)
+    assert "size(" not in plan.split("Generate", 1)[1]
