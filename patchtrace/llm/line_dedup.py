@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from patchtrace.llm.common import pick, text_slices, write_stage
 
@@ -74,9 +75,10 @@ def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 @dataclass
 class Run:
-    """The rows of one hash met so far: the hash, its last id and how many ids it had."""
+    """Rows of one hash: the hash, the first and the last id, and how many ids there are."""
 
     hash: tuple[int, int]
+    first: object
     last: object
     n_ids: int
 
@@ -88,8 +90,8 @@ class RunReader:
         self.run = before
 
     def __call__(self, batch: pa.RecordBatch):
-        """(run number of each row, ordinal of its id in the run, ids of each run so far); run 0 goes on
-        with ``self.run`` and may be empty."""
+        """(run number of each row, ordinal of its id in the run, ids of each run so far). Run 0 is the
+        one that the rows before ended with; it may have no row here."""
         h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
         ids = batch.column("id")
         new_run = np.ones(len(h1), bool)
@@ -101,82 +103,66 @@ class RunReader:
             new_run[0] = False
             new_id[0] = ids[0].as_py() != self.run.last
             seen = self.run.n_ids
-        run = np.cumsum(new_run)
-        step = np.cumsum(new_id)
+        run, step = np.cumsum(new_run), np.cumsum(new_id)
         starts = np.flatnonzero(new_run)
-        base = np.zeros(int(run[-1]) + 1, np.int64)
-        base[0] = -seen
+        ends = np.flatnonzero(np.append(new_run[1:], True))
+        base = np.full(int(run[-1]) + 1, -seen, np.int64)
         base[run[starts]] = step[starts] - 1
         ordinal = step - 1 - base[run]
-        total = np.zeros(int(run[-1]) + 1, np.int64)
-        np.maximum.at(total, run, ordinal + 1)
-        total[0] = max(total[0], seen)
-        self.run = Run((int(h1[-1]), int(h2[-1])), ids[-1].as_py(), int(total[-1]))
+        total = np.full(int(run[-1]) + 1, seen, np.int64)
+        total[run[ends]] = ordinal[ends] + 1
+        if run[-1] > 0 or self.run is None:
+            self.run = Run((int(h1[-1]), int(h2[-1])), ids[int(starts[-1])].as_py(), None, 0)
+        self.run = Run(self.run.hash, self.run.first, ids[-1].as_py(), int(total[-1]))
         return run, ordinal, total
 
 
-def _edges(batches):
-    """One row for a partition: its first run and its last run (hash, first id, last id, ids)."""
-    reader, first, last, size = RunReader(), None, None, 0
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        before = reader.run
-        run, _, total = reader(b)
-        size += b.num_rows
-        if before is None:
-            first = [*_hash_at(b, 0), b.column("id")[0], None, 0, False]
-        if first[5] is False and (before is None or run[0] == 0):
-            at = np.flatnonzero(run == run[0])[-1]
-            first[3], first[4] = b.column("id")[int(at)], int(total[run[0]])
-        if run[-1] != run[0] or run[0] != 0 and before is not None:
-            if first is not None:
-                first[5] = True
-        start = int(np.flatnonzero(run == run[-1])[0])
-        if last is None or run[-1] != 0:
-            last = [*_hash_at(b, start), b.column("id")[start]]
-        tail = [*last, b.column("id")[b.num_rows - 1], int(total[-1])]
-        part = b.column("part")[0].as_py()
-    if size:
-        one = not first[5]
-        kind = first[2].type
-        values = [part, one, *first[:5], *tail]
-        names = ["part", "one", "a1", "a2", "a_first", "a_last", "a_ids", "z1", "z2", "z_first", "z_last", "z_ids"]
-        out = []
-        for name, v in zip(names, values, strict=True):
-            out.append(pa.array([v.as_py()], kind) if isinstance(v, pa.Scalar) else pa.array([v]))
-        yield pa.RecordBatch.from_arrays(out, names=names)
-
-
-def _hash_at(b: pa.RecordBatch, i: int) -> tuple[int, int]:
-    return b.column("h1")[i].as_py(), b.column("h2")[i].as_py()
+def _edges(kind: pa.DataType):
+    """One row for a partition: its first run and its last run (``one``: they are the same)."""
+    def run(batches):
+        reader, first, part = RunReader(), None, None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            run_no, _, total = reader(b)
+            part = b.column("part")[0].as_py()
+            if first is None or first[1]:  # the first run goes on, or begins here
+                k = run_no[0]
+                start, stop = np.searchsorted(run_no, [k, k + 1])
+                if first is None or k == 0:
+                    begin = b.column("id")[int(start)].as_py() if first is None else first[0].first
+                    h = b.column("h1")[int(start)].as_py(), b.column("h2")[int(start)].as_py()
+                    first = Run(h, begin, b.column("id")[int(stop) - 1].as_py(), int(total[k])), run_no[-1] == k
+                else:
+                    first = first[0], False
+        if first is not None:
+            a, z = first[0], reader.run
+            ids = [pa.array([x], kind) for x in (a.first, a.last, z.first, z.last)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([bool(first[1])]),
+                 *[pa.array([x], pa.int64()) for x in (*a.hash, a.n_ids, *z.hash, z.n_ids)], *ids],
+                names=["part", "one", "a1", "a2", "a_ids", "z1", "z2", "z_ids", "a_first", "a_last", "z_first", "z_last"])
+    return run
 
 
 def stitch(edges: list) -> dict[int, tuple[Run | None, tuple | None]]:
-    """For each partition: the run that reaches into it, and the ids of the run that reaches out of it.
-
-    ``edges`` are the rows of ``_edges`` in partition order.
-    """
-    before, out = None, {}
+    """For each partition: the run that reaches into it, and (hash, ids of the whole run) of the run
+    that reaches out of it. ``edges`` are the rows of ``_edges`` in partition order."""
+    into, carried, until_end = {}, {}, {}
+    before = None
     for e in edges:
         held = before if before is not None and before.hash == (e.a1, e.a2) else None
-        n = e.z_ids
-        if e.one and held is not None:
-            n += held.n_ids - (held.last == e.a_first)
-        out[e.part] = [held, None]
-        before = Run((e.z1, e.z2), e.z_last, n)
-    # from the right: how many ids the run at a partition's end has when it is over
-    total, following = 0, None
+        into[e.part] = held
+        carried[e.part] = held.n_ids - (held.last == e.a_first) if held is not None else 0
+        until_end[e.part] = e.z_ids + (carried[e.part] if e.one else 0)
+        before = Run((e.z1, e.z2), None, e.z_last, until_end[e.part])
+    out, after = {}, None
     for e in reversed(edges):
-        held = out[e.part][0]
-        if following is not None and following == (e.z1, e.z2):
-            out[e.part][1] = (following, total)
-        else:
-            total = e.z_ids if not (e.one and held) else e.z_ids + held.n_ids - (held.last == e.a_first)
-        if not e.one:
-            total = e.a_ids + (held.n_ids - (held.last == e.a_first) if held else 0)
-        following = (e.a1, e.a2)
-    return {k: (a, b) for k, (a, b) in out.items()}
+        goes_on = after is not None and after[0] == (e.z1, e.z2)
+        whole = after[1] if goes_on else until_end[e.part]
+        out[e.part] = into[e.part], after if goes_on else None
+        after = (e.a1, e.a2), whole if e.one else e.a_ids + carried[e.part]
+    return out
 
 
 def _stream_drops(joints, min_docs: int):
@@ -234,13 +220,13 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     lines = long_lines(src, min_chars)
     order = [F.col("h1"), F.col("h2"), F.col("id").desc_nulls_last(), F.col("r1"), F.col("r2"), F.col("pos")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = write_stage(lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = write_stage(lines.repartitionByRange(*order).sortWithinPartitions(*order)
                          .withColumn("part", F.spark_partition_id()))
     kind = src.schema["id"].dataType.simpleString()
-    edge = (f"part int, one boolean, a1 long, a2 long, a_first {kind}, a_last {kind}, a_ids long, "
-            f"z1 long, z2 long, z_first {kind}, z_last {kind}, z_ids long")
-    edges = ranged.mapInArrow(_edges, edge).collect()  # one row a partition
+    edge = (f"part int, one boolean, a1 long, a2 long, a_ids long, z1 long, z2 long, z_ids long, "
+            f"a_first {kind}, a_last {kind}, z_first {kind}, z_last {kind}")
+    arrow = to_arrow_type(src.schema["id"].dataType)
+    edges = ranged.mapInArrow(_edges(arrow), edge).collect()  # one row a partition
     joints = spark.sparkContext.broadcast(stitch(sorted(edges, key=lambda e: e.part)))
     drops = ranged.mapInArrow(_stream_drops(joints, min_docs), f"id {kind}, r1 long, r2 long, pos int")
 
