@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.functions.text import NS, S, WS, empty_to_null
+from patchtrace.functions.text import WS, empty_to_null
 
 # Fixed values of the reference (patterns and default year range), written in the
 # common Java/RE2 dialect: Python's Unicode \d is \p{Nd}, its \s is the class S.
@@ -19,8 +19,6 @@ COMMIT_KEY_PATTERN = r"^https://github\.com/([^/]+/[^/]+)/commit/([0-9a-f]+)"
 FIRST_YEAR = "2014"
 LAST_YEAR = "2014"
 
-_ = (S, NS)
-
 
 def first_cve_id(feed: DataFrame, entry: str = "entry") -> DataFrame:
     """The first CVE id of each entry; entries without one are dropped."""

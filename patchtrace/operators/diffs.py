@@ -111,3 +111,9 @@ def removed_lines(part: str = "diff_part") -> Column:
     return F.transform(F.filter(_hunk_lines(F.col(part)), lambda x: x.startswith("-")),
                        lambda x: F.substring(x, F.lit(2), F.length(x)))
 
+
+def context_lines(part: str = "diff_part") -> Column:
+    """The lines of a hunk that stay, its header's context first."""
+    seg = F.col(part)
+    return F.concat(F.array(_header_context(seg)),
+                    F.filter(_hunk_lines(seg), lambda x: ~(x.startswith("+") | x.startswith("-"))))

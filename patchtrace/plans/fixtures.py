@@ -111,3 +111,25 @@ SOURCE_FILES_MORE_SELECT = [
   END AS content""",
 ]
 _FIXTURES["source_files_more"] = (SOURCE_FILES_MORE_SELECT, None)
+
+# F-ren (ours): rename_diffs(repo_url, commit_hash, diff_text), one change a document that
+# renames identifiers or looks as if it did; the names come from the text.
+_N = "'v' || substr(md5(text), 1, 6)"
+_M = "'w' || substr(md5(text), 7, 6)"
+_HUNK = "'diff --git a/src/r.c b/src/r.c' || chr(10) || '@@ -1,4 +1,4 @@ int run(int a)' || chr(10) || ' {' || chr(10)"
+_USES = "chr(10) || '-  use(' || {0} || ', 1);' || chr(10) || '+  int ' || {1} || ' = get(a);' || chr(10) || '+  use(' || {1} || ', 1);'"
+RENAME_DIFFS_SELECT = [
+    "'https://github.com/' || source || '/ren' AS repo_url",
+    "substr(md5(CAST(doc_id AS string)), 1, 12) AS commit_hash",
+    f"""{_HUNK} || CASE doc_id % 9
+    WHEN 0 THEN '-  int ' || {_N} || ' = get(a);' || {_USES.format(_N, _M)}
+    WHEN 1 THEN '-  int ' || {_N} || ' = get(a);' || {_USES.format(_N, _M)} || chr(10) || '   done(' || {_N} || ');'
+    WHEN 2 THEN '-  int p, q = ' || {_N} || ';' || chr(10) || '+  int p, p = ' || {_M} || ';'
+    WHEN 3 THEN '-  int b = ' || {_N} || '(a);' || chr(10) || '+  int b = ' || {_M} || '(a);'
+    WHEN 4 THEN '-  x.' || {_N} || ' = 1;' || chr(10) || '+  x.' || {_M} || ' = 1;'
+    WHEN 5 THEN '-  char *s = "int ' || {_N} || '";' || chr(10) || '+  char *s = "int ' || {_M} || '";'
+    WHEN 6 THEN '-  if (a > ' || {_N} || ') stop();' || chr(10) || '+  if (a > ' || {_M} || ') stop();'
+    WHEN 7 THEN '-  int ' || {_N} || ' = a + 1;' || chr(10) || '+  int ' || {_M} || ' = a - 1;'
+    ELSE '-  let ' || {_N} || ' = 1; let other = ' || {_N} || ';' || chr(10) || '+  let ' || {_M} || ' = 1;' || chr(10) || '+  let another = ' || {_M} || ';' END || chr(10) || ' }}' AS diff_text""",
+]
+_FIXTURES["rename_diffs"] = (RENAME_DIFFS_SELECT, None)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchtrace.operators import match
@@ -119,7 +119,7 @@ def q_project_reports(spark, sf_dir):
 import uuid  # noqa: E402
 
 from patchtrace.operators import cve  # noqa: E402
-from patchtrace.plans.fixtures import fixture, with_fixtures  # noqa: E402
+from patchtrace.plans.fixtures import CVE_FEED_SELECT, fixture, with_fixtures  # noqa: E402
 from patchtrace.session import shared_path  # noqa: E402
 from patchtrace.sources import feed as feedsrc  # noqa: E402
 
@@ -164,6 +164,29 @@ def q_cve_feed_entries(spark, sf_dir):
     return feedsrc.split_feed(feeds)
 
 
+_FEED_TEXT = r"regexp_replace(text, '[^\x01-\x{FF}]|={39}', '?'{g})"
+
+
+@register("cve_feed_file", with_fixtures(f"""
+SELECT f.entry_no, length(e) AS n_chars, md5(e) AS entry_md5, true AS dense
+FROM (SELECT f.entry_no, f.entry || chr(10) || {_FEED_TEXT.replace("{g}", ", 'g'")} || chr(10) AS e
+      FROM cve_feed f JOIN documents d ON d.doc_id = f.entry_no) f""", "cve_feed"))
+def q_cve_feed_file(spark, sf_dir):
+    """S1 from files: long entries written as Latin-1 feed files, read back split inside each
+    file; ``dense`` says that the numbers in an entry's file run from 0 without a gap."""
+    out = shared_path(spark, "feed", uuid.uuid4().hex)
+    entry = F.expr(CVE_FEED_SELECT[1].removesuffix(" AS entry"))
+    text = F.expr(_FEED_TEXT.replace("{g}", "").replace("\\", "\\\\"))
+    docs = table(spark, sf_dir, "documents")
+    feedsrc.write_cve_feed(docs.select(F.concat(entry, F.lit("\n"), text, F.lit("\n")).alias("entry")), out)
+    back = feedsrc.read_cve_feed(spark, out)
+    of_file = Window.partitionBy("feed_id")  # numbers and hashes only, no text
+    rows = back.select("feed_id", "entry_no", (F.regexp_extract("entry", "CVE-[0-9]+-([0-9]+)", 1).cast("long") - 1000).alias("id"),
+                       F.length("entry").alias("n_chars"), F.md5(F.col("entry")).alias("entry_md5"))
+    return rows.select(F.col("id").alias("entry_no"), F.col("n_chars").cast("long").alias("n_chars"), "entry_md5",
+                       (F.max("entry_no").over(of_file) + 1 == F.count("*").over(of_file)).alias("dense"))
+
+
 @register("cve_first_id", _cve_sql("SELECT entry_no, cve_id FROM firsts"))
 def q_cve_first_id(spark, sf_dir):
     """First CVE id per entry."""
@@ -303,11 +326,15 @@ def q_verdict_prompts(spark, sf_dir):
 _RULE_F, _RULE_E = sqltext.rule_scorer_cols()
 
 
-@register("functional_rule_scorer", _diff_sql(f"""SELECT repo_url, commit_hash, part_no,
-  {_RULE_F} AS is_functional, {_RULE_E} AS explanation FROM parts"""))
+@register("functional_rule_scorer", with_fixtures(f"""WITH every_diff AS (
+  SELECT * FROM commit_diffs UNION ALL SELECT * FROM rename_diffs),
+{sqltext.diff_ctes('every_diff', _DK)}
+SELECT repo_url, commit_hash, part_no, {_RULE_F} AS is_functional, {_RULE_E} AS explanation FROM parts""",
+                                                  "commit_diffs", "rename_diffs"))
 def q_functional_rule_scorer(spark, sf_dir):
-    """The default (rule) scorer's verdict per part."""
-    return verdict.rule_scorer(_parts(spark, sf_dir)).select(*_DK, "part_no", "is_functional", "explanation")
+    """The default (rule) scorer's verdict per part, planted renames among them."""
+    every = fixture(spark, sf_dir, "commit_diffs").unionByName(fixture(spark, sf_dir, "rename_diffs"))
+    return verdict.rule_scorer(dops.diff_parts(every)).select(*_DK, "part_no", "is_functional", "explanation")
 
 
 _ANSWER = sqltext.trim("string_split(text, '[/INST]')[-1]")
@@ -413,6 +440,7 @@ def q_inventory_counts(spark, sf_dir):
 # Embedding with the built-in hashed encoder.
 # ---------------------------------------------------------------------------------
 from patchtrace.operators import embed as eops  # noqa: E402
+from patchtrace.operators import subword  # noqa: E402
 
 
 def _round_vec(c="embedding", digits=6):
@@ -449,6 +477,15 @@ def q_mean_pool(spark, sf_dir):
     return v.select("doc_id", _round_vec())
 
 
+@register("subword_windows")
+def q_subword_windows(spark, sf_dir):
+    """E1 in a public tokenizer's ids: windows of every document, as digests of their ids."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents")
+    w = subword.subword_windows(docs, ["doc_id"], subword.file_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    return w.select("doc_id", "win_no", "start", "end", subword.ids_digest().alias("ids_md5"))
+
+
 @register("corpus_embeddings", with_fixtures(f"""
 WITH {sqltext.embed_ctes('source_files', ['path'], 'content', 'f_')}
 SELECT path, {sqltext.round_list('embedding')} AS embedding FROM f_vec""", "source_files"))
@@ -557,7 +594,7 @@ def q_clone_report(spark, sf_dir):
 # ---------------------------------------------------------------------------------
 from patchtrace.operators import spans as spops  # noqa: E402
 from patchtrace.sources import files as filesrc  # noqa: E402
-from patchtrace.streaming import incremental  # noqa: E402
+from patchtrace.streaming import incremental, match_index  # noqa: E402
 
 
 @register("source_tree_filter", with_fixtures(f"""
@@ -746,6 +783,28 @@ def q_stream_clone_scan(spark, sf_dir):
     return spark.read.parquet(out).select(*_DK, "part_no", "fragment_id", "code")
 
 
+@register("stream_known_vulnerabilities", ORACLE["known_vulnerabilities"])
+def q_stream_known_vulnerabilities(spark, sf_dir):
+    """M6 + I2: diffs and source files arrive as two streams, in two turns each; every batch is matched
+    with all that came before by the persisted index. The pairs are those of the batch match."""
+    run = uuid.uuid4().hex
+    index = match_index.MatchIndex(spark, shared_path(spark, "match-index", run))
+    keys = cve.commit_keys(cve.cve_links(_links(spark, sf_dir))).checkpoint()
+    later = F.pmod(F.xxhash64("path"), F.lit(2))  # which turn a row arrives in; both turns are read
+    arrivals = {
+        "cve": (fixture(spark, sf_dir, "commit_diffs").withColumn("path", F.col("commit_hash")),
+                lambda d: eops.embed_texts(pipeline.fragment_items(pipeline.mined_fragments(keys, d)), ["path"])),
+        "project": (fixture(spark, sf_dir, "source_files"),
+                    lambda d: eops.embed_texts(pipeline.function_items(xops.extract_functions(d)), ["path"]))}
+    for turn in (0, 1):
+        for side, (rows, to_vectors) in arrivals.items():
+            landing, state = shared_path(spark, "arrivals", run, side), shared_path(spark, "stream-state", run, side)
+            rows.where(later == turn).write.mode("append").parquet(landing)
+            match_index.match_arrivals(spark, landing, rows.schema.simpleString()[7:-1].replace(":", " "), state, index, side, to_vectors)
+    pairs = match.rounded(index.pairs())
+    return pairs.select(F.substring_index("cve_function_path", "/", 1).alias("cve_id"), "*")
+
+
 from patchtrace.sources import vectors as vecsrc  # noqa: E402
 
 

@@ -49,7 +49,41 @@ def diff_ctes(src: str, keys: list[str], prefix: str = "") -> str:
       WHERE file IS NOT NULL AND file <> '' AND (ctx <> '' OR len(hl) > 0))"""
 
 
-def rule_scorer_cols(hl: str = "hl", file: str = "file") -> tuple[str, str]:
+def rename_test(hl: str = "hl", ctx: str = "ctx") -> str:
+    """SQL: whether a part's lines ``hl`` (with header context ``ctx``) only rename identifiers."""
+    from patchtrace.operators import verdict as v
+
+    def lines(sign: str) -> str:
+        own = f"list_transform(list_filter({hl}, lambda x: starts_with(x, '{sign}')), lambda x: substr(x, 2))"
+        kept = f"list_filter({own}, lambda x: NOT regexp_matches({trim('x')}, {q(v.COMMENT_LINE)}))"
+        return f"regexp_extract_all(array_to_string({kept}, chr(10)), {q(v.CODE_TOKEN)})"
+
+    words = ", ".join(q(w) for w in v.USE_WORDS + v.TYPE_WORDS)
+    uses = ", ".join(q(w) for w in v.USE_WORDS)
+
+    def is_name(t: str) -> str:
+        return (f"regexp_matches({t}[i], {q(v.NAME)}) AND {t}[i] NOT IN ({words}) AND coalesce({t}[i + 1], '') <> '(' "
+                f"AND (i = 1 OR {t}[i - 1] NOT IN ('.', '>'))")
+
+    def each(t: str, value: str) -> str:
+        return f"list_transform(range(1, len({t}) + 1), lambda i: {value})"
+
+    declared = f"{is_name('o')} AND i > 1 AND regexp_matches(o[i - 1], {q(v.NAME)}) AND o[i - 1] NOT IN ({uses})"
+    return f"""(SELECT coalesce(bool_or(len(o) = len(n) AND len(o) > 0 AND om = nm AND len(ch) > 0
+        AND len(p) = len(list_distinct(list_transform(p, lambda x: x.a))) AND len(p) = len(list_distinct(list_transform(p, lambda x: x.b)))
+        AND list_has_all(dc, list_transform(ch, lambda x: x.a))
+        AND NOT list_has_any(o, list_transform(ch, lambda x: x.b)) AND NOT list_has_any(n, list_transform(ch, lambda x: x.a))
+        AND NOT list_has_any(ar, list_transform(ch, lambda x: x.a)) AND NOT list_has_any(ar, list_transform(ch, lambda x: x.b))), false)
+      FROM (SELECT *, list_filter(p, lambda x: x.a <> x.b) AS ch FROM (
+        SELECT *, CASE WHEN len(o) = len(n) AND om = nm THEN list_distinct({each('o', f"CASE WHEN {is_name('o')} THEN {{'a': o[i], 'b': n[i]}} END")}) ELSE [] END AS p
+        FROM (SELECT o, n, ar, {each('o', f"CASE WHEN {is_name('o')} THEN ' ' ELSE o[i] END")} AS om,
+                     {each('n', f"CASE WHEN {is_name('n')} THEN ' ' ELSE n[i] END")} AS nm,
+                     list_distinct({each('o', f"CASE WHEN {declared} THEN o[i] END")}) AS dc
+              FROM (SELECT {lines('-')} AS o, {lines('+')} AS n,
+                           regexp_extract_all(array_to_string(list_prepend({ctx}, list_filter({hl}, lambda x: NOT (starts_with(x, '+') OR starts_with(x, '-')))), chr(10)), {q(v.CODE_TOKEN)}) AS ar)))))"""
+
+
+def rule_scorer_cols(hl: str = "hl", file: str = "file", ctx: str = "ctx") -> tuple[str, str]:
     """SQL (is_functional, explanation) of the rule scorer over hunk lines ``hl``."""
     from patchtrace.operators import verdict as v
 
@@ -62,8 +96,10 @@ def rule_scorer_cols(hl: str = "hl", file: str = "file") -> tuple[str, str]:
 
     doc = f"regexp_matches({file}, {q(v.DOC_PATH)})"
     same = f"({norm('-')} = {norm('+')})"
-    is_f = f"NOT ({doc} OR {same})"
-    expl = f"CASE WHEN {doc} THEN {q(v.EXPLAIN_DOC)} WHEN {same} THEN {q(v.EXPLAIN_SAME)} ELSE {q(v.EXPLAIN_CODE)} END"
+    renamed = rename_test(hl, ctx)
+    is_f = f"NOT ({doc} OR {same} OR {renamed})"
+    expl = (f"CASE WHEN {doc} THEN {q(v.EXPLAIN_DOC)} WHEN {same} THEN {q(v.EXPLAIN_SAME)} "
+            f"WHEN {renamed} THEN {q(v.EXPLAIN_RENAMED)} ELSE {q(v.EXPLAIN_CODE)} END")
     return is_f, expl
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchtrace.functions.text import py_split_ws
@@ -21,28 +21,49 @@ def split_feed(feeds: DataFrame, text: str = "text", feed: str = "feed_id") -> D
 
 
 def read_cve_feed(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """S1 from files: each file is decoded (Latin-1 by default) and split into entries.
+    """S1 from files: (feed_id, entry_no, entry), cut into splits inside each file.
 
-    A whole file is one row here, which is right for the usual few feed files. For a
-    single very large UTF-8 feed use ``read_cve_feed_split``, which lets the text source
-    cut the file into splits at the separator.
+    The text source cuts files at the separator, wherever a split begins, and hands the bytes of
+    an entry through unchanged, so each entry is decoded by itself (Latin-1 by default; it must be an
+    encoding in which the separator is 39 ASCII bytes). ``entry_no`` is dense in file order: entries are
+    numbered within their split, and the number of entries before a split comes from a count per split.
+
+    A run of more than 39 ``=`` is cut from its left end. Where a split could begin inside such a run
+    the text source might cut it elsewhere, so files that hold one are read whole instead.
+    What follows the last separator is an entry if it holds anything; an empty file has no entry. A
+    UTF-8 byte order mark at the start of a file is left out.
     """
-    files = (spark.read.format("binaryFile").load(path)
+    # an entry that is empty or begins with the separator's character stands behind a longer run
+    at = F.col("_metadata.file_path").alias("feed_id"), F.col("_metadata.file_block_start").alias("_split")
+    raw = (spark.read.option("lineSep", ENTRY_SEPARATOR).text(path)
+           .select(*at, F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("_raw")))
+    entry = F.decode("_raw", encoding)
+    odd = F.col("_raw").startswith(F.lit(b"=")) | (F.length("_raw") == 0)
+    per_split = raw.groupBy("feed_id", "_split").agg(F.count(F.lit(1)).alias("_n"), F.max(odd).alias("_odd"))
+    before = Window.partitionBy("feed_id").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a split: a file's splits are few
+    offsets = per_split.select("feed_id", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                               F.max("_odd").over(Window.partitionBy("feed_id")).alias("_odd"))
+    inside = Window.partitionBy("feed_id", "_split").orderBy("_at")
+    cut = (raw.withColumn("_in", F.row_number().over(inside) - 1).join(offsets.where("not _odd"), ["feed_id", "_split"])
+           .select("feed_id", (F.col("_before") + F.col("_in")).alias("entry_no"), entry.alias("entry")))
+    whole_files = [r["feed_id"] for r in offsets.where("_odd").select("feed_id").distinct().collect()]
+    if not whole_files:
+        return cut
+    whole = (spark.read.format("binaryFile").load(whole_files)
              .select(F.col("path").alias("feed_id"), F.decode(F.col("content"), encoding).alias("text")))
-    return split_feed(files)
+    rest = split_feed(whole).select("feed_id", F.col("entry_no").cast("long").alias("entry_no"), "entry",
+                                    F.max("entry_no").over(Window.partitionBy("feed_id")).alias("_last"))
+    ended = (F.col("entry_no") == F.col("_last")) & (F.col("entry") == "")
+    return cut.unionByName(rest.where(~ended).drop("_last"))
 
 
-def read_cve_feed_split(spark: SparkSession, path: str) -> DataFrame:
-    """S1 for large UTF-8/ASCII feeds: the text source splits at the separator.
+def write_cve_feed(entries: DataFrame, path: str, entry: str = "entry", encoding: str = "ISO-8859-1") -> None:
+    """Feed files in ``encoding``, a separator behind each entry (the inverse of ``read_cve_feed``).
 
-    The text source always decodes UTF-8 (it ignores an encoding option), so this path
-    is only for feeds in that encoding. ``entry_no`` is unique and increasing in file
-    order, not dense.
-    """
-    return (spark.read.option("lineSep", ENTRY_SEPARATOR).text(path)
-            .select(F.input_file_name().alias("feed_id"),
-                    F.monotonically_increasing_id().alias("entry_no"),
-                    F.col("value").alias("entry")))
+    Characters outside the encoding have no form in such a file: the job fails on them."""
+    (entries.select(F.encode(F.col(entry), encoding).cast("string").alias("value"))
+     .write.mode("overwrite").option("lineSep", ENTRY_SEPARATOR).text(path))
 
 
 def write_link_file(links: DataFrame, path: str) -> None:
