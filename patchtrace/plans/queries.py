@@ -250,6 +250,7 @@ def q_links_roundtrip(spark, sf_dir):
 # ---------------------------------------------------------------------------------
 # Diff mining over the derived diffs F-diff (one diff per short document).
 # ---------------------------------------------------------------------------------
+from patchtrace.operators import blocks  # noqa: E402
 from patchtrace.operators import diffs as dops  # noqa: E402
 from patchtrace.operators import verdict  # noqa: E402
 from patchtrace.plans import sqltext  # noqa: E402
@@ -278,6 +279,13 @@ def q_diff_files(spark, sf_dir):
     return _parts(spark, sf_dir).groupBy(*_DK, "file").agg(F.count(F.lit(1)).alias("n_parts"))
 
 
+@register("diff_parts_blocks", _diff_sql("SELECT repo_url, commit_hash, part_no, file, diff_part FROM parts"))
+def q_diff_parts_blocks(spark, sf_dir):
+    """D1-D6 over texts of any size: the diffs cut into small blocks, parts by a prefix scan over them."""
+    cut = blocks.text_blocks(fixture(spark, sf_dir, "commit_diffs"), _DK, "diff_text", block_chars=4096)
+    return blocks.diff_parts_of_blocks(cut, _DK)
+
+
 @register("diff_part_text", _diff_sql("SELECT repo_url, commit_hash, part_no, diff_part FROM parts"))
 def q_diff_part_text(spark, sf_dir):
     """The text of each diff part."""
@@ -594,7 +602,8 @@ def q_clone_report(spark, sf_dir):
 # ---------------------------------------------------------------------------------
 from patchtrace.operators import spans as spops  # noqa: E402
 from patchtrace.sources import files as filesrc  # noqa: E402
-from patchtrace.streaming import incremental, match_index  # noqa: E402
+from patchtrace.sources import trees  # noqa: E402
+from patchtrace.streaming import incremental, match_index, record_table  # noqa: E402
 
 
 @register("source_tree_filter", with_fixtures(f"""
@@ -736,6 +745,68 @@ def q_upsert_latest(spark, sf_dir):
     return spops.latest_per_key(d, "file_path", "seq")
 
 
+_RECORDS = "file_path string, seq long, lang string, n_chars long"
+
+
+@register("upsert_stream", ORACLE["upsert_latest"])
+def q_upsert_stream(spark, sf_dir):
+    """F13 + I2: the records of ``upsert_latest`` arrive in three turns, out of order and a third of them
+    twice; each batch rewrites the buckets that it touches."""
+    run = uuid.uuid4().hex
+    landing, state = shared_path(spark, "records", run), shared_path(spark, "stream-state", run, "records")
+    held = record_table.RecordTable(spark, shared_path(spark, "record-table", run), _RECORDS, n_buckets=16)
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("seq"), "lang", "n_chars")
+    turn = F.pmod(F.xxhash64("seq"), F.lit(3))
+    for k in (0, 1, 2):
+        arrived = d.where(turn == k) if k < 2 else d.where(turn == 2).unionByName(d.where(turn == 0))
+        arrived.write.mode("append").parquet(landing)
+        record_table.upsert_arrivals(spark, landing, _RECORDS, state, held)
+    return held.read()
+
+
+_PLACED = "'/src/' || project_id || '/' || CASE WHEN path LIKE '%1%' THEN 'vendor/lib/' WHEN path LIKE '%2%' THEN 'vendorx/' ELSE '' END || path"
+
+
+@register("projects_scan", with_fixtures(f"""WITH placed AS (SELECT {_PLACED} AS path, length(content) AS n_chars FROM source_files),
+roots AS (SELECT DISTINCT '/src/' || project_id AS root, project_id FROM source_files WHERE project_id <> 'proj3'
+          UNION ALL SELECT DISTINCT '/src/' || project_id || '/vendor', 'vendor-of-' || project_id FROM source_files)
+SELECT path, project_id, n_chars FROM (
+  SELECT path, n_chars, r.project_id, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS rn
+  FROM placed JOIN roots r ON starts_with(path, root || '/')) WHERE rn = 1""", "source_files"))
+def q_projects_scan(spark, sf_dir):
+    """M5 + S2: files below the roots of many projects, some inside others, each with its project."""
+    src = fixture(spark, sf_dir, "source_files")
+    placed = src.select(F.expr(_PLACED).alias("path"), F.length("content").cast("long").alias("n_chars"))
+    own = src.select("project_id").distinct()
+    roots = (own.where("project_id <> 'proj3'").select(F.concat(F.lit("/src/"), "project_id").alias("root"), "project_id")
+             .unionByName(own.select(F.concat(F.lit("/src/"), "project_id", F.lit("/vendor")).alias("root"),
+                                     F.concat(F.lit("vendor-of-"), "project_id").alias("project_id"))))
+    return trees.assign_projects(placed, roots).select("path", "project_id", "n_chars")
+
+
+_NEXT_PATH = "CASE WHEN path LIKE '%7.%' THEN 'moved/' || path ELSE path END"
+_NEXT_TEXT = "CASE WHEN path LIKE '%3.%' THEN content || 'x' ELSE content END"
+
+
+@register("tree_delta", with_fixtures(f"""WITH o AS (
+  SELECT project_id, path, sha256(content) AS old_digest FROM source_files WHERE path NOT LIKE '%5.%'),
+n AS (SELECT project_id, {_NEXT_PATH} AS path, sha256({_NEXT_TEXT}) AS digest FROM source_files WHERE path NOT LIKE '%6.%'),
+j AS (SELECT project_id, path, digest, old_digest, CASE WHEN old_digest IS NULL THEN 'added' WHEN digest IS NULL THEN 'removed'
+             WHEN digest <> old_digest THEN 'changed' ELSE 'same' END AS status FROM o FULL OUTER JOIN n USING (project_id, path)),
+g AS (SELECT old_digest AS d, min((project_id, path)) AS f FROM j WHERE status = 'removed'
+        AND old_digest IN (SELECT digest FROM j WHERE status = 'added') GROUP BY old_digest)
+SELECT j.project_id, j.path, CASE WHEN status = 'added' AND f IS NOT NULL THEN 'moved' ELSE status END AS status, digest, old_digest,
+       CASE WHEN status = 'added' THEN f[1] END AS from_project_id, CASE WHEN status = 'added' THEN f[2] END AS from_path
+FROM j LEFT JOIN g ON d = coalesce(digest, old_digest)
+WHERE NOT (status = 'removed' AND f IS NOT NULL AND f = (j.project_id, j.path))""", "source_files"))
+def q_tree_delta(spark, sf_dir):
+    """F1/S2 + I1: two states of the source files compared: added, changed, removed, moved and same ones."""
+    src, key = fixture(spark, sf_dir, "source_files"), ["project_id", "path"]
+    later = src.where("path NOT LIKE '%6.%'").select(
+        "project_id", F.expr(_NEXT_PATH).alias("path"), F.expr(_NEXT_TEXT).alias("content"))
+    return trees.tree_delta(trees.snapshot(src.where("path NOT LIKE '%5.%'"), key), trees.snapshot(later, key), key)
+
+
 @register("function_output_keys", _src_sql("""SELECT path, fn_no, name, row_number() OVER (ORDER BY path, fn_no) - 1 AS counter,
   name || CAST(row_number() OVER (ORDER BY path, fn_no) - 1 AS VARCHAR) AS output_key FROM functions"""))
 def q_function_output_keys(spark, sf_dir):
