@@ -155,6 +155,12 @@ def fold(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A row's 128-bit name, made of its id and text: the same whenever and in whatever order it is read."""
+    own = F.coalesce(id_.cast("string"), F.lit("")), id_.isNull(), F.coalesce(text, F.lit("")), text.isNull()
+    return F.concat(F.hex(F.xxhash64(*own)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *own)))
+
+
 def drop_listed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``rows`` without those whose ``key`` is listed in ``gone`` (few, as a rule).
 

@@ -14,9 +14,13 @@ first row, chunk against chunk, in a join on (fingerprint, length, chunk number)
 large side Spark may split, so a group with a third of all rows is spread out. Rows that
 turn out different form a group of their own in the next round (as a rule there is none).
 
+Rows are known by a 128-bit hash of id and text, never by a number given while reading: the input
+may come in another order each time it is read (after a shuffle it does). Rows that repeat id
+and text share a key; which of them stays is settled among themselves.
+
 Defined results: null text counts as empty; empty texts are equal to each other; of equal
-texts the one with the most code points stays, then the smallest id (null ids come last),
-then, for repeated rows, an arbitrary one; every input row gets one result row.
+texts the one with the most code points stays, then the smallest id (of any type that can be
+ordered; null ids come last), then, for repeated rows, an arbitrary one; every input row gets one result row.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import FILTER_BITS, drop_listed, pick, row_filter, spans_of, strings, text_slices, write_stage
+from patchtrace.llm.common import (FILTER_BITS, drop_listed, pick, row_filter, row_key, spans_of, strings, text_slices,
+                                   write_stage)
 
 #: The white space that normalisation deletes (fixed by the contract).
 BLANKS = b" \t\n\v\f\r"
@@ -148,17 +153,19 @@ def _suspect_chunks(src: DataFrame, groups: DataFrame, chunk: int, moduli) -> Da
             number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             body = [normal[r][k * chunk:(k + 1) * chunk] for r, k in zip(row, number, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_no").take(pa.array(row)), pa.array(fp[row]), pa.array(size[row]),
+                [b.column("row_key").take(pa.array(row)), pa.array(fp[row]), pa.array(size[row]),
                  pa.array(number, pa.int64()), pa.array(body, pa.binary())],
-                names=["row_no", "fp", "n_bytes", "chunk_no", "body"])
+                names=["row_key", "fp", "n_bytes", "chunk_no", "body"])
 
-    return src.mapInArrow(run, "row_no long, fp long, n_bytes long, chunk_no long, body binary")
+    return src.mapInArrow(run, "row_key string, fp long, n_bytes long, chunk_no long, body binary")
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 chunk: int = CHUNK, moduli=MODULI) -> DataFrame:
-    """id_col, keep_id, group_size, kept, text_sha256 and the input's row number ``row_no``."""
-    src = pick(docs, id=id_col, text=text_col).withColumn("row_no", F.monotonically_increasing_id())
+    """id_col, keep_id, group_size, kept, text_sha256, ``row_key`` (the row's hash of id and text) and
+    ``row_no``, which tells the rows of this result apart (it names no row of a second reading)."""
+    src = pick(docs, id=id_col, text=text_col)
+    src = src.withColumn("row_key", row_key(F.col("id"), F.col("text")))
     kind = src.schema["id"].dataType.simpleString()
 
     def fingerprints(batches):
@@ -167,50 +174,62 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             texts = strings(b.column("text"))
             normal = [normalise(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_no"), b.column("id"), pa.array(own.texts(normal)),
+                [b.column("row_key"), b.column("id"), pa.array(own.texts(normal)),
                  pa.array([len(x) for x in normal], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array([hashlib.sha256(x).hexdigest() for x in normal], pa.string())],
-                names=["row_no", "id", "fp", "n_bytes", "n_chars", "sha"])
+                names=["row_key", "id", "fp", "n_bytes", "n_chars", "sha"])
 
-    rows = write_stage(src.mapInArrow(fingerprints, f"row_no long, id {kind}, fp long, n_bytes long, "
-                                                    "n_chars long, sha string"))
+    # numbered and written once; the number only settles which of equal rows stays
+    rows = write_stage(src.mapInArrow(fingerprints, f"row_key string, id {kind}, fp long, n_bytes long, "
+                                                    "n_chars long, sha string")
+                       .withColumn("row_no", F.monotonically_increasing_id()))
     key = ["fp", "n_bytes"]
-    first = (rows.where("n_bytes > 0").groupBy(key).agg(F.min("row_no").alias("first"), F.count("*").alias("n"))
+    first = (rows.where("n_bytes > 0").groupBy(key).agg(F.min("row_key").alias("first"), F.count("*").alias("n"))
              .where("n > 1").select(*key, "first"))
     first = write_stage(first)
     pieces = write_stage(_suspect_chunks(src, first, chunk, moduli))
     other = None
     round_no = 0
     while True:
-        ref = (pieces.join(first.select(F.col("first").alias("row_no")), "row_no")
-               .select(*key, "chunk_no", F.col("body").alias("ref")))
+        # rows that repeat id and text have the same chunks: one of each is enough to compare with
+        ref = (pieces.join(first.select(F.col("first").alias("row_key")), "row_key")
+               .select(*key, "chunk_no", F.col("body").alias("ref")).dropDuplicates([*key, "chunk_no"]))
         seen = (pieces.join(ref, [*key, "chunk_no"])
-                .groupBy("row_no", *key).agg(F.bool_and(F.col("body") == F.col("ref")).alias("same")))
-        differ = write_stage(seen.where("not same").select("row_no", *key))
+                .groupBy("row_key", *key).agg(F.bool_and(F.col("body") == F.col("ref")).alias("same")))
+        differ = write_stage(seen.where("not same").select("row_key", *key))
         if differ.isEmpty():
             break
         round_no += 1
         now = differ.withColumn("cls", F.lit(round_no))
-        other = now if other is None else other.join(differ, "row_no", "left_anti").unionByName(now)
-        first = write_stage(differ.groupBy(key).agg(F.min("row_no").alias("first")))
-        pieces = write_stage(pieces.join(differ.select("row_no"), "row_no", "left_semi"))
+        other = now if other is None else other.join(differ, "row_key", "left_anti").unionByName(now)
+        first = write_stage(differ.groupBy(key).agg(F.min("row_key").alias("first")))
+        pieces = write_stage(pieces.join(differ.select("row_key"), "row_key", "left_semi"))
     if other is None:
         rows = rows.withColumn("cls", F.lit(0))
     else:
-        rows = (rows.join(other.select("row_no", "cls"), "row_no", "left")
+        rows = (rows.join(other.select("row_key", "cls"), "row_key", "left")
                 .withColumn("cls", F.coalesce("cls", F.lit(0))))
-    best = F.max(F.struct("n_chars", (-F.col("id")).alias("low"), (-F.col("row_no")).alias("r"), "id"))
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("id").isNull().alias("no_id"), "id", "row_no"))
     classes = (rows.groupBy(*key, "cls").agg(best.alias("best"), F.count("*").alias("group_size"))
                .select(*key, "cls", "group_size", F.col("best.id").alias("keep_id"),
-                       (-F.col("best.r")).alias("keep_row")))
+                       F.col("best.row_no").alias("keep_row")))
     return (rows.join(classes, [*key, "cls"])
-            .select("row_no", F.col("id").alias(id_col), "keep_id", "group_size",
+            .select("row_no", "row_key", F.col("id").alias(id_col), "keep_id", "group_size",
                     (F.col("row_no") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all its columns) that ``exact_dedup`` keeps."""
-    plain = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))]).withColumn(
-        "row_no", F.monotonically_increasing_id())
-    gone = write_stage(exact_dedup(docs, id_col=id_col, text_col=text_col).where("not kept").select("row_no"))
-    return drop_listed(plain, gone, "row_no").drop("row_no").toDF(*docs.columns)
+    """The rows of ``docs`` (all its columns) that ``exact_dedup`` keeps.
+
+    Of rows that repeat id and text one stays, whatever their other columns hold."""
+    names = docs.columns
+    plain = docs.toDF(*[f"_in{i}" for i in range(len(names))])
+    plain = plain.withColumn("row_key", row_key(F.col(f"_in{names.index(id_col)}"), F.col(f"_in{names.index(text_col)}")))
+    found = (exact_dedup(docs, id_col=id_col, text_col=text_col).groupBy("row_key")
+             .agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    found = write_stage(found.select("row_key", "kept"))
+    alone = drop_listed(plain, found.select("row_key"), "row_key")
+    # repeated rows that stay: a partial aggregate keeps one of them in each task
+    again = plain.join(found.where("kept").select("row_key"), "row_key", "left_semi")
+    one = again.groupBy("row_key").agg(F.first(F.struct(*[f"_in{i}" for i in range(len(names))])).alias("r")).select("r.*")
+    return alone.drop("row_key").unionByName(one).toDF(*names)

@@ -34,9 +34,10 @@ from patchtrace.llm.labelled_pages import PAGES
 
 # HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button head".split())
+RAW = frozenset("script style noscript template textarea title iframe select button head".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong "
-                   "sub sup time tt u var wbr img".split())
+                   "sub sup time tt u var wbr img object svg g text tspan math mrow mi mn mo ms mtext mspace mfrac msqrt "
+                   "mroot msub msup msubsup munder mover munderover mfenced menclose mstyle semantics annotation".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                    "h5 h6 header hr main menu nav ol p pre section table ul".split())
 _TOKEN = re.compile(r"<!--(?P<note>.*?)(?:-->|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"

@@ -35,12 +35,10 @@ from patchtrace.llm.common import (WORD_TABLE_LIMIT, KeyTable, WordHasher, pick,
 
 #: Documents of each language in the training sample (the documented bound).
 PER_LANGUAGE = 1000
-#: Longest piece in code points, the word mark included.
-MAX_PIECE = 9
 #: Probability of a code point outside the vocabulary.
 UNKNOWN = 1e-7
-#: Code points of a word that the sample's word counts keep; longer ones don't train.
-MAX_TRAINING_WORD = 64
+#: Code points of a training word: longer runs (scripts without blanks) are cut into parts of this length.
+TRAINING_PART = 64
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,14 +55,14 @@ class UnigramModel:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def read_pieces(model_file: str, longest: int = MAX_PIECE) -> list[str]:
-    """The ordinary pieces of a SentencePiece model, lower-case ones up to a length."""
+def read_pieces(model_file: str) -> list[str]:
+    """The ordinary lower-case pieces of a SentencePiece model, of every length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size())
              if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-    return sorted({x for x in plain if len(x) <= longest and x == x.lower()})
+    return sorted({x for x in plain if x == x.lower()})
 
 
 class Lattice:
@@ -195,8 +193,8 @@ def fit(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: s
         "lang string, number int, share double")
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(21)), F.lit(1 << 30)) / float(1 << 30)
     words = (known.join(F.broadcast(share), "lang").where(draw < F.col("share"))
-             .select("number", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-             .where(f"word <> '' and length(word) <= {MAX_TRAINING_WORD}")
+             .select("number", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"\\S{{1,{TRAINING_PART}}}"), F.lit(0)))
+                     .alias("word"))
              .groupBy("number", "word").agg(F.count("*").alias("n")))
     words = write_stage(words)
     pieces = read_pieces(model_file)
@@ -219,9 +217,7 @@ def fit(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: s
                .groupBy("piece", "lang").agg(F.sum("c").alias("c")).toPandas())
         c = np.zeros_like(p)
         c[got.piece.to_numpy(int), got.lang.to_numpy(int)] = got.c.to_numpy()
-        # pieces that no language uses go; the others are smoothed by what all languages share
-        used = c.sum(1) > 0.05
-        pieces, c = [x for x, u in zip(pieces, used, strict=True) if u], c[used]
+        # every piece keeps a share: smoothed by what all languages have in common, and evenly
         pooled = c.sum(1) / c.sum()
         floor = 0.5 * pooled + 0.5 / len(pieces)
         p = (c + 20.0 * floor[:, None]) / (c.sum(0) + 20.0)

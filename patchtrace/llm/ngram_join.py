@@ -27,8 +27,8 @@ from the counter table, and the block join puts their parts together again.
 
 Defined results: words are split on ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z; fewer
 words than the shingle size make one shingle of them all; no word, no text: an empty set,
-linked with nothing; rows that repeat an id are one node; a null id gets its size and a
-null component.
+linked with nothing; rows that repeat an id are one node; ids may be of any type that can be
+ordered; a null id gets its size and a null component.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,20 +245,18 @@ def _texts_of(src: DataFrame, ids) -> DataFrame:
     def run(batches):
         bits = marked.value
         for b in batches:
-            id_ = b.column("id").to_numpy(zero_copy_only=False) if not b.column("id").null_count else \
-                pc.fill_null(b.column("id"), 0).to_numpy(zero_copy_only=False)
-            spot = id_.astype(np.int64) % FILTER_BITS
-            hit = (bits[spot >> 6] >> (spot & 63) & 1 == 1) & pc.is_valid(b.column("id")).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(hit))
+            spot = b.column("_spot").to_numpy()
+            yield b.filter(pa.array(bits[spot >> 6] >> (spot & 63) & 1 == 1))
 
-    return src.mapInArrow(run, src.schema)
+    spotted = src.where("id is not null").withColumn("_spot", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long")))
+    return spotted.mapInArrow(run, spotted.schema).drop("_spot")
 
 
 def _overlaps(src: DataFrame, pairs: DataFrame, seed: int, size: int) -> DataFrame:
     """Add the exact overlap ``o`` to pairs (a, b) of classes; their sets are made anew from the
     texts of the documents ``low`` and ``low2``, which are smaller than the sets."""
-    left = _texts_of(src, row_filter(pairs, F.col("low"))).select(F.col("id").alias("low"), F.col("text").alias("x"))
-    right = _texts_of(src, row_filter(pairs, F.col("low2"))).select(F.col("id").alias("low2"), F.col("text").alias("y"))
+    left = _texts_of(src, row_filter(pairs, F.xxhash64("low"))).select(F.col("id").alias("low"), F.col("text").alias("x"))
+    right = _texts_of(src, row_filter(pairs, F.xxhash64("low2"))).select(F.col("id").alias("low2"), F.col("text").alias("y"))
 
     def run(batches):
         own, kept = Shingler(size), (None, None)

@@ -2,15 +2,16 @@
 
 Base counts come from one pass over the bytes of a slice of documents. The verdict compares
 two histograms of a text with references that are summed over all documents of a language:
-character classes, and the language's most common short words (with one place for all
+character classes, and the language's most common words (with one place for all
 others). The measure is the Jensen-Shannon distance (square root of the divergence in
 bits, 0 to 1); a text is compared with every language and the nearest one counts, so a null
 or wrong language label does no harm. Short texts have no stable histogram: the verdict
 applies from a minimum number of characters or words on, and its limits widen with the
 inverse square root of the sample.
 
-Reference words are letters only and of at most ``WORD_BYTES`` bytes: function words are
-short, and so are the tables that tasks exchange.
+Reference words are made of letters only, in any script and of any length. Tasks sum them in
+bounded tables, Spark adds the sums up, and each partition of the totals offers its most common
+words of every language, so that one small window ends the search for all languages at once.
 
 Defined results: a null text has no words; repeated rows get one result each; with no
 language label at all, all documents together are the one reference; without documents
@@ -19,12 +20,13 @@ the result is empty.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchtrace.llm.common import WordHasher, mix64, pick, strings, text_slices, write_stage
@@ -34,7 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-WORD_BYTES = 5
+#: Distinct words that a task sums before it hands them on.
+TABLE_LIMIT = 200_000
 COMMON_WORDS = 48
 #: Guards and limits of the verdict: smallest sample, limit, widening.
 CHAR_GUARD, CHAR_LIMIT, CHAR_SLACK = 200, 0.18, 3.0
@@ -121,6 +124,14 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     """Sum the histograms of all documents of each language."""
     src = pick(docs, text=text_col, lang=lang_col)
 
+    def table_of(words: dict):
+        rows = list(words.items())
+        for i in range(0, len(rows), 10_000):
+            part = rows[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.string()),
+                 pa.array([int(n) for _, n in part], pa.int64())], names=["lang", "word", "n"])
+
     def run(batches):
         own, total, words, spell = Counter(), {}, {}, {}
         for b in text_slices(batches):
@@ -128,27 +139,24 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
             word, starts, stops, ends = own.lower(b.column("text"))
             data = own.lower.data
             chars = own.chars(b.column("text"), data)
-            short = np.flatnonzero(stops - starts <= WORD_BYTES)
-            row = np.searchsorted(ends, short, "right") - 1
+            row = np.repeat(np.arange(len(langs)), np.diff(ends))
             for lang in set(langs):
                 mine = np.array([x == lang for x in langs], bool)
                 total[lang] = total.get(lang, 0) + chars[mine].sum(0)
-                words.setdefault((lang, None), 0)
-                words[lang, None] += int(np.diff(ends)[mine].sum())
-                part = short[mine[row]]
-                keys, first, n = np.unique(word[part], return_index=True, return_counts=True)
-                for key, at, c in zip(keys.tolist(), part[first].tolist(), n.tolist(), strict=True):
+                at_word = np.flatnonzero(mine[row])
+                words[lang, "#all"] = words.get((lang, "#all"), 0) + len(at_word)
+                keys, first, n = np.unique(word[at_word], return_index=True, return_counts=True)
+                for key, at, c in zip(keys.tolist(), at_word[first].tolist(), n.tolist(), strict=True):
                     if key not in spell:
                         text = data[starts[at]:stops[at]].tobytes().lower().decode("utf-8", "replace")
                         spell[key] = text if text.isalpha() else None
                     if spell[key] is not None:
                         words[lang, spell[key]] = words.get((lang, spell[key]), 0) + c
-        rows = [(lang, f"#{i}", int(c)) for lang, t in total.items() for i, c in enumerate(t)]
-        rows += [(lang, "#all" if w is None else w, c) for (lang, w), c in words.items()]
-        for i in range(0, len(rows), 10_000):
-            lang, w, c = map(list, zip(*rows[i:i + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(w, pa.string()),
-                                              pa.array(c, pa.int64())], names=["lang", "word", "n"])
+            if len(words) + len(spell) > TABLE_LIMIT:
+                yield from table_of(words)
+                words, spell = {}, {}
+        yield from table_of(words)
+        yield from table_of({(lang, f"#{i}"): c for lang, t in total.items() for i, c in enumerate(t)})
 
     counts = write_stage(src.mapInArrow(run, "lang string, word string, n long")
                          .groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -159,14 +167,30 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     languages = sorted({lang for lang, _ in sums})
     chars, words, shares = [], [], []
     hasher = WordHasher(lower=True)
+
+    def most_common(batches):
+        best: dict[str, list] = {}
+        for b in batches:
+            for lang, word, n in zip(*[b.column(c).to_pylist() for c in ("lang", "word", "n")], strict=True):
+                best.setdefault(lang, []).append((-n, word))
+            best = {x: heapq.nsmallest(common_words, rows) for x, rows in best.items()}
+        rows = [(lang, word, -n) for lang, top in best.items() for n, word in top]
+        lang, word, n = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())],
+                                         names=["lang", "word", "n"])
+
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    tops: dict[str, list] = {}
+    for r in (counts.where(~F.col("word").startswith("#")).mapInArrow(most_common, "lang string, word string, n long")
+              .withColumn("place", place).where(F.col("place") <= common_words).orderBy("lang", "place").collect()):
+        tops.setdefault(r["lang"], []).append((r["word"], r["n"]))
     for lang in languages:
         c = np.array([sums.get((lang, f"#{i}"), 0) for i in range(len(CLASSES) - 1)], float)
         chars.append(c / max(1.0, c.sum()))
-        top = (counts.where((F.col("lang") == lang) & ~F.col("word").like("#%"))
-               .orderBy(F.desc("n"), "word").limit(common_words).collect())
-        n = np.array([r["n"] for r in top], float)
+        top = tops.get(lang, [])
+        n = np.array([k for _, k in top], float)
         all_words = max(1.0, float(sums.get((lang, "#all"), 0)))
-        words.append(hasher(pa.array([r["word"] for r in top], pa.string()))[0])
+        words.append(hasher(pa.array([w for w, _ in top], pa.string()))[0])
         shares.append(np.append(n / all_words, 1 - n.sum() / all_words))
     return Reference(languages, np.array(chars).reshape(len(languages), len(CLASSES) - 1), words, shares)
 

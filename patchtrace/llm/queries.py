@@ -51,7 +51,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM r WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""")
 def op3_exact_dedup(spark, sf_dir):
     """Which row of each group of equal texts stays, for every document."""
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_no")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_key", "row_no")
 
 
 @register("op4_quality_classifier")

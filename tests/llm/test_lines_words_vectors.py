@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from patchtrace.llm import centroids, line_dedup, spelling
+from patchtrace.llm import (centroids, exact_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules,
+                            spelling)
 
 BLANKS = " \t\n\x0b\x0c\r"
 CLASH = ["id", "TEXT", "key", "n", "word", "part", "pos", "h1", "cluster", "v", "rank", "apex"]
@@ -300,3 +301,74 @@ def test_bounds_hold_and_filter():
     assert (low <= high.min(1, keepdims=True)).mean() < 0.5  # most centroids need no exact distance
     flat = centroids.Simplex.build(np.zeros((5, 64), np.int64), 8)
     assert len(flat.pivots) == 1
+
+
+# --- earlier operators, mended -----------------------------------------------------------------
+
+def test_keep_first_keeps_every_text_of_shuffled_wide_input(spark):
+    """A shuffle whose partitions Spark merges differently for different columns."""
+    rng = random.Random(7)
+    rows = [(i, f"text {rng.randrange(1500)} of many", "w" * rng.randrange(400), i % 3) for i in range(3000)]
+    rows += [(i, t, "again", n) for i, t, _, n in rows[:50]]
+    old = settings(spark, adaptive__advisoryPartitionSizeInBytes="20000", shuffle__partitions=40,
+                   adaptive__coalescePartitions__minPartitionSize="1")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, wide string, n long").repartition("doc_id")
+        kept = exact_dedup.keep_first(df)
+        got = kept.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert kept.columns == df.columns
+    plain = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        plain["".join(t.split())].append((-len(t), i))
+    assert sorted(r.doc_id for r in got) == sorted(min(x)[1] for x in plain.values())
+    assert len({r.text for r in got}) == len(got) == len(plain)
+
+
+def test_ids_of_other_types(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base), ("a", base + " tail"), ("c", base.replace(" ", "  ")), ("zz", base), (None, base), ("x", "other text")]
+    df = spark.createDataFrame(rows, "name string, body string")
+    names = {"id_col": "name", "text_col": "body"}
+    found = {r.name: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, **names).collect()}
+    assert found == {"b": ("c", 4, False), "c": ("c", 4, True), "zz": ("c", 4, False), None: ("c", 4, False),
+                     "a": ("a", 1, True), "x": ("x", 1, True)}
+    assert {r.name for r in exact_dedup.keep_first(df, **names).collect()} == {"a", "c", "x"}
+    near_ids = {r.name: r.component_id for r in ngram_join.ngram_join(df, **names).collect()}
+    assert near_ids == {"a": "a", "b": "a", "c": "a", "zz": "a", "x": "x", None: None}
+
+
+def test_formulas_and_drawings_are_text():
+    own = html_extract.Extractor(html_extract.learn())
+    page = ("<body><article><h1>Head</h1><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is known to us all here.</p>"
+            "<p>A <svg><text>drawn word</text></svg> and an <object>object's own words</object> stay.</p></article></body>")
+    assert own.extract(page) == "Head The sum x+1 is known to us all here. A drawn word and an object's own words stay."
+
+
+def test_language_vocabulary_is_whole_and_long_runs_train(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    plain = {sp.id_to_piece(i) for i in range(sp.get_piece_size())
+             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    pieces = language_id.read_pieces(model)
+    assert set(pieces) == {x for x in plain if x == x.lower()} and max(map(len, pieces)) > 9
+    rows = [(i, "是不是这样的人们在这里" * 20 if i % 2 else "ここではそれをすることができます" * 20, "zh" if i % 2 else "ja") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language_id.fit(df, model, learn_from=lambda c: c >= 10)
+    assert len(fitted.pieces) == len(pieces)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, fitted).collect()} == {i: x for i, _, x in rows}
+
+
+def test_reference_words_of_any_length_and_script(spark):
+    rows = [(f"{'werden ' * 30} international {'привет ' * 9} a1", "x")] * 3 + [("one two " * 20, "y"), ("null words", None)]
+    ref = quality_rules.references(spark.createDataFrame(rows, "text string, lang string"), common_words=2)
+    hasher = quality_rules.WordHasher(lower=True)
+    assert ref.languages == ["x", "y"]
+    assert ref.words[0].tolist() == hasher(pa.array(["werden", "привет"]))[0].tolist()
+    assert np.allclose(ref.shares[0], [30 / 41, 9 / 41, 2 / 41])
+    assert np.allclose(ref.shares[1], [0.5, 0.5, 0.0])
