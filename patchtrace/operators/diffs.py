@@ -102,18 +102,16 @@ def fragment_id(part_no: str = "part_no", file: str = "file") -> Column:
                     F.replace(F.col(file), F.lit("/"), F.lit("_")))
 
 
-def added_lines(part: str = "diff_part") -> Column:
-    return F.transform(F.filter(_hunk_lines(F.col(part)), lambda x: x.startswith("+")),
-                       lambda x: F.substring(x, F.lit(2), F.length(x)))
-
-
-def removed_lines(part: str = "diff_part") -> Column:
-    return F.transform(F.filter(_hunk_lines(F.col(part)), lambda x: x.startswith("-")),
-                       lambda x: F.substring(x, F.lit(2), F.length(x)))
-
-
-def context_lines(part: str = "diff_part") -> Column:
-    """The lines of a hunk that stay, its header's context first."""
-    seg = F.col(part)
-    return F.concat(F.array(_header_context(seg)),
-                    F.filter(_hunk_lines(seg), lambda x: ~(x.startswith("+") | x.startswith("-"))))
+def hunk_sides(part: str = "diff_part") -> Column:
+    """A hunk's lines as one struct: ``removed`` and ``added`` ones without their sign, and those
+    ``around`` that stay, the header's context first."""
+    def without_sign(lines: Column, sign: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: x.startswith(sign)), lambda x: F.substring(x, F.lit(2), F.length(x)))
+
+    def sides(lines: Column) -> Column:
+        stay = F.filter(lines, lambda x: ~(x.startswith("+") | x.startswith("-")))
+        return F.struct(without_sign(lines, "-").alias("removed"), without_sign(lines, "+").alias("added"),
+                        F.concat(F.array(_header_context(F.col(part))), stay).alias("around"))
+
+    # the lines are cut once, whatever is made of them
+    return F.get(F.transform(F.array(_hunk_lines(F.col(part))), sides), F.lit(0))

@@ -55,7 +55,7 @@ def rename_test(hl: str = "hl", ctx: str = "ctx") -> str:
 
     def lines(sign: str) -> str:
         own = f"list_transform(list_filter({hl}, lambda x: starts_with(x, '{sign}')), lambda x: substr(x, 2))"
-        kept = f"list_filter({own}, lambda x: NOT regexp_matches({trim('x')}, {q(v.COMMENT_LINE)}))"
+        kept = f"list_filter({own}, lambda x: NOT regexp_matches(x, {q(v.COMMENT_LINE)}))"
         return f"regexp_extract_all(array_to_string({kept}, chr(10)), {q(v.CODE_TOKEN)})"
 
     words = ", ".join(q(w) for w in v.USE_WORDS + v.TYPE_WORDS)
@@ -89,7 +89,7 @@ def rule_scorer_cols(hl: str = "hl", file: str = "file", ctx: str = "ctx") -> tu
 
     def norm(sign: str) -> str:
         lines = f"list_transform(list_filter({hl}, lambda x: starts_with(x, '{sign}')), lambda x: substr(x, 2))"
-        kept = f"list_filter({lines}, lambda x: NOT regexp_matches({trim('x')}, {q(v.COMMENT_LINE)}))"
+        kept = f"list_filter({lines}, lambda x: NOT regexp_matches(x, {q(v.COMMENT_LINE)}))"
         sq = (f"list_transform({kept}, lambda x: regexp_replace(regexp_replace(x, '{S}', '', 'g'), "
               f"{q(v.VERSION_NUMBER)}, '#', 'g'))")
         return f"list_sort(list_filter({sq}, lambda x: x <> ''))"
