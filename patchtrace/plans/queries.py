@@ -490,7 +490,8 @@ def q_subword_windows(spark, sf_dir):
     """E1 in a public tokenizer's ids: windows of every document, as digests of their ids."""
     import public_tokenizers
     docs = table(spark, sf_dir, "documents")
-    w = subword.subword_windows(docs, ["doc_id"], subword.file_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    w = subword.subword_windows(docs, ["doc_id"], subword.rank_tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                                                           public_tokenizers.PATTERN))
     return w.select("doc_id", "win_no", "start", "end", subword.ids_digest().alias("ids_md5"))
 
 
@@ -748,14 +749,17 @@ def q_upsert_latest(spark, sf_dir):
 _RECORDS = "file_path string, seq long, lang string, n_chars long"
 
 
-@register("upsert_stream", ORACLE["upsert_latest"])
+@register("upsert_stream", """
+SELECT file_path, seq, lang, n_chars FROM (
+  SELECT md5(text) AS file_path, doc_id AS seq, lang, n_chars,
+         row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
 def q_upsert_stream(spark, sf_dir):
-    """F13 + I2: the records of ``upsert_latest`` arrive in three turns, out of order and a third of them
-    twice; each batch rewrites the buckets that it touches."""
+    """F13 + I2: a record for each text, which its copies replace; the records arrive in three turns, out of
+    order and a third of them twice, and each batch rewrites the buckets that it touches."""
     run = uuid.uuid4().hex
     landing, state = shared_path(spark, "records", run), shared_path(spark, "stream-state", run, "records")
     held = record_table.RecordTable(spark, shared_path(spark, "record-table", run), _RECORDS, n_buckets=16)
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("seq"), "lang", "n_chars")
+    d = table(spark, sf_dir, "documents").select(F.md5("text").alias("file_path"), F.col("doc_id").alias("seq"), "lang", "n_chars")
     turn = F.pmod(F.xxhash64("seq"), F.lit(3))
     for k in (0, 1, 2):
         arrived = d.where(turn == k) if k < 2 else d.where(turn == 2).unionByName(d.where(turn == 0))

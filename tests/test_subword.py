@@ -40,11 +40,16 @@ def _rows():
     return rows + [("null", None, None), ("empty", 0, ""), ("long", 1, "x = y; " * 60_000), ("f0", 0, "same key twice")]
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @pytest.mark.parametrize("special", [{}, {"bos": 7, "eos": 50256}])
-def test_windows_equal_a_plain_loop(spark, special):
+@pytest.mark.parametrize("make", [lambda **k: subword.file_tokenizer(FILE, **k),
+                                  lambda **k: subword.rank_tokenizer(RANKS, public_tokenizers.PATTERN, **k)])
+def test_windows_equal_a_plain_loop(spark, special, make):
     rows = [r for r in _rows() if "<|" not in (r[2] or "")]
     df = spark.createDataFrame(rows, ITEMS).withColumn("start", F.lit("clash")).withColumn("ids", F.lit(1)).repartition(3)
-    got = subword.subword_windows(df, ["path"], subword.file_tokenizer(FILE, **special))
+    got = subword.subword_windows(df, ["path"], make(**special))
     assert got.columns == ["path", "win_no", "start", "end", "ids"]
     assert sorted((r.path, r.win_no, r.start, r.end, list(r.ids)) for r in got.collect()) == _plain(rows, **special)
 
