@@ -191,9 +191,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     other = None
     round_no = 0
     while True:
-        # rows that repeat id and text have the same chunks: one of each is enough to compare with
-        ref = (pieces.join(first.select(F.col("first").alias("row_key")), "row_key")
-               .select(*key, "chunk_no", F.col("body").alias("ref")).dropDuplicates([*key, "chunk_no"]))
+        # rows that repeat id and text have the same chunks: one of each is enough to compare with.
+        # Written, so that the join below is a plain one that Spark may split at a hot group
+        ref = write_stage(pieces.join(first.select(F.col("first").alias("row_key")), "row_key")
+                          .select(*key, "chunk_no", F.col("body").alias("ref")).dropDuplicates([*key, "chunk_no"]))
         seen = (pieces.join(ref, [*key, "chunk_no"])
                 .groupBy("row_key", *key).agg(F.bool_and(F.col("body") == F.col("ref")).alias("same")))
         differ = write_stage(seen.where("not same").select("row_key", *key))
