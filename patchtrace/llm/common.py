@@ -167,7 +167,18 @@ def drop_listed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     The list marks a bit filter of fixed size: rows that it doesn't mark stay where they are,
     only the others are shuffled for the exact anti-join.
     """
-    marked = rows.sparkSession.sparkContext.broadcast(row_filter(gone, F.xxhash64(key)))
+    stay, doubt = _spotted(rows, gone, key)
+    return stay.unionByName(doubt.join(gone, key, "left_anti"))
+
+
+def only_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is listed (few, as a rule), by the same bit filter: others aren't shuffled."""
+    return _spotted(rows, listed, key)[1].join(listed, key, "left_semi")
+
+
+def _spotted(rows: DataFrame, listed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that a bit filter of the list doesn't mark, and those that it does."""
+    marked = rows.sparkSession.sparkContext.broadcast(row_filter(listed, F.xxhash64(key)))
     spotted = rows.withColumn("_spot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS).cast("long")))
 
     def part(hit: bool):
@@ -178,9 +189,7 @@ def drop_listed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
                 yield b.filter(pa.array((bits[spot >> 6] >> (spot & 63) & 1 == 1) == hit))
         return run
 
-    stay = spotted.mapInArrow(part(False), spotted.schema)
-    doubt = spotted.mapInArrow(part(True), spotted.schema).join(gone, key, "left_anti")
-    return stay.unionByName(doubt).drop("_spot")
+    return tuple(spotted.mapInArrow(part(hit), spotted.schema).drop("_spot") for hit in (False, True))
 
 
 def write_stage(df: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchtrace.llm.common import (FILTER_BITS, drop_listed, pick, row_filter, row_key, spans_of, strings, text_slices,
-                                   write_stage)
+from patchtrace.llm.common import (FILTER_BITS, drop_listed, only_listed, pick, row_filter, row_key, spans_of, strings,
+                                   text_slices, write_stage)
 
 #: The white space that normalisation deletes (fixed by the contract).
 BLANKS = b" \t\n\v\f\r"
@@ -231,6 +231,6 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = write_stage(found.select("row_key", "kept"))
     alone = drop_listed(plain, found.select("row_key"), "row_key")
     # repeated rows that stay: a partial aggregate keeps one of them in each task
-    again = plain.join(found.where("kept").select("row_key"), "row_key", "left_semi")
+    again = only_listed(plain, found.where("kept").select("row_key"), "row_key")
     one = again.groupBy("row_key").agg(F.first(F.struct(*[f"_in{i}" for i in range(len(names))])).alias("r")).select("r.*")
     return alone.drop("row_key").unionByName(one).toDF(*names)
