@@ -51,10 +51,10 @@ MAIN, END_MAIN = "main", "/main"
 
 @dataclass
 class Piece:
-    """A stretch of text (with the numbers of its open elements) or, with ``tag``, a tag."""
+    """A stretch of text (with the number of its innermost open element) or, with ``tag``, a tag."""
 
     text: str
-    path: tuple[int, ...]
+    at: int
     tag: str | None
     block: int
     labelled: bool = False
@@ -63,25 +63,56 @@ class Piece:
 @dataclass
 class Page:
     pieces: list[Piece]
-    features: list[tuple[str, ...]]  # of each element
+    features: list[tuple[str, ...]]  # of each element, numbered in page order
+    parents: list[int]
+
+    def holders(self, element: int) -> list[int]:
+        """The element and those around it, outermost first."""
+        out = []
+        while element >= 0:
+            out.append(element)
+            element = self.parents[element]
+        return out[::-1]
+
+    def shared(self, elements: list[int]) -> list[int]:
+        """Elements around all of these. Numbers are in page order, so these lie around the first and the last."""
+        first = min(elements)
+        return [e for e in self.holders(max(elements)) if e <= first]
+
+    def end(self, element: int) -> int:
+        """Number of the last element inside an element."""
+        out = element
+        for e in range(element + 1, len(self.parents)):
+            if self.parents[e] < element:
+                break
+            out = e
+        return out
 
 
 def parse(page: str, labels: bool = False) -> Page:
-    """Cut a page into pieces with a tolerant stack of open elements."""
-    pieces, features = [], [()]
-    names, path = ["#page"], (0,)
+    """Cut a page into pieces with a tolerant stack of open elements; linear, however deep they lie."""
+    pieces, features, parents = [], [()], [-1]
+    names, path = ["#page"], [0]
+    places: dict[str, list[int]] = {}    # of each name on the stack
+    firm = [0]                           # elements up to here that are neither inline nor p
     at, block, inside = 0, 0, False
     lower = None
 
     def text(raw: str):
         if raw and (raw.strip() or raw):
-            pieces.append(Piece(html_lib.unescape(raw) if "&" in raw else raw, path, None, block, inside))
+            pieces.append(Piece(html_lib.unescape(raw) if "&" in raw else raw, path[-1], None, block, inside))
+
+    def close(cut: int):
+        while len(names) > cut:
+            places[names.pop()].pop()
+            path.pop()
+            firm.pop()
 
     while True:
         m = _TOKEN.search(page, at)
         if not m:
             text(page[at:])
-            return Page(pieces, features)
+            return Page(pieces, features, parents)
         text(page[at:m.start()])
         at = m.end()
         note, name = m["note"], m["name"]
@@ -92,18 +123,15 @@ def parse(page: str, labels: bool = False) -> Page:
         name = name.lower()
         if name not in INLINE:
             block += 1
-        pieces.append(Piece("", path, name, block, inside))
+        pieces.append(Piece("", path[-1], name, block, inside))
         if m["close"]:
-            if name in names[1:]:
-                cut = len(names) - 1 - names[::-1].index(name)
-                names, path = names[:cut], path[:cut]
+            if places.get(name):
+                close(places[name][-1])
             continue
-        if name in ENDS_P and "p" in names:
-            cut = len(names) - 1 - names[::-1].index("p")
-            if all(n == "p" or n in INLINE for n in names[cut:]):
-                names, path = names[:cut], path[:cut]
+        if name in ENDS_P and places.get("p") and firm[-1] == firm[places["p"][-1]]:
+            close(places["p"][-1])
         if name in ("li", "option", "dt", "dd", "tr", "td", "th") and names[-1] == name:
-            names, path = names[:-1], path[:-1]
+            close(len(names) - 1)
         if name in VOID or m["attrs"].endswith("/"):
             continue
         if name in RAW:
@@ -119,7 +147,11 @@ def parse(page: str, labels: bool = False) -> Page:
             for a, b, c in _NAMED.findall(m["attrs"]):
                 parts.update(x.lower() for x in _PART.findall(a or b or c))
         features.append(tuple(sorted(parts)))
-        names, path = [*names, name], (*path, len(features) - 1)
+        parents.append(path[-1])
+        places.setdefault(name, []).append(len(names))
+        firm.append(firm[-1] + (name != "p" and name not in INLINE))
+        names.append(name)
+        path.append(len(features) - 1)
 
 
 @dataclass(frozen=True)
@@ -143,7 +175,7 @@ def learn(pages: list[str] = PAGES) -> Weights:
                 continue
             n = len(p.text.split())
             total[p.labelled] += n
-            for f in {x for e in p.path for x in parsed.features[e]}:
+            for f in {x for e in parsed.holders(p.at) for x in parsed.features[e]}:
                 words.setdefault(f, [0.0, 0.0])[p.labelled] += n
     base = math.log((total[1] + 1) / (total[0] + 1))
     feature = {f: math.log((c[1] + 2) / (c[0] + 2)) - base for f, c in words.items()}
@@ -166,21 +198,21 @@ class Extractor:
             out.append((max((w[f] for f in known), key=abs, default=0.0), max(firm, key=abs, default=0.0)))
         return out
 
-    def word_score(self, path: tuple[int, ...], own: list[tuple[float, float]]) -> float:
-        """Score of a word: an element that tells against content decides, else one that tells for
-        it; where none does, links and the like weigh, too."""
-        firm = [own[e][1] for e in path]
-        if min(firm) <= -DECIDES:
-            return -1.0
-        if max(firm) >= DECIDES:
-            return 1.0
-        every = [own[e][0] for e in path]
-        return NEUTRAL + 0.2 * (min(1.0, max(every)) + min(every))
+    def word_scores(self, page: Page, own: list[tuple[float, float]]) -> list[float]:
+        """Score of a word directly in each element: an element around it that tells against content
+        decides, else one that tells for it; where none does, links and the like weigh, too.
+        The least and greatest weights are handed from each element to those in it."""
+        out, held = [], []
+        for (every, firm), parent in zip(own, page.parents, strict=True):
+            a, b, c, d = held[parent] if parent >= 0 else (firm, firm, every, every)
+            held.append((min(a, firm), max(b, firm), min(c, every), max(d, every)))
+            a, b, c, d = held[-1]
+            out.append(-1.0 if a <= -DECIDES else 1.0 if b >= DECIDES else NEUTRAL + 0.2 * (min(1.0, d) + c))
+        return out
 
     def region(self, page: Page) -> tuple[int, int, list[float]]:
         """First and last piece of the best run (last before first: none), and the words' scores."""
-        own, known = self.element_scores(page), {}
-        scores = []
+        word, scores = self.word_scores(page, self.element_scores(page)), []
         best = (0.0, 0, -1)
         run, start = 0.0, 0
         for i, p in enumerate(page.pieces):
@@ -188,10 +220,8 @@ class Extractor:
                 gain = self.weights.tag.get(p.tag, self.weights.default_tag)
                 scores.append(0.0)
             else:
-                if p.path not in known:
-                    known[p.path] = self.word_score(p.path, own)
-                scores.append(known[p.path])
-                gain = known[p.path] * len(p.text.split())
+                scores.append(word[p.at])
+                gain = word[p.at] * len(p.text.split())
             if run <= 0:
                 run, start = 0.0, i
             run += gain
@@ -205,24 +235,16 @@ class Extractor:
         if last < first:
             return ""
         pieces = page.pieces
-        paths = [p.path for p, s in zip(pieces[first:last + 1], scores[first:last + 1], strict=True)
-                 if not p.tag and s > 0 and p.text.strip()]
-        shared = min((len(x) for x in paths), default=0)
-        for k in range(shared):
-            if len({x[k] for x in paths}) > 1:
-                shared = k
-                break
-        holder = paths[0][:shared] if paths else ()
-        inner = [e for e in holder if page.features[e] and not {"<body", "<html"} & set(page.features[e])]
+        held = [p.at for p, s in zip(pieces[first:last + 1], scores[first:last + 1], strict=True)
+                if not p.tag and s > 0 and p.text.strip()]
+        inner = [e for e in (page.shared(held) if held else [])
+                 if page.features[e] and not {"<body", "<html"} & set(page.features[e])]
         if inner:  # grow to the container that holds the whole run
-            spot = holder.index(inner[-1]) + 1
             # a container's own parts may be inline or a block: take the outermost that tells for content
             own = self.element_scores(page)
-            telling = [e for e in inner if own[e][1] >= DECIDES]
-            if telling:
-                spot = holder.index(telling[0]) + 1
-            box = holder[:spot]
-            inside = [i for i, p in enumerate(pieces) if p.path[:spot] == box]
+            box = next((e for e in inner if own[e][1] >= DECIDES), inner[-1])
+            end = page.end(box)
+            inside = [i for i, p in enumerate(pieces) if box <= p.at <= end]
             first, last = min(first, inside[0]), max(last, inside[-1])
         blocks: list[list[str]] = []
         number = None

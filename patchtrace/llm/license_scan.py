@@ -1,24 +1,27 @@
 """License scans: conditional compression against license templates.
 
-A text's sentences (lines, cut at sentence ends) that hold a cue word are candidate blocks,
-alone and, for notices that run over several of them, together with their neighbours. Every
-template whose identifying words (name, version) a block holds is confirmed on the exact
-wording: the words of block and template are aligned, and enough of the template's words
-must be there in order. The stretch of the block that the aligned words span, so not the
-prose around it, is compressed by itself and with the template as zstandard raw dictionary,
-and must shrink enough. The fewest wording differences win, then the size reductions rank.
-
-Defined results: null and empty texts have no blocks; every confirmed block gives one row,
-its reduction is that of the stretch; repeated rows give their own rows; equal reductions
-rank by template name.
+A text's sentences (lines, cut at sentence ends) that hold a cue word open a region: they and
+all around them that a notice could reach, counted in words and never in lines. Every template
+whose identifying words (name, version) a region holds is aligned with the region's words in one
+pass: the best local alignment, in which a word in order gains 2 and a word between costs 1, so a
+notice may be wrapped at any width and cut by any line end. Alignments that hold enough of the
+template's words are candidate blocks. The stretch that the aligned words span, so not the prose
+around it, is compressed by itself and with the template as zstandard raw dictionary, and must
+shrink enough. The exact wording decides between candidates that share sentences, then the size
+reductions rank.
+
+Defined results: null and empty texts have no blocks; every confirmed block gives one row, from
+the first to the last sentence of the notice, its reduction is that of the stretch; a sentence
+belongs to one notice; repeated rows give their own rows; equal reductions rank by template name.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -61,13 +64,27 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
                 ("mozilla", "public", "2.0")),
 }
-CUE = re.compile(r"(?i)licen[sc]|copyright|rights reserved|public domain|permission|warrant|\bgpl\b|\bcc0\b|\bcc by")
+_GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+    "License as published by the Free Software Foundation, either version {} of the License, or (at your option) any "
+    "later version.")
+TEMPLATES |= {f"GPL-{v}.0-header": (_GNU_HEADER.format(v), ("gnu", "general", "public", "foundation", v)) for v in "23"}
+TEMPLATES["BSD-text"] = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution.", ("redistribution", "source", "binary", "permitted", "retain"))
+# tags are no sentences: they end with their line
+TAGS = {f"SPDX-{x}": (f"SPDX-License-Identifier: {x}", ("spdx-license-identifier", x.lower())) for x in (
+    "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "MIT", "MPL-2.0")}
+# cue words stand alone: a line end may cut any phrase
+CUE = re.compile(r"(?i)licen[sc]|copyright|\brights\b|\bdomain\b|permission|warrant|redistribut|\bgnu\b|\bgpl\b|\bcc0?\b")
 _WORD = re.compile(r"[^\s\"'(),;:]*[^\s\"'(),;:.]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Least share of the template's words that stand in the block in order, and least reduction.
 LEAST_WORDS, LEAST_REDUCTION = 0.8, 0.3
-#: Lines that a notice may reach to either side.
-NEIGHBOURS = 12
 
 
 def words_of(text: str) -> list[str]:
@@ -94,114 +111,121 @@ class Match:
     added: int
 
 
+#: An alignment is one number: three for each word in order plus its start, above its start.
+_SHIFT = 32
+
+
 class Scanner:
     def __init__(self, templates=None, level: int = 19):
-        self.templates = templates or TEMPLATES
+        self.templates = templates or TEMPLATES | TAGS
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
-        self.given = {}
+        self.given, self.words, self.places = {}, {}, {}
         for name, (wording, _) in sorted(self.templates.items()):
             held = zstandard.ZstdCompressionDict(wording.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False,
                                                         write_checksum=False, write_dict_id=False)
-        self.vocabulary = {w for wording, _ in self.templates.values() for w in words_of(wording)}
-        self.words = {name: words_of(wording) for name, (wording, _) in self.templates.items()}
-        # a template's own sentence ends cut its notices into more blocks than they have lines
-        self.reach = NEIGHBOURS + max(len(_SENTENCE.findall(wording)) for wording, _ in self.templates.values())
+            self.words[name] = words_of(wording)
+            places = self.places.setdefault(name, {})
+            for i in reversed(range(len(self.words[name]))):
+                places.setdefault(self.words[name][i], []).append(i)
+        # an alignment that gains has less than two words between for each in order
+        self.reach = 3 * max(len(w) for w in self.words.values())
 
     def reduction(self, text: str, name: str) -> float:
-        """Share of a text's compressed size that the template saves."""
-        data = text.encode("utf-8")
+        """Share of a text's compressed size that the template saves; line ends play no part."""
+        data = " ".join(text.split()).encode("utf-8")
         return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
 
-    def wording(self, block: list[str], name: str) -> list[tuple[int, int, int]]:
-        """Where the template's words may stand, (first word, last word, words of the template in
-        order): all that is aligned, and its densest run, which leaves out stray words of the prose."""
-        parts = difflib.SequenceMatcher(None, self.words[name], block, autojunk=False).get_matching_blocks()[:-1]
-        if not parts:
-            return []
-        out = [(parts[0].b, parts[-1].b + parts[-1].size - 1, sum(m.size for m in parts))]
-        gain, best, stop = 0, 0, 0
-        for m in parts:
-            gap = m.b - stop
-            if gain <= gap:
-                first, same, gain = m.b, 0, 0
-            else:
-                gain -= gap
-            gain, same, stop = gain + m.size, same + m.size, m.b + m.size
-            if gain > best:
-                best, dense = gain, (first, stop - 1, same)
-        return out if dense == out[0] else [*out, dense]
-
-    def judge(self, block: str) -> tuple[str, float, int, int] | None:
-        """The confirmed template of a block: fewest wording differences among all that pass."""
-        at = [m.span() for m in _WORD.finditer(block)]
-        own = [block[a:b].lower() for a, b in at]
-        held, best = set(own), None
-        for name, (_, identifying) in self.templates.items():
-            if not held.issuperset(identifying):
+    def alignments(self, own: list[str], name: str) -> list[tuple[int, int, int]]:
+        """(first word, last word, words of the template in order) of local alignments that hold enough of it.
+
+        One pass over the words: ``best[i]`` is the best alignment so far within the template's
+        words up to i. With the start added to its gain, a word between costs nothing to record.
+        """
+        places, least = self.places[name], (1 - LEAST_WORDS) * len(self.words[name])
+        best, out, top = np.full(len(self.words[name]), -1, dtype=np.int64), [], -1
+        for j, word in enumerate(own):
+            if word not in places:
                 continue
-            for k, (first, last, same) in enumerate(self.wording(own, name)):
-                missing = len(self.words[name]) - same
-                if missing > (1 - LEAST_WORDS) * len(self.words[name]):
-                    continue
-                if k and not set(own[first:last + 1]).issuperset(identifying):
-                    continue
-                reduction = self.reduction(block[at[first][0]:at[last][1]], name)
-                if reduction < LEAST_REDUCTION:
-                    continue
-                found = (missing + len(own) - same, -reduction, name, missing, len(own) - same)
-                best = min(best, found) if best else found
-        return (best[2], -best[1], best[3], best[4]) if best else None
+            fresh = j << _SHIFT | j
+            for i in places[word]:                        # later places first: a word is used once
+                value = (max(int(best[i - 1]), fresh) if i else fresh) + (3 << _SHIFT)
+                np.maximum(best[i:], value, out=best[i:])
+            if best[-1] > top:
+                top = int(best[-1])
+                start = top & (1 << _SHIFT) - 1
+                same = ((top >> _SHIFT) - start) // 3
+                if len(self.words[name]) - same <= least:
+                    out.append((start, j, same))
+        return out
+
+    def regions(self, text: str, spans: list[tuple[int, int]]):
+        """Runs of blocks (first, last) that a notice with a cue word in it can reach."""
+        sizes: dict[int, int] = {}
+
+        def size(k: int) -> int:
+            if k not in sizes:
+                sizes[k] = sum(1 for _ in _WORD.finditer(text, *spans[k]))
+            return sizes[k]
+
+        first = last = None
+        for at in range(len(spans)):
+            if not CUE.search(text, *spans[at]):
+                continue
+            lo, hi, left, right = at, at, self.reach, self.reach
+            while lo and left > 0:
+                lo -= 1
+                left -= size(lo)
+            while hi + 1 < len(spans) and right > 0:
+                hi += 1
+                right -= size(hi)
+            if last is not None and lo <= last + 1:
+                last = max(last, hi)
+                continue
+            if last is not None:
+                yield first, last
+            first, last = lo, hi
+        if last is not None:
+            yield first, last
 
     def scan(self, text: str) -> list[Match]:
         """Confirmed blocks of a text, in order."""
         if not CUE.search(text):
             return []
-        spans, out, at, free = blocks(text), [], 0, 0
-        while at < len(spans):
-            if not CUE.search(text, *spans[at]):
-                at += 1
-                continue
-            # a notice may run over several blocks: take in neighbours that could belong to one
-            first, last = at, at
-            while first > max(free, at - self.reach) and self._like(text, spans[first - 1]):
-                first -= 1
-            while last + 1 < min(len(spans), at + self.reach) and self._like(text, spans[last + 1]):
-                last += 1
-            # its first and last sentence may go on from or into prose
-            first, last = max(free, first - 1), min(len(spans) - 1, last + 1)
-            best = self._best(text, spans, range(first, at + 1), range(at, last + 1))
-            while best and best[2] > at:
-                # a notice that is better off without this block is left to the next one
-                rest = self._best(text, spans, range(at + 1, best[2] + 1), range(best[2], best[2] + 1))
-                if not rest or self._gain(rest[0]) <= self._gain(best[0]):
-                    break
-                best = self._best(text, spans, range(first, at + 1), range(at, rest[1]))
-            at += 1
-            if best:
-                (name, reduction, missing, added), lo, hi = best
-                out.append(Match(spans[lo][0], spans[hi][1], name, reduction, missing, added))
-                at = free = hi + 1
-        return out
-
-    def _best(self, text: str, spans, starts: range, stops: range):
-        """The judgement of most gain over runs of blocks, with the run's first and last block."""
-        best = None
-        for lo in starts:
-            for hi in stops:
-                found = self.judge(text[spans[lo][0]:spans[hi][1]])
-                if found and (best is None or self._gain(found) > self._gain(best[0])):
-                    best = found, lo, hi
-        return best
-
-    def _like(self, text: str, span: tuple[int, int]) -> bool:
-        """Whether most words of a line occur in some template."""
-        own = words_of(text[span[0]:span[1]])
-        return sum(w in self.vocabulary for w in own) >= 0.7 * len(own)
-
-    def _gain(self, found) -> int:
-        name, _, missing, added = found
-        return len(self.words[name]) - 2 * missing - added
+        spans = blocks(text)
+        return [m for lo, hi in self.regions(text, spans) for m in self._region(text, spans, lo, hi)]
+
+    def _region(self, text: str, spans, lo: int, hi: int) -> list[Match]:
+        at, block, starts = [], [], []
+        for k in range(lo, hi + 1):
+            starts.append(len(at))
+            at += [m.span() for m in _WORD.finditer(text, *spans[k])]
+            block += [k] * (len(at) - len(block))
+        starts.append(len(at))
+        own = [text[a:b].lower() for a, b in at]
+        held, found = set(own), []
+        for name, (_, identifying) in self.templates.items():
+            if held.issuperset(identifying):
+                found += [(len(self.words[name]) - 3 * same + last + 1 - first, len(self.words[name]) - same, name, first,
+                           last) for first, last, same in self.alignments(own, name)]
+        taken, out = set(), []
+        for (_, missing), equal in groupby(sorted(found), key=lambda x: x[:2]):
+            confirmed = []
+            for *_, name, first, last in equal:
+                if not taken.isdisjoint(range(block[first], block[last] + 1)):
+                    continue
+                if not set(own[first:last + 1]).issuperset(self.templates[name][1]):
+                    continue
+                reduction = self.reduction(text[at[first][0]:at[last][1]], name)
+                if reduction >= LEAST_REDUCTION:
+                    confirmed.append((-reduction, name, first, last))
+            for reduction, name, first, last in sorted(confirmed):
+                a, b = block[first], block[last]
+                if taken.isdisjoint(range(a, b + 1)):
+                    taken.update(range(a, b + 1))
+                    added = starts[b + 1 - lo] - starts[a - lo] - (len(self.words[name]) - missing)
+                    out.append(Match(spans[a][0], spans[b][1], name, -reduction, missing, added))
+        return sorted(out, key=lambda m: m.start)
 
 
 def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=None) -> DataFrame:

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -95,6 +96,17 @@ def test_html_extract_finds_the_article():
         assert own.extract(page) == text, page
 
 
+def test_html_extract_deep_pages():
+    own = html_extract.Extractor(html_extract.learn())
+    page = html_extract.parse("<div>x <b>y" * 20_000 + "</b>" * 5 + "<p>z</p></i></div>w")
+    assert len(page.parents) == 40_002 and len(page.holders(40_001)) == 39_993
+    assert page.shared([40_000, 3]) == [0, 1, 2, 3] and page.end(3) == 40_001
+    assert own.extract("<div>x <b>y</b>" * 20_000).split() == ["x", "y"] * 20_000
+    for k in range(2, 9):  # siblings, inline parts and unclosed elements: each word keeps its own holders
+        page = html_extract.parse("<ul>" + "<li>a<b>c</b>" * k + "</ul><p>d")
+        assert [len(page.holders(p.at)) for p in page.pieces if not p.tag] == [3, 4] * k + [2]
+
+
 def test_html_extract_on_the_pages(spark):
     from tests.conftest import SF_MID
     pages = spark.read.parquet(f"{SF_MID}/pages.parquet")
@@ -383,6 +395,55 @@ def test_license_scan_finds_notices_and_only_these(spark, messy, nothing):
     assert {(r["doc_id"], r["license"]) for r in hits if r["exact"]} == want and want
 
 
+@pytest.mark.parametrize("width", range(15, 101, 5))
+def test_license_scan_at_any_width(width):
+    own = license_scan.Scanner()
+    for name, (wording, _) in (license_scan.TEMPLATES | license_scan.TAGS).items():
+        lines = textwrap.fill(wording, width, break_long_words=False, break_on_hyphens=False)
+        text = f"Prose before it.\n{lines}\nprose behind it"
+        (m,) = own.scan(text)
+        assert (m.license, m.missing) == (name, 0) and text[m.start:m.stop].startswith(lines[:15]), name
+        marked = "\n".join("# " + x for x in lines.split("\n"))
+        assert [(x.license, x.missing) for x in own.scan(marked)] == [(name, 0)], name
+
+
+def best_alignment(own, template):
+    """Greatest gain, by trying every stretch: three for each word in order, less the stretch's length."""
+    best = 0
+    for a in range(len(own)):
+        row = [0] * (len(template) + 1)
+        for b in range(a, len(own)):
+            new = [0]
+            for i, w in enumerate(template):
+                new.append(max(new[i], row[i + 1], row[i] + (w == own[b])))
+            row = new
+            best = max(best, 3 * row[-1] - (b + 1 - a))
+    return best
+
+
+def test_license_scan_alignment_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        template = [rng.choice("abcde") for _ in range(rng.randint(1, 7))]
+        own = [rng.choice("abcdefg") for _ in range(rng.randint(1, 16))]
+        scanner = license_scan.Scanner({"T": (" ".join(template), ())})
+        found = scanner.alignments(own, "T")
+        for first, last, same in found:
+            row = [0] * (len(template) + 1)
+            for w in own[first:last + 1]:
+                row = [0, *itertools.accumulate((max(row[i + 1], row[i] + (t == w)) for i, t in enumerate(template)), max)]
+            assert row[-1] == same >= 0.8 * len(template)
+        want = best_alignment(own, template)
+        if want > 3 * 0.8 * len(template):  # so many words that it must hold enough of the template
+            assert max(3 * same - (last + 1 - first) for first, last, same in found) == want
+
+
+def test_license_scan_many_notices_and_cues():
+    own = license_scan.Scanner()
+    text = " ".join(["A license, a warranty and a copyright.", "Released under the MIT License."] * 3000)
+    assert [(m.license, m.missing, m.added) for m in own.scan(text)] == [("MIT", 0, 0)] * 3000
+
+
 @pytest.mark.parametrize("prose", [40, 200, 900, 5000])
 def test_license_scan_whatever_stands_around(prose):
     own, rng = license_scan.Scanner(), random.Random(3)
