@@ -138,6 +138,48 @@ def test_match_on_hard_vectors(spark, t):
     assert all(x == y or abs(x - y) < 1e-8 for (_, _, x), (_, _, y) in zip(got, want))
 
 
+@pytest.mark.parametrize("t", [0.947, 0.8])
+def test_match_over_split_cells(spark, t):
+    # a third of all vectors in one narrow cluster, clusters around it, copies, odd vectors
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 8))
+    vecs = [(centres[0] + rng.normal(scale=0.25, size=8)).tolist() for _ in range(200)]
+    vecs += [(centres[i % 6] + rng.normal(scale=0.4, size=8)).tolist() for i in range(400)]
+    vecs += [centres[1].tolist()] * 20 + [[0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7, None, []]
+    rows = [(f"v{i}", v) for i, v in enumerate(vecs)]
+    cve, proj = rows[::7] + rows[-5:], rows
+    schema = "path string, embedding array<double>"
+    got = M.clone_pairs(spark, spark.createDataFrame(cve, schema), spark.createDataFrame(proj, schema), t,
+                        max_block_rows=8, min_cells=2, max_cells=4, split_blocks=1, levels=3).collect()
+    got = sorted((a, b, "nan" if np.isnan(s) else round(s, 9)) for a, b, s in got)
+    want = _brute(cve, proj, t)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    assert all(x == y or abs(x - y) < 1e-8 for (_, _, x), (_, _, y) in zip(got, want))
+
+
+def test_split_cells_keep_visits_flat(spark, tmpdir_path):
+    """Rows of the product of a CVE vector's cells must not grow with the table when the cells are split."""
+    rng = np.random.default_rng(5)
+    schema = "cell long, vid binary, kind int, unit array<double>"
+
+    def units(n):
+        m = rng.normal(size=(n, 3))
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    cve = [(0, f"c{i}".encode().ljust(16), 0, u.tolist()) for i, u in enumerate(units(40))]
+    met = {}
+    for n in (500, 8000):                        # 16 times as many
+        proj = [(0, f"p{i}".encode().ljust(16), 0, u.tolist()) for i, u in enumerate(units(n))]
+        p, np_, c, nc = M.split_cells(spark.createDataFrame(proj, schema), {0: n}, spark.createDataFrame(cve, schema), {0: 40},
+                                      0.99, 20, 1024, 4, f"{tmpdir_path}/split{n}")
+        assert sum(np_.values()) == n == p.count() and c.count() == sum(nc.values())
+        per_cell = {r["cell"]: r["count"] for r in p.groupBy("cell").count().collect()}
+        assert per_cell == np_ and max(per_cell.values()) < 400
+        met[n] = sum(per_cell[r["cell"]] for r in c.select("cell").collect()) / 40 / n
+    # share of the table that a CVE vector meets falls: its cells shrink with the table
+    assert met[500] < 0.5 and met[8000] < met[500] / 3
+
+
 def test_match_of_empty_and_unlike_sides(spark):
     schema = "path string, embedding array<double>"
     one, none = spark.createDataFrame([("a", [1.0, 0.0])], schema), spark.createDataFrame([], schema)
