@@ -10,7 +10,10 @@ whichever task holds it:
    block the path and the section that it begins in;
 3. *resolve*: sections that begin and end in one block become parts in its row; only sections that
    cross an edge are shuffled, piece by piece, and joined;
-4. *numbers*: parts are numbered within their block, and the blocks' counts are summed.
+4. *numbers*: a part's number is its place in its block plus the parts of the blocks before.
+
+A text is shuffled once, by key and block number; summaries, numbers and the pieces at the edges
+join the blocks where they lie.
 
 Same rules and results as ``diff_parts``; tested against it for all block sizes. Null texts
 have no blocks and no parts; the key columns must tell the texts apart and may not be null.
@@ -109,39 +112,45 @@ def diff_parts_of_blocks(blocks: DataFrame, key: list[str], block_no: str = "blo
     last = F.element_at("_s", -1)
     n_starts = F.size(F.filter("_s", lambda x: x["start"]))
     summary = cut.select(*key, "block_no", last["path"].alias("_set"), (n_starts > 0).alias("_opens"),
-                         (~F.element_at("_s", 1)["start"]).alias("_goes_on"), F.size("_s").alias("_n"))
+                         (~F.element_at("_s", 1)["start"]).alias("_goes_on"))
     order = Window.partitionBy(*key).orderBy("block_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.when(F.col("_opens"), F.struct(F.col("block_no").alias("b"), (F.col("_n") - 1).alias("i")))
+    opened = F.when(F.col("_opens"), F.col("block_no"))
     scanned = summary.select(
         *key, "block_no", F.last("_set", ignorenulls=True).over(before).alias("_path"),
         F.last(opened, ignorenulls=True).over(before).alias("_open"),
         F.coalesce(F.lead("_goes_on").over(order), F.lit(False)).alias("_crosses"))
 
-    # 3: sections by where they begin; the first stretch may go on from an earlier block
+    # 3: a block's first stretch may go on from an earlier block, its last may go on into the next
     j = cut.join(scanned, [*key, "block_no"])
-    rows = j.select(*key, "block_no", "_path", "_open", "_crosses", F.size("_s").alias("_n"),
-                    F.posexplode("_s").alias("_i", "_x"))
-    start = F.col("_x.start")
-    rows = rows.select(
-        *key, F.when(start, F.col("block_no")).otherwise(F.col("_open.b")).alias("_b"),
-        F.when(start, F.col("_i")).otherwise(F.col("_open.i")).alias("_k"), "block_no", start.alias("_start"),
-        F.coalesce(F.col("_x.path"), F.col("_path")).alias("file"), F.col("_x.seg").alias("seg"),
-        (~start | ((F.col("_i") == F.col("_n") - 1) & F.col("_crosses"))).alias("_split"))
-    rows = rows.where("_b is not null")                                        # lines before any section
-    whole = rows.where(~F.col("_split")).select(*key, "_b", "_k", "file", "seg")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "seg"))), lambda x: x["seg"])
-    joined = (rows.where("_split").groupBy(*key, "_b", "_k")
-              .agg(F.max(F.when(F.col("_start"), F.col("file"))).alias("file"), F.array_join(pieces, "\n").alias("seg")))
-    seg = F.col("seg")
-    valid = (seg.startswith("@@") & F.col("file").isNotNull() & (F.col("file") != "")
-             & ((_header_context(seg) != "") | (F.size(_hunk_lines(seg)) > 0)))
-    parts = whole.unionByName(joined).where(valid).checkpoint()
-
-    # 4: a part's number in its block, and the parts in the blocks before
-    counts = parts.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    base = counts.select(*key, "_b", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy(*key, "_b").orderBy("_k")) - 1
-    return (parts.withColumn("_in", inside).join(base, [*key, "_b"])
-            .select(*key, (F.col("_base") + F.col("_in")).cast("int").alias("part_no"), "file", seg.alias("diff_part")))
+
+    def stretch(x, i):
+        split = ~x["start"] | ((i == F.size("_s") - 1) & F.col("_crosses"))
+        return F.struct(F.when(x["start"], F.col("block_no")).otherwise(F.col("_open")).alias("b"), split.alias("split"),
+                        F.when(x["start"], F.coalesce(x["path"], F.col("_path"))).alias("file"), x["seg"].alias("seg"))
+
+    def valid(file, seg):
+        return (seg.startswith("@@") & file.isNotNull() & (file != "")
+                & ((_header_context(seg) != "") | (F.size(_hunk_lines(seg)) > 0)))
+
+    stretches = F.transform("_s", stretch)
+    own = F.filter(stretches, lambda x: ~x["split"] & valid(x["file"], x["seg"]))
+    whole = j.select(*key, "block_no", own.alias("_w"))
+    # only the pieces at the edges are written and shuffled; lines before any section belong to none
+    at_edge = F.filter(stretches, lambda x: x["split"] & x["b"].isNotNull())
+    edges = j.select(*key, "block_no", at_edge.alias("_e"), F.size(own).alias("_n")).checkpoint()
+    pieces = edges.select(*key, "block_no", F.explode("_e").alias("_x")).select(*key, "block_no", "_x.*")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "seg"))), lambda x: x["seg"])
+    joined = (pieces.groupBy(*key, F.col("b").alias("block_no"))
+              .agg(F.max("file").alias("file"), F.array_join(in_order, "\n").alias("seg"))
+              .where(valid(F.col("file"), F.col("seg"))))
+
+    # 4: a block's parts are its own, then the one that it opens and a later block ends
+    counts = edges.select(*key, "block_no", "_n").join(joined.select(*key, "block_no", F.lit(1).alias("_one")), [*key, "block_no"], "left")
+    base = counts.select(*key, "block_no", "_n", F.coalesce(F.sum(F.col("_n") + F.coalesce("_one", F.lit(0))).over(before),
+                                                            F.lit(0)).alias("_base"))
+    inside = (whole.join(base, [*key, "block_no"]).select(*key, "_base", F.posexplode_outer("_w").alias("_i", "_x"))
+              .where("_i is not null").select(*key, (F.col("_base") + F.col("_i")).alias("part_no"), "_x.file", "_x.seg"))
+    across = joined.join(base, [*key, "block_no"]).select(*key, (F.col("_base") + F.col("_n")).alias("part_no"), "file", "seg")
+    return inside.unionByName(across).select(*key, F.col("part_no").cast("int").alias("part_no"), "file",
+                                             F.col("seg").alias("diff_part"))
