@@ -364,6 +364,7 @@ def q_verdict_parse(spark, sf_dir):
 # Function inventory over the derived sources F-src (and F-src2 for C#/JS/Ruby).
 # ---------------------------------------------------------------------------------
 from patchtrace.operators import extract as xops  # noqa: E402
+from patchtrace.operators import source_blocks  # noqa: E402
 
 
 def _src_sql(select: str, extra: bool = False) -> str:
@@ -408,6 +409,15 @@ for _key, _langs, _doc in [("functions_c", ("c", "cpp"), "F3: C/C++ functions (b
     _in = ", ".join(f"'{x}'" for x in _langs)
     register(_key, _src_sql(f"SELECT {_FN_SEL} FROM functions WHERE language IN ({_in})"))(_make(_langs, _doc))
 
+@register("functions_blocks", _src_sql(f"SELECT {_FN_SEL} FROM functions WHERE language IN ('c', 'cpp', 'java', 'rust')"))
+def q_functions_blocks(spark, sf_dir):
+    """F2-F5 over files of any size: the sources cut into small blocks, functions by prefix scans over them."""
+    src = xops.label_files(fixture(spark, sf_dir, "source_files").select("path", "content"))
+    src = src.where(F.col("language").isin(xops.BRACE_LANGUAGES))
+    cut = blocks.text_blocks(src, ["path", "language"], "content", block_chars=1024)
+    return source_blocks.brace_functions_of_blocks(cut, xops.BRACE_LANGUAGES).select(*_FN_COLS)
+
+
 for _key, _lang, _doc in [("functions_cs", "csharp", "F10: C# methods (our header rule)."),
                           ("functions_js", "javascript", "F10: JavaScript function declarations (our rule)."),
                           ("functions_ruby", "ruby", "F10: Ruby methods (our def/end rule).")]:
