@@ -41,12 +41,12 @@ _SAFE = r"[;{}](?=[ \t\r]*\n)"
 _TO_THE_END = (1 << 31) - 1
 
 
-def _order(*file: str):
-    return Window.partitionBy(*file)
+#: The key of a file (a path has one language); ``blocks.text_blocks`` with this key deals the texts out as the joins below need them.
+FILE = ["path", "language"]
 
 
 def _before(by: str):
-    return Window.partitionBy("path").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*FILE).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def strip_block_comments(blocks: DataFrame) -> DataFrame:
@@ -58,10 +58,11 @@ def strip_block_comments(blocks: DataFrame) -> DataFrame:
     def opens(c: Column) -> Column:
         return F.regexp_replace(c, ALL_COMMENTS, "").contains("/*")
 
-    effect = src.select("path", "block_no", closed.alias("_closed"), opens(F.col("_line")).alias("_to0"),
+    effect = src.select(*FILE, "block_no", closed.alias("_closed"), opens(F.col("_line")).alias("_to0"),
                         (~closed | opens(rest)).alias("_to1"))
     swap = (F.col("_to0") & ~F.col("_to1")).cast("int")
-    upto = _order("path").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*FILE)
+    upto = whole.orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     effect = effect.select("*", F.sum(swap).over(upto).alias("_swaps"), swap.alias("_swap"))
     known = F.when(F.col("_to0") == F.col("_to1"), F.struct(F.col("_to0").alias("v"), F.col("_swaps").alias("n")))
     effect = effect.select("*", F.last(known, ignorenulls=True).over(_before("block_no")).alias("_set"))
@@ -69,14 +70,14 @@ def strip_block_comments(blocks: DataFrame) -> DataFrame:
     effect = effect.withColumn("_in", F.coalesce("_set.v", F.lit(False)) != swapped)
     effect = effect.withColumn("_out", F.when(F.col("_in"), F.col("_to1")).otherwise(F.col("_to0")))
     opened = F.when(F.col("_out") & (~F.col("_in") | F.col("_closed")), F.col("block_no"))
-    effect = effect.select("*", F.max(F.struct("block_no", "_out")).over(_order("path")).alias("_end"),
-                           F.max(opened).over(_order("path")).alias("_at"))
+    effect = effect.select("*", F.max(F.struct("block_no", "_out")).over(whole).alias("_end"),
+                           F.max(opened).over(whole).alias("_at"))
     # the block whose opening has no end, and those behind it, keep their text
     endless = F.when(F.col("_end._out"), F.col("_at"))
-    effect = effect.select("path", "block_no", "_in", "_out", (F.col("block_no") < F.col("_end.block_no")).alias("_more"),
+    effect = effect.select(*FILE, "block_no", "_in", "_out", (F.col("block_no") < F.col("_end.block_no")).alias("_more"),
                            F.coalesce(F.col("block_no") > endless, F.lit(False)).alias("_behind"),
                            F.coalesce(F.col("block_no") >= endless, F.lit(False)).alias("_kept"))
-    j = src.join(effect, ["path", "block_no"])
+    j = src.join(effect, [*FILE, "block_no"])
     live = F.regexp_replace(F.when(F.col("_in"), rest).otherwise(F.col("_line")), ALL_COMMENTS, "")
     text = (F.when(F.col("_behind"), F.col("_line")).when(F.col("_out") & ~F.col("_kept"), F.substring_index(live, "/*", 1))
             .otherwise(live))
@@ -128,11 +129,11 @@ def chunks_of_blocks(stripped: DataFrame) -> DataFrame:
     angle = [F.when(F.col("language") == lg, _last_mark(m)) for lg, m in ANGLE.items()]
     marks = [_last_mark(ROUND), F.coalesce(*angle),
              F.when(F.col("language") == "rust", _last_mark(ARROW))]
-    seen = stripped.select("path", "block_no", *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
+    seen = stripped.select(*FILE, "block_no", *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
     w = _before("block_no")
-    seen = seen.select("path", "block_no", F.lag("block_no").over(_order("path").orderBy("block_no")).isNull().alias("_top"),
+    seen = seen.select(*FILE, "block_no", F.lag("block_no").over(Window.partitionBy(*FILE).orderBy("block_no")).isNull().alias("_top"),
                        *[F.coalesce(F.last(f"_m{i}", ignorenulls=True).over(w), F.lit("")).alias(f"_m{i}") for i in range(3)])
-    j = stripped.join(seen, ["path", "block_no"])
+    j = stripped.join(seen, [*FILE, "block_no"])
     j = j.select("path", "language", "block_no", "text", "_top", _ends("language", "text", "_m0", "_m1", "_m2").alias("_c"))
     first = F.when(F.col("_top"), F.lit(0)).otherwise(F.col("_c.first"))
     j = j.select("path", "language", "block_no", "text", first.alias("_a"),
@@ -140,13 +141,15 @@ def chunks_of_blocks(stripped: DataFrame) -> DataFrame:
 
     middle = j.where("_a < _b").select("path", "language", (F.col("block_no") * 2).alias("chunk"),
                                        F.expr("substring(text, _a + 1, _b - _a)").alias("content"))
-    opener = j.select("path", "block_no", F.last(F.when(F.col("_a").isNotNull(), F.col("block_no")), ignorenulls=True)
+    # only the pieces at the edges are shuffled
+    opener = j.select(*FILE, "block_no", F.last(F.when(F.col("_a").isNotNull(), F.col("block_no")), ignorenulls=True)
                       .over(_before("block_no")).alias("_of"))
-    head = F.struct(F.col("_of").alias("of"), F.expr("if(_a is null, text, left(text, _a))").alias("t"))
-    tail = F.struct(F.when(F.col("_a").isNotNull(), F.col("block_no")).alias("of"), F.expr("substring(text, _b + 1)").alias("t"))
-    pieces = (j.join(opener, ["path", "block_no"])
-              .select("path", "language", "block_no", F.explode(F.array(head, tail)).alias("_x"))
-              .where("_x.of is not null and _x.t <> ''"))
+    edges = j.select(*FILE, "block_no", F.expr("if(_a is null, text, left(text, _a))").alias("_head"),
+                     F.expr("if(_a is null, '', substring(text, _b + 1))").alias("_tail"))
+    sides = F.array(F.struct(F.col("_of").alias("of"), F.col("_head").alias("t")),
+                    F.struct(F.col("block_no").alias("of"), F.col("_tail").alias("t")))
+    pieces = (edges.where("_head <> '' or _tail <> ''").join(opener, [*FILE, "block_no"])
+              .select(*FILE, "block_no", F.explode(sides).alias("_x")).where("_x.of is not null and _x.t <> ''"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "_x.t"))), lambda x: x["t"])
     joints = pieces.groupBy("path", "language", (F.col("_x.of") * 2 + 1).alias("chunk")).agg(
         F.array_join(in_order, "").alias("content"))
@@ -169,21 +172,21 @@ def brace_functions_of_blocks(blocks: DataFrame, languages: list[str], bodies: b
                        *[c for c in rows.columns if c != "path"]).checkpoint()
 
     # what a chunk adds to a reader that passes it, summed over the chunks before
-    size = chunks.select("path", "chunk", F.length("content").alias("_len_c"), count_char("content", "\n").alias("_nl_c"))
-    turn = rows.groupBy("path", "chunk").agg(F.sum(step).alias("_d_c"))
-    size = size.join(turn, ["path", "chunk"], "left")
+    size = chunks.select(*FILE, "chunk", F.length("content").alias("_len_c"), count_char("content", "\n").alias("_nl_c"))
+    turn = rows.groupBy(*FILE, "chunk").agg(F.sum(step).alias("_d_c"))
+    size = size.join(turn, [*FILE, "chunk"], "left")
     sums = [F.coalesce(F.sum(c).over(_before("chunk")), F.lit(0)).alias(a)
             for c, a in (("_len_c", "_off"), ("_nl_c", "_lines"), ("_d_c", "_depth"))]
-    base = size.select("path", "chunk", "_len_c", *sums).select("*", (F.col("_off") + F.col("_len_c")).alias("_until"))
-    r = rows.join(base, ["path", "chunk"])
+    base = size.select(*FILE, "chunk", "_len_c", *sums).select("*", (F.col("_off") + F.col("_len_c")).alias("_until"))
+    r = rows.join(base, [*FILE, "chunk"])
     depth = F.col("d") + F.col("_depth") + F.when(F.col("is_open"), 0).otherwise(1)
     r = r.select("path", "chunk", "language", "name", "signature", "_len", "_nl", "_inner", "is_open", "i", "_until",
                  (F.col("e") + F.col("_off")).alias("e"), (F.col("cnl") + F.col("_lines")).alias("cnl"), depth.alias("lvl"))
 
     brace = F.struct("is_open", "e", "cnl", "chunk", "i")
-    level = Window.partitionBy("path", "chunk", "lvl").orderBy("i")
+    level = Window.partitionBy(*FILE, "chunk", "lvl").orderBy("i")
     r = r.select("*", F.lead(brace).over(level).alias("_to"), F.lag("i").over(level).isNull().alias("_first"))
-    across = Window.partitionBy("path", "lvl").orderBy("chunk", "i")
+    across = Window.partitionBy(*FILE, "lvl").orderBy("chunk", "i")
     edge = r.where(F.col("_first") | F.col("_to").isNull()).withColumn("_then", F.lead(brace).over(across))
     pairs = r.where("_to is not null").unionByName(
         edge.where("_to is null").select(*[c for c in r.columns if c != "_to"], F.col("_then").alias("_to")))
@@ -194,10 +197,10 @@ def brace_functions_of_blocks(blocks: DataFrame, languages: list[str], bodies: b
         (F.col("i") - F.col("_inner")).alias("_from"), F.col("_to.i").alias("_i2"), "_until")
 
     # numbers: the place in the chunk where the header is, and the functions of the chunks before
-    held = spans.groupBy("path", "chunk").agg(F.count(F.lit(1)).alias("_n"))
-    held = held.select("path", "chunk", F.coalesce(F.sum("_n").over(_before("chunk")), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("path", "chunk").orderBy("start_pos")) - 1
-    spans = spans.withColumn("_place", place).join(held, ["path", "chunk"]).withColumn("fn_no", F.col("_base") + F.col("_place"))
+    held = spans.groupBy(*FILE, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+    held = held.select(*FILE, "chunk", F.coalesce(F.sum("_n").over(_before("chunk")), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*FILE, "chunk").orderBy("start_pos")) - 1
+    spans = spans.withColumn("_place", place).join(held, [*FILE, "chunk"]).withColumn("fn_no", F.col("_base") + F.col("_place"))
     if not bodies:
         return _typed(spans)
 
