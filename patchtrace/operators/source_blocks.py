@@ -121,7 +121,8 @@ def _ends(language: pd.Series, text: pd.Series, a: pd.Series, b: pd.Series, c: p
 
 
 def _last_mark(marks: str) -> Column:
-    return F.nullif(F.regexp_extract("text", f"(?s).*({marks})", 1), F.lit(""))
+    # tried from the start of the text only: a text without a mark is read once, not from each of its places
+    return F.nullif(F.regexp_extract("text", f"(?s)^.*({marks})", 1), F.lit(""))
 
 
 def chunks_of_blocks(stripped: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Functions of files given as blocks equal the row plan, for every block size."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def test_ordinary_code_is_cut_into_many_chunks(spark):
     assert n > 100 and longest <= 400
 
 
+def test_a_block_without_marks_is_read_once(spark):
+    """Looking for the last mark of a block takes time by its length, not by the square of it."""
+    begun, text = time.time(), "word " * 60_000
+    stripped = spark.createDataFrame([("a.c", "c", 0, text), ("a.c", "c", 1, ";\n}\n")],
+                                     "path string, language string, block_no long, text string")
+    chunks = source_blocks.chunks_of_blocks(stripped).collect()
+    assert "".join(r["content"] for r in sorted(chunks, key=lambda r: r["chunk"])) == text + ";\n}\n"
+    assert time.time() - begun < 20
+
+
 def test_no_files(spark):
     none = spark.createDataFrame([], "path string, language string, block_no long, block string")
     assert source_blocks.brace_functions_of_blocks(none, ["c"]).count() == 0
