@@ -180,6 +180,40 @@ def test_split_cells_keep_visits_flat(spark, tmpdir_path):
     assert met[500] < 0.5 and met[8000] < met[500] / 3
 
 
+def test_a_lower_level_splits_again(spark, tmpdir_path):
+    """Cells made of a hot cell get pivots that their own level did not use, so they become smaller."""
+    rng = np.random.default_rng(9)
+    schema = "cell long, vid binary, kind int, unit array<double>"
+    m = rng.normal(size=(2000, 3))
+    rows = [(0, f"p{i}".encode().ljust(16), 0, (u / np.linalg.norm(u)).tolist()) for i, u in enumerate(m)]
+    sides = spark.createDataFrame(rows, schema), {0: 2000}, spark.createDataFrame(rows[:30], schema), {0: 30}
+    cells = []
+    for level in (1, 2):                         # the same numbers on both levels: one pivot in 100 vectors
+        sides = M.split_cells(*sides, 0.9, 100, 1024, 1, f"{tmpdir_path}/level{level}")
+        cells.append(len(sides[1]))
+    assert sum(sides[1].values()) == 2000 and cells[1] > cells[0]
+
+
+def test_a_vector_meets_few_blocks(spark):
+    """Copies that the match shuffles: one of each vector for a block of the other side."""
+    n, dim = 6000, 16
+    rng = np.random.default_rng(2)
+    rows = [(f"v{i}", u.tolist()) for i, u in enumerate(rng.normal(size=(n, dim)))]
+    df = spark.createDataFrame(rows, "path string, embedding array<double>")
+    seen, real = [], M.block_pairs
+
+    def watch(project, n_project, cve, n_cve, threshold, rows):
+        seen.extend((-(-n_cve[c] // rows)) * k + (-(-k // rows)) * n_cve[c] for c, k in n_project.items() if c in n_cve)
+        return real(project, n_project, cve, n_cve, threshold, rows)
+
+    M.block_pairs = watch
+    try:
+        found = M.clone_pairs(spark, df, df, 0.99, min_cells=1, max_cells=1).count()
+    finally:
+        M.block_pairs = real
+    assert found == n and sum(seen) <= 3 * n
+
+
 def test_match_of_empty_and_unlike_sides(spark):
     schema = "path string, embedding array<double>"
     one, none = spark.createDataFrame([("a", [1.0, 0.0])], schema), spark.createDataFrame([], schema)
