@@ -180,6 +180,41 @@ def test_split_cells_keep_visits_flat(spark, tmpdir_path):
     assert met[500] < 0.5 and met[8000] < met[500] / 3
 
 
+def test_pooling_in_steps():
+    """A batch of many tokens is pooled in steps of bounded size, with the vectors of a single step."""
+    import pyarrow as pa
+
+    from patchtrace.functions import vectors
+
+    rng = np.random.default_rng(1)
+    lens = [0, 700_000, 1, 2, 513, 300_000] + [30] * 9000
+    ids = [rng.integers(0, 256, n, dtype=np.int32) for n in lens]
+    flat = pa.array(np.concatenate(ids))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lens]), pa.int32()), flat)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lens))), lists], names=["k", "b"])
+    out = list(vectors.pooled_bucket_batches(["k"], "b", 256, 512, 256)([batch.slice(0, 0), batch]))
+    assert len(out) > 3 and max(b.num_rows for b in out) <= 4096
+    got = {k: v for b in out for k, v in zip(b.column("k").to_pylist(), b.column("embedding").to_pylist(), strict=True)}
+    assert set(got) == set(range(len(lens))) - {0, 2}
+    for k in (1, 3, 4, 6, 9005):
+        n = len(ids[k])
+        starts = [0] if n <= 512 else range(0, (-(-(n - 512) // 256) + 1) * 256, 256)
+        want = np.mean([np.bincount(ids[k][s:s + 512], minlength=256) for s in starts], axis=0)
+        assert np.allclose(got[k], want)
+
+
+def test_window_vectors_group_small_rows(spark):
+    """Equal windows are added up, null keys are a key, and no plan has a column a bucket."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, "a b " * 400), (1, "a b " * 400), (None, "x"), (2, ""), (3, None)], schema)
+    w = E.window_vectors(E.token_windows(docs, ["doc_id"]), ["doc_id"])
+    assert "pivotfirst" not in w._jdf.queryExecution().toString().lower()
+    got = {(r["doc_id"], r["win_no"]): sum(r["embedding"]) for r in w.collect()}
+    assert got == {(1, 0): 1024.0, (1, 1): 1024.0, (1, 2): 2 * 290.0, (None, 0): 3.0, (2, 0): 2.0}
+    mean = {r["doc_id"]: sum(r["embedding"]) for r in E.mean_pool(w, ["doc_id"]).collect()}
+    assert mean[1] == pytest.approx((1024 + 1024 + 580) / 3) and mean[None] == 3.0
+
+
 def test_a_lower_level_splits_again(spark, tmpdir_path):
     """Cells made of a hot cell get pivots that their own level did not use, so they become smaller."""
     rng = np.random.default_rng(9)
