@@ -241,3 +241,15 @@ def test_headers_are_cut_once(spark):
     # one match list and one cut a language, not one for each generated row
     assert plan.count("regexp_extract_all(") == len(X.BRACE_LANGUAGES)
     assert "size(" not in plan.split("Generate", 1)[1]
+
+
+def test_spans_take_no_window_over_braces_or_lines(spark):
+    """A file is one row of small arrays on its way; braces and lines were rows of their own, sorted twice."""
+    files = spark.createDataFrame([("p", "a.c", "int f(int a)\n{ if (a) { b; } }\n"), ("p", "b.py", "def f(x):\n    y\n\ndef g(x): z\n")],
+                                  "project_id string, path string, content string")
+    for bodies in (False, True):
+        spans = X.extract_functions(files, bodies=bodies)
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate posexplode(_s" not in plan
+        got = {(r.path, r.name, r.start_line, r.end_line, r.start_pos, r.end_pos) for r in spans.collect()}
+        assert got == {("a.c", "f", 1, 2, 0, 31), ("b.py", "f", 1, 3, 0, 17), ("b.py", "g", 4, 5, 17, 30)}
