@@ -21,11 +21,14 @@ have no blocks and no parts; the key columns must tell the texts apart and may n
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchtrace.functions.text import NS, S
 from patchtrace.operators.diffs import GROUP_SPLIT, SECTION_SPLIT, _group_path, _header_context, _hunk_lines
+from patchtrace.session import shared_path
 from patchtrace.sources.files import decode_ignore
 
 BLOCK_CHARS = 1 << 16
@@ -135,10 +138,15 @@ def diff_parts_of_blocks(blocks: DataFrame, key: list[str], block_no: str = "blo
 
     stretches = F.transform("_s", stretch)
     own = F.filter(stretches, lambda x: ~x["split"] & valid(x["file"], x["seg"]))
-    whole = j.select(*key, "block_no", own.alias("_w"))
-    # only the pieces at the edges are written and shuffled; lines before any section belong to none
+    # lines before any section belong to none
     at_edge = F.filter(stretches, lambda x: x["split"] & x["b"].isNotNull())
-    edges = j.select(*key, "block_no", at_edge.alias("_e"), F.size(own).alias("_n")).checkpoint()
+    resolved = j.select(*key, "block_no", own.alias("_w"), at_edge.alias("_e")).withColumn("_n", F.size("_w"))
+    # written once: the numbers, the pieces at the edges and the parts inside the blocks all read it
+    at = shared_path(blocks.sparkSession, "diff-blocks", uuid.uuid4().hex)
+    resolved.write.parquet(at)
+    resolved = blocks.sparkSession.read.schema(resolved.schema).parquet(at)
+    whole, edges = resolved.select(*key, "block_no", "_w"), resolved.select(*key, "block_no", "_e", "_n")
+    # only the pieces at the edges are grouped
     pieces = edges.select(*key, "block_no", F.explode("_e").alias("_x")).select(*key, "block_no", "_x.*")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "seg"))), lambda x: x["seg"])
     joined = (pieces.groupBy(*key, F.col("b").alias("block_no"))

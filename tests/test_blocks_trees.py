@@ -103,3 +103,16 @@ def test_text_blocks_of_long_lines(spark, size):
     df = spark.createDataFrame([(1, "abcdefgh\n\nxy\n")], "id int, t string")
     got = [r.block for r in blocks.text_blocks(df, ["id"], "t", size).orderBy("block_no").collect()]
     assert "\n".join(got) == "abcdefgh\n\nxy\n" and got[0] == "abcdefgh"
+
+
+def test_blocks_are_resolved_once(spark):
+    """Parts in a block, pieces at the edges and numbers read what was written; each had cut the text again."""
+    from patchtrace.operators import blocks
+    text = "diff --git a/x.c b/x.c\n@@ -1 +1 @@\n-a\n+b\n@@ -9 +9 @@\n c\n-d"
+    diffs = spark.createDataFrame([("r", "h", text)], "repo_url string, commit_hash string, diff_text string")
+    parts = blocks.diff_parts_of_blocks(blocks.text_blocks(diffs, ["repo_url", "commit_hash"], "diff_text", block_chars=16),
+                                        ["repo_url", "commit_hash"])
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "diff-blocks" in plan and "regexp_extract_all" not in plan
+    assert [(r.part_no, r.file, r.diff_part) for r in parts.orderBy("part_no").collect()] == [
+        (0, "x.c", "@@ -1 +1 @@\n-a\n+b"), (1, "x.c", "@@ -9 +9 @@\n c\n-d")]
