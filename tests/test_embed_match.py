@@ -257,3 +257,15 @@ def test_match_of_empty_and_unlike_sides(spark):
     assert M.clone_pairs(spark, one, zeros).count() == M.clone_pairs(spark, zeros, one).count() == 0
     with pytest.raises(ValueError):
         M.clone_pairs(spark, one, spark.createDataFrame([("b", [1.0, 0.0, 0.0])], schema))
+
+
+def test_zeros_are_not_rounded_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    from patchtrace.plans.queries import _round_vec
+    v = [0.0, -0.0, 0.1234565, -1.0000005, 1e-9, float("inf"), None]
+    df = spark.createDataFrame([(v,), ([],), (None,)], "embedding array<double>")
+    col = _round_vec()
+    assert "CASE" in df.select(col)._jdf.queryExecution().analyzed().toString()
+    want = [r[0] for r in df.select(F.transform("embedding", lambda x: F.round(x, 6))).collect()]
+    assert [repr(r[0]) for r in df.select(col).collect()] == [repr(w) for w in want]
