@@ -252,7 +252,7 @@ def test_spans_take_no_window_over_braces_or_lines(spark):
         plan = spans._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Join" not in plan
         got = {(r.path, r.name, r.start_line, r.end_line, r.start_pos, r.end_pos) for r in spans.collect()}
-        assert got == {("a.c", "f", 1, 2, 0, 31), ("b.py", "f", 1, 3, 0, 17), ("b.py", "g", 4, 5, 17, 30)}
+        assert got == {("a.c", "f", 1, 2, 0, 30), ("b.py", "f", 1, 3, 0, 16), ("b.py", "g", 4, 5, 17, 29)}
 
 
 def test_words_of_headers_may_hold_the_mark_between_them(spark):
