@@ -261,3 +261,17 @@ def test_words_of_headers_may_hold_the_mark_between_them(spark):
     got = {(r.name, r.signature, r.body) for r in X.extract_functions(files).collect()}
     assert got == {("f", "int f(char a\x01b, int c)", "int f(char a\x01b, int c) {\n}"), ("g", "char * g(int d)", "char *g(int d) { }"),
                    ("h", "fn h(a: \x01i)", "fn h(a: \x01i) { }")}
+
+
+def test_matching_in_steps_equals_one_step(monkeypatch):
+    import pyarrow as pa
+
+    from patchtrace.functions import spanning
+    k = 7
+    # a piece up to a header's brace, then the rest with the closing one
+    cols = [pa.array([x] * k) for x in ([2], [1, 1], ["f", None], ["s", None], [5, 0], [0, 0], [0, 0], [6, 3], [0, 1], [1, 0])]
+    match = spanning.brace_spans().func
+    whole = match(*cols)
+    monkeypatch.setattr(spanning, "STEP_MARKS", 3)
+    assert match(*cols).to_pylist() == whole.to_pylist() == [[{
+        "start_pos": 1, "end_pos": 9, "start_line": 1, "end_line": 2, "name": "f", "signature": "s", "_from": 0, "_n": 2}]] * k
