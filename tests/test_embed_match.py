@@ -269,3 +269,67 @@ def test_zeros_are_not_rounded_one_by_one(spark):
     assert "CASE" in df.select(col)._jdf.queryExecution().analyzed().toString()
     want = [r[0] for r in df.select(F.transform("embedding", lambda x: F.round(x, 6))).collect()]
     assert [repr(r[0]) for r in df.select(col).collect()] == [repr(w) for w in want]
+
+
+def _clustered(seed, n, dim=96):
+    """Unit vectors around a hundred directions in a space of few dimensions."""
+    rng, first = np.random.default_rng(seed), np.random.default_rng(0)
+    centres = first.normal(size=(100, 8)) @ first.normal(size=(8, dim))
+    m = centres[rng.integers(0, 100, n)] + rng.normal(size=(n, dim)) * rng.choice([0.1, 0.6], n)[:, None]
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_bounds_of_short_vectors_lose_no_pair():
+    """A block's screen keeps every pair at the threshold and few others, without a product of all dimensions."""
+    p, c = _clustered(1, 3000), _clustered(2, 1500)
+    real, plain = M._plain_pairs, []
+    M._plain_pairs = lambda *a: plain.append(1) or real(*a)
+    try:
+        screen = M._Screen(p, c[:700], 0.947)
+        got = {(int(i), int(j) + at) for at in (0, 700) for ii, jj in screen.pairs(c[at:at + 700 + at]) for i, j in zip(ii, jj)}
+    finally:
+        M._plain_pairs = real
+    want = set(zip(*map(lambda x: x.tolist(), np.nonzero(p @ c.T >= 0.947)), strict=True))
+    assert not plain and len(want) > 1000 and want <= got and len(got) < 2 * len(want)
+    # where the bounds would leave most pairs, the product of all dimensions is taken
+    q = np.random.default_rng(3).normal(size=(400, 96))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    some = {(int(i), int(j)) for ii, jj in M._Screen(q, q, 0.2).pairs(q) for i, j in zip(ii, jj)}
+    assert set(zip(*map(lambda x: x.tolist(), np.nonzero(q @ q.T >= 0.2)), strict=True)) <= some
+
+
+@pytest.mark.parametrize("dim", [5, 96])
+def test_packed_vectors_come_back(dim):
+    import pyarrow as pa
+
+    m = _clustered(4, 50, dim)
+    for x in (m, np.where(m > 0.1, m, 0.0), np.zeros((3, dim))):
+        for part in (x, x[:1]):
+            entries, places = M._packed(M._list_array(part))
+            assert np.array_equal(M._unpacked(entries.slice(0), places, dim), part)
+    both = [pa.concat_arrays(a) for a in zip(M._packed(M._list_array(m)), M._packed(M._list_array(np.where(m > 0.3, m, 0.0))))]
+    assert np.array_equal(M._unpacked(*both, dim), np.concatenate([m, np.where(m > 0.3, m, 0.0)]))
+
+
+def test_pairs_are_written_as_they_are_found(spark, monkeypatch):
+    """Copies, equal paths and null paths give all their pairs; nothing is joined to the pairs, and sides are shuffled once."""
+    monkeypatch.setattr(M, "SCREEN_PAIRS", 1)
+    p, c = _clustered(5, 300, 80), _clustered(6, 60, 80)
+    proj = [(f"p{i}", u.tolist()) for i, u in enumerate(p)] + [("copy", p[0].tolist())] * 40 + [(None, p[1].tolist()), ("", p[2].tolist())]
+    cve = [(f"c{i}", u.tolist()) for i, u in enumerate(c)] + [(f"k{i}", p[0].tolist()) for i in range(30)] + [(None, p[1].tolist())]
+    schema = "path string, embedding array<double>"
+    pairs = M.clone_pairs(spark, spark.createDataFrame(cve, schema), spark.createDataFrame(proj, schema), 0.947, max_block_rows=50)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+    def text(rows):
+        return sorted((str(a), str(b), round(s, 9)) for a, b, s in rows)
+    named = [[(str(path), u) for path, u in side] for side in (cve, proj)]
+    assert text(pairs.collect()) == text(_brute(*named, 0.947))
+    # pairs of copies come in batches of bounded size
+    import pyarrow as pa
+    rows = [pa.array([0] * 90), *[pa.array([0] * 90, pa.int32())] * 2, pa.array([0] * 40 + [1] * 50, pa.int32()),
+            pa.array([b"x" * 16 + str(i).encode() for i in range(90)]), pa.array([2 << 2] * 90, pa.int32()), *M._packed(M._list_array(np.tile([0.6, 0.8], (90, 1))))]
+    batch = pa.RecordBatch.from_arrays(rows, names=["cell", "a", "b", "side", "vid", "kind", "entries", "places"])
+    out = list(M._score_blocks(0.9, most=64)([batch.slice(0, 7), batch.slice(7)]))
+    assert max(b.num_rows for b in out) <= 64 and len({(x, y) for b in out for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}) == 2000
